@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomcast.llm import urls
+from loomcast.llm import bpe, urls
 from loomcast.llm.common import table
 
 
@@ -15,8 +17,20 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_url_filters": op7_url_filters}
+    return {"op7_url_filters": op7_url_filters, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
