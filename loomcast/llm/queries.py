@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, urls
+from loomcast.llm import bpe, packing, urls
 from loomcast.llm.common import table
 
 
@@ -17,6 +17,18 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packed(docs)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and text packed into sequences, with a checksum in place of the ids."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(pieces)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -30,7 +42,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_url_filters": op7_url_filters, "op10_bpe": op10_bpe}
+    return {"op7_url_filters": op7_url_filters, "op8_packing": op8_packing, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
