@@ -5,13 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, packing, urls
+from loomcast.llm import bpe, langid, packing, toxicity, urls
 from loomcast.llm.common import table
 
 
+def in_fold(divisor: int, rest: int) -> Column:
+    """Whether crc32 of doc_id as text leaves this rest."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == rest
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(~in_fold(5, 0)))
+    return toxicity.score(docs.withColumn("held_out", in_fold(5, 0)), model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~in_fold(3, 1)))
+    named = langid.identify(docs.select("doc_id", "text", in_fold(3, 1).alias("held_out")), model)
+    return named.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -42,7 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_url_filters": op7_url_filters, "op8_packing": op8_packing, "op10_bpe": op10_bpe}
+    return {"op3_toxicity": op3_toxicity, "op4_language": op4_language, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
