@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, langid, packing, toxicity, urls
+from loomcast.llm import bpe, langid, packing, toxicity, urls, vectors
 from loomcast.llm.common import table
 
 
@@ -17,6 +17,11 @@ def in_fold(divisor: int, rest: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == rest
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.near_duplicates(rows, least=0.95)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -31,6 +36,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -61,7 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_toxicity": op3_toxicity, "op4_language": op4_language, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing, "op10_bpe": op10_bpe}
+    return {"op2_near_vectors": op2_near_vectors, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_top_k": op5_top_k, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
