@@ -6,10 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +48,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 8 << 20)
             yield batch.slice(at, step)
 
 
-def column_with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
-    return T.StructType([*schema.fields, *fields])
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(src, dst), root being the smallest node reachable.
 
@@ -78,3 +74,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components: not settled")
     roots = e.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of links that connect whatever all links connect; at most as many as rows and columns."""
+    if link.sum() <= sum(link.shape):
+        return np.nonzero(link)
+    rows_left, cols_left = link.any(1), link.any(0)
+    out_r, out_c = [], []
+    while rows_left.any():
+        front = np.array([rows_left.argmax()])
+        rows_left[front] = False
+        while len(front):
+            sub = link[front]
+            new = np.flatnonzero(sub.any(0) & cols_left)
+            cols_left[new] = False
+            out_r.append(front[sub[:, new].argmax(0)])
+            out_c.append(new)
+            sub = link[:, new]
+            front = np.flatnonzero(sub.any(1) & rows_left) if len(new) else new
+            rows_left[front] = False
+            out_r.append(front)
+            out_c.append(new[sub[front].argmax(1)] if len(front) else front)
+    return np.concatenate(out_r), np.concatenate(out_c)

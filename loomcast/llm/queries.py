@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, langid, packing, toxicity, urls, vectors
+from loomcast.llm import bpe, jaccard, langid, packing, toxicity, urls, vectors
 from loomcast.llm.common import table
 
 
@@ -58,6 +58,10 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=75)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -71,7 +75,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_near_vectors": op2_near_vectors, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_top_k": op5_top_k, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing, "op10_bpe": op10_bpe}
+    return {"op2_near_vectors": op2_near_vectors, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_top_k": op5_top_k, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

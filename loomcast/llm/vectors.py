@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcast.llm.common import components, stored
+from loomcast.llm.common import components, forest, stored
 
 SUB = 1024
 
@@ -105,29 +105,6 @@ def linked(a: np.ndarray, b: np.ndarray, steps: list[int], least: float) -> np.n
     return out
 
 
-def forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of links that connect whatever all links connect; at most as many as rows and columns."""
-    if link.sum() <= sum(link.shape):
-        return np.nonzero(link)
-    rows_left, cols_left = link.any(1), link.any(0)
-    out_r, out_c = [], []
-    while rows_left.any():
-        front = np.array([rows_left.argmax()])
-        rows_left[front] = False
-        while len(front):
-            sub = link[front]
-            new = np.flatnonzero(sub.any(0) & cols_left)
-            cols_left[new] = False
-            out_r.append(front[sub[:, new].argmax(0)])
-            out_c.append(new)
-            sub = link[:, new]
-            front = np.flatnonzero(sub.any(1) & rows_left) if len(new) else new
-            rows_left[front] = False
-            out_r.append(front)
-            out_c.append(new[sub[front].argmax(1)] if len(front) else front)
-    return np.concatenate(out_r), np.concatenate(out_c)
-
-
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95) -> DataFrame:
     """key, n_links, component_id and kept for each row of df.
 
