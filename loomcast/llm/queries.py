@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, jaccard, langid, packing, toxicity, urls, vectors
+from loomcast.llm import bpe, jaccard, langid, packing, pages, toxicity, urls, vectors
 from loomcast.llm.common import table
 
 
@@ -41,9 +41,14 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.extract(raw).select("page_id", "url", "text", "n_chars")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+    found = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(found).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +80,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_near_vectors": op2_near_vectors, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_top_k": op5_top_k, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join, "op10_bpe": op10_bpe}
+    return {"op2_near_vectors": op2_near_vectors, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_top_k": op5_top_k, "op6_html_text": op6_html_text, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
