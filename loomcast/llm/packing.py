@@ -8,49 +8,48 @@ last, hence the plan is short too.  Each piece then takes its place by its rank
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
-from loomcast.llm.bpe import BYTE_LEVEL_SPLIT, REMEMBERED
+from loomcast.llm.bpe import BYTE_LEVEL_SPLIT, byte_letters
 from loomcast.llm.common import slices, stored
 
 
-class _Ids:
-    """ids of whole texts by the tokenizers library, which encodes each distinct word of a worker once."""
+def ranked_encoder(path: str) -> tiktoken.Encoding:
+    """An encoder with the ids of a byte-level tokenizers file.
+
+    Such a file numbers its tokens in the order of its merges, so the ids are the ranks; a file that doesn't is refused.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    byte_of = {c: b for b, c in enumerate(byte_letters())}
+    vocab = spec["model"]["vocab"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+    order = [vocab[a + b] for a, b in pairs]
+    if order != sorted(order) or spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel":
+        raise ValueError(f"not a plain byte-level file: {path}")
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
-    def __init__(self, path: str) -> None:
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split = regex.compile(BYTE_LEVEL_SPLIT)
-        self.known: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = self.split.findall(text), self.known
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            found = [known[w] for w in words]
-        return b"".join(found)
+_encoders: dict[str, tiktoken.Encoding] = {}
 
 
-_encoders: dict[str, _Ids] = {}
+def text_ids(text: str | None, path: str) -> bytes:
+    """The ids of a whole text as little-endian unsigned 32-bit numbers; a special token in the text is itself."""
+    if path not in _encoders:
+        _encoders[path] = ranked_encoder(path)
+    return _encoders[path].encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() if text else b""
 
 
 def token_pieces(df: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, text: str = "text") -> DataFrame:
@@ -64,13 +63,11 @@ def token_pieces(df: DataFrame, vocabulary: str, size: int = 2048, end_id: int =
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _encoders:
-            _encoders[vocabulary] = _Ids(vocabulary)
-        encode, end = _encoders[vocabulary], np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 0, 4 << 20):
             row, piece, start, ids = [], [], [], []
             for k, text_ in enumerate(batch.column(0).to_pylist()):
-                whole = (encode(text_) if text_ else b"") + end
+                whole = text_ids(text_, vocabulary) + end
                 n, at, p = len(whole) // 4, 0, 0
                 while at < n:
                     to = at + ((n - at) % size or size)
