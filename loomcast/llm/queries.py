@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, jaccard, langid, packing, pages, toxicity, urls, vectors
+from loomcast.llm import bpe, jaccard, langid, packing, pages, suffixes, toxicity, urls, vectors
 from loomcast.llm.common import table
 
 
@@ -17,6 +17,18 @@ def in_fold(divisor: int, rest: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == rest
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage of at least 50 words that a document shares with an earlier one, in words."""
+    found = suffixes.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), least=50)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.col("start").alias("start_word"),
+        (F.col("stop") - F.col("start")).alias("n_words"),
+        F.col("other").alias("first_doc_id"),
+        (F.col("start") - F.col("diag")).alias("first_start_word"),
+    )
+
+
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vectors.near_duplicates(rows, least=0.95)
@@ -80,7 +92,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_near_vectors": op2_near_vectors, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_top_k": op5_top_k, "op6_html_text": op6_html_text, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join, "op10_bpe": op10_bpe}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_near_vectors": op2_near_vectors, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_top_k": op5_top_k, "op6_html_text": op6_html_text, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
