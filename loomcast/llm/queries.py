@@ -91,8 +91,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run  # it imports this module
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_near_vectors": op2_near_vectors, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_top_k": op5_top_k, "op6_html_text": op6_html_text, "op7_url_filters": op7_url_filters, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join, "op10_bpe": op10_bpe}
+    found = (
+        op1_suffix_dedup, op2_near_vectors, op3_toxicity, op4_language, op5_top_k, op6_html_text, op7_url_filters,
+        op8_packing, op9_jaccard_join, op10_bpe, pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
