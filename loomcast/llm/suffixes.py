@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.common import slices, stored
+from loomcast.llm.common import join_few, slices, stored
 from loomcast.llm.words import hashes, runs, split
 
 _GRAM = 8
@@ -38,57 +38,51 @@ def positions(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def neighbours(key: np.ndarray, longer: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For suffixes sorted by (key, doc, pos): the row of the first suffix of another document with the same longer key
-    (0: none), or else with the same key; -1 if there is none; and whether the row begins a run of either kind."""
-    n = len(key)
-    at = np.arange(n)
-    new = np.r_[True, key[1:] != key[:-1]] if n else np.empty(0, bool)
-    head = np.maximum.accumulate(np.where(new, at, 0)) if n else at
+    """For suffixes sorted by (key, doc, pos): the first suffix with the same longer key (0: none) if it is of another
+    document, else the first with the same key if that is; -1 if neither is.  Whether the longer keys agree.  Whether the
+    row begins a run of either kind."""
+    n, at = len(key), np.arange(len(key))
+    if not n:
+        return at, np.empty(0, bool), np.empty(0, bool)
+    new = np.r_[True, key[1:] != key[:-1]]
+    head = np.maximum.accumulate(np.where(new, at, 0))
     order = np.lexsort((pos, doc, longer, key))
-    k, lg = key[order], longer[order]
-    begins = np.r_[True, (k[1:] != k[:-1]) | (lg[1:] != lg[:-1])] if n else new
-    first = order[np.maximum.accumulate(np.where(begins, at, 0))] if n else at
-    head_long = np.empty(n, int)
-    head_long[order] = first
-    starts = np.zeros(n, bool)
+    begins = np.r_[True, (np.diff(key[order]) != 0) | (np.diff(longer[order]) != 0)]
+    head_long, starts = np.empty(n, int), np.zeros(n, bool)
+    head_long[order] = order[np.maximum.accumulate(np.where(begins, at, 0))]
     starts[order[begins]] = True
-    near = np.where((doc[head_long] != doc) & (longer != 0), head_long, np.where(doc[head] != doc, head, -1)) if n else at
-    return near, starts | new, head
-
-
-def islands(doc: np.ndarray, other: np.ndarray, diag: np.ndarray, pos: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
-    """Matches on the same diagonal joined while each begins before the last one ends: doc, other, diag, first, last."""
-    order = np.lexsort((pos, diag, other, doc))
-    doc, other, diag, pos = doc[order], other[order], diag[order], pos[order]
-    if not len(doc):
-        return doc, other, diag, pos, pos
-    cut = np.r_[True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]) | (diag[1:] != diag[:-1]) | (pos[1:] - pos[:-1] > seed)]
+    strong = (doc[head_long] != doc) & (longer != 0)
+    return np.where(strong, head_long, np.where(doc[head] != doc, head, -1)), strong, starts | new
+
+
+def islands(doc: np.ndarray, other: np.ndarray, diag: np.ndarray, pos: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+    """Matches of size words joined while each begins before the last ends on the same diagonal: doc, other, diag, lo, hi, size."""
+    order = np.lexsort((pos, size, diag, other, doc))
+    doc, other, diag, pos, size = (x[order] for x in (doc, other, diag, pos, size))
+    cut = np.ones(len(doc), bool)
+    if len(doc) > 1:
+        same = (doc[1:] == doc[:-1]) & (other[1:] == other[:-1]) & (diag[1:] == diag[:-1]) & (size[1:] == size[:-1])
+        cut[1:] = ~(same & (pos[1:] - pos[:-1] <= size[1:]))
     first = np.flatnonzero(cut)
-    last = np.r_[first[1:], len(doc)] - 1
-    return doc[first], other[first], diag[first], pos[first], pos[last]
-
+    last = np.r_[first[1:], len(doc)][: len(first)] - 1
+    return pd.DataFrame({"doc": doc[first], "other": other[first], "diag": diag[first].astype(np.int32), "lo": pos[first].astype(np.int32), "hi": (pos[last] + size[last]).astype(np.int32), "size": size[first].astype(np.int32)})
 
-_ROW = "key long, longer long, doc long, pos int, other long, diag int, last int"
 
-
-def _rows(key, longer, doc, pos, near, emit, seed) -> pd.DataFrame:
-    """The rows to pass on (other -1) and the matches of those that stay."""
-    stay = ~emit & (near >= 0)
-    d, o, g, first, last = islands(doc[stay], doc[near[stay]], (pos[stay] - pos[near[stay]]), pos[stay], seed)
-    m, e = len(d), int(emit.sum())
-    return pd.DataFrame({
-        "key": np.r_[key[emit], d], "longer": np.r_[longer[emit], np.zeros(m, np.int64)], "doc": np.r_[doc[emit], d],
-        "pos": np.r_[pos[emit], first].astype(np.int32), "other": np.r_[np.full(e, -1), o], "diag": np.r_[np.zeros(e, np.int64), g].astype(np.int32),
-        "last": np.r_[pos[emit], last].astype(np.int32), "match": np.r_[np.zeros(e, bool), np.ones(m, bool)],
-    })
+def found_in(key: np.ndarray, longer: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: int, seed: int, pass_on: bool) -> tuple[pd.DataFrame, np.ndarray]:
+    """Islands among sorted suffixes, and which rows must still meet the suffixes of other batches (none unless pass_on)."""
+    near, strong, begins = neighbours(key, longer, doc, pos)
+    go = (begins | (near < 0)) & pass_on
+    k = np.flatnonzero((near >= 0) & ~go)
+    return islands(doc[k], doc[near[k]], pos[k] - pos[near[k]], pos[k], np.where(strong[k], least, seed)), go
 
 
 def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
-    """doc, other, diag, pos, last of docs (id long, t): runs of matched suffixes with an earlier document."""
+    """doc, other, diag, lo, hi, size: matches of docs (id long, t) with an earlier document, of size words or joined of such."""
     seed = least - window + 1
+    columns = ["doc", "other", "diag", "lo", "hi", "size"]
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 4 << 20):
             parts = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = hashes(split(text))
@@ -106,18 +100,16 @@ def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
             key, longer, doc, pos = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((pos, doc, key))
             key, longer, doc, pos = key[order], longer[order], doc[order], pos[order]
-            near, begins, _ = neighbours(key, longer, doc, pos)
-            yield pa.RecordBatch.from_pandas(_rows(key, longer, doc, pos, near, begins | (near < 0), seed), preserve_index=False)
+            done, go = found_in(key, longer, doc, pos, least, seed, True)
+            on = pd.DataFrame({"key": key[go], "longer": longer[go], "doc": doc[go], "other": -1, "diag": 0, "lo": pos[go].astype(np.int32), "hi": 0, "size": 0})
+            both = pd.concat([on, done.assign(key=done["doc"], longer=0)]).astype({"diag": np.int32, "hi": np.int32, "size": np.int32})
+            yield pa.RecordBatch.from_pandas(both[["key", "longer", *columns]], preserve_index=False)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(f: pd.DataFrame) -> pd.DataFrame:
-            g = f[~f["match"]]
-            key, longer, doc, pos = (g[c].to_numpy(np.int64) for c in ("key", "longer", "doc", "pos"))
-            near, *_ = neighbours(key, longer, doc, pos)
-            has = near >= 0
-            made = islands(doc[has], doc[near[has]], pos[has] - pos[near[has]], pos[has], seed)
-            old = f[f["match"]][["doc", "other", "diag", "pos", "last"]].to_numpy(np.int64).T
-            return pd.DataFrame({c: np.r_[a, b].astype(t) for c, a, b, t in zip(("doc", "other", "diag", "pos", "last"), made, old, (np.int64, np.int64, np.int32, np.int32, np.int32))})
+            open_ = f["size"].to_numpy() == 0
+            new, _ = found_in(*(f[c].to_numpy(np.int64)[open_] for c in ("key", "longer", "doc", "lo")), least, seed, False)
+            return pd.concat([f.loc[~open_, columns], new])
 
         kept = None
         for f in frames:
@@ -129,43 +121,79 @@ def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
         if kept is not None:
             yield found(kept)
 
-    retained = docs.select("id", "t").mapInArrow(retain, _ROW + ", match boolean")
-    ordered = retained.repartition("key").sortWithinPartitions("key", "doc", "pos")
-    return ordered.mapInPandas(compare, "doc long, other long, diag int, pos int, last int")
+    retained = docs.select("id", "t").mapInArrow(retain, "key long, longer long, doc long, other long, diag int, lo int, hi int, size int")
+    ordered = retained.repartition("key").sortWithinPartitions("key", "doc", "lo")
+    return ordered.mapInPandas(compare, "doc long, other long, diag int, lo int, hi int, size int")
+
+
+def cover(rows: list[tuple], least: int) -> list[tuple]:
+    """Of one document's matches (lo, hi, size, other, diag) those that cover what all cover, each with whether its left
+    and its right end is an end of what is covered.  Matches of seed words only are left out where surer ones cover half."""
+    out: list[list] = []
+    sure = sorted((r for r in rows if r[2] >= least), key=lambda r: (r[0], -r[1]))
+    end, best = -1, None
+    for r in [*sure, (1 << 30, 0, 0, 0, 0)]:
+        if best is not None and r[0] > end:
+            out.append([*best, False, False])
+            end, best = best[1], None
+        if r[0] > end:
+            if out:
+                out[-1][6] = True
+            if r[1]:
+                out.append([*r, True, False])
+                end, best = r[1], None
+        elif r[1] > end and (best is None or r[1] > best[1]):
+            best = r
+    ends = [(r[0], r[1]) for r in out]
+    for r in rows:
+        if r[2] < least and 2 * sum(max(0, min(r[1], b) - max(r[0], a)) for a, b in ends) < r[1] - r[0]:
+            out.append([*r, True, True])
+    return [tuple(r) for r in out]
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, window: int = 16) -> DataFrame:
     """id, start, stop, other, diag: the passages of at least `least` words that a document shares with an earlier one.
 
-    start and stop count words; the passage begins at start - diag in the document `other`, which has a smaller key.
-    Null texts and texts of fewer words have none; a text that repeats itself isn't matched with itself; rows that share
-    a key are one document here; rows with a null key have none.  Passages of at least least + window - 1 words are all
-    found; shorter ones are compared with the first document that shares their first seed words.
+    start and stop count words; the passage begins at start - diag in the document `other`, which has a smaller key.  A
+    stretch that no one document shares is given in overlapping pieces.  Null texts and texts of fewer words have none; a
+    text that repeats itself isn't matched with itself; rows that share a key are one document here; rows with a null key
+    have none.  All passages of at least least + window - 1 words are found; shorter ones are compared with the first
+    document that shares their first seed words.
     """
-    seed, reach = least - window + 1, 2 * window
+    seed = least - window + 1
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
-    found = stored(matches(named, least, window).select("doc", "other", "diag", F.col("pos").alias("lo"), (F.col("last") + seed).alias("hi")))
-    own = found.select(F.col("doc").alias("id"), F.struct(F.lit(0).alias("kind"), "lo", "hi", "other", "diag").alias("r"))
-    far = found.select(F.col("other").alias("id"), (F.col("lo") - F.col("diag")).alias("lo"), (F.col("hi") - F.col("diag")).alias("hi")).distinct()
-    far = far.select("id", F.struct(F.lit(1).alias("kind"), "lo", "hi", F.lit(-1).cast("long").alias("other"), F.lit(0).alias("diag")).alias("r"))
-    asked = own.union(far).groupBy("id").agg(F.collect_list("r").alias("asked"))
+    grouped = matches(named, least, window).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("lo", "hi", "size", "other", "diag")).alias("rows"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                out = [(i, *r) for i, rows in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for r in cover([tuple(r.values()) for r in rows], least)]
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
+                columns = zip(*out) if out else ((),) * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "lo", "hi", "size", "other", "diag", "left", "right"])
+
+    chosen = stored(grouped.mapInArrow(choose, "id long, lo int, hi int, size int, other long, diag int, left boolean, right boolean"))
+    ends = chosen.where("left OR right")
+    far = ends.select(F.col("other").alias("id"), (F.col("lo") - F.col("diag")).alias("lo"), (F.col("hi") - F.col("diag")).alias("hi"))
+    points = stored(ends.select("id", "lo", "hi").union(far).distinct())
+    asked = points.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))
+    texts = join_few(named, stored(points.select("id").distinct()), "id", "left_semi")
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, 1 << 20):
             out = []
             for t, i, rows in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 h = hashes(split(t))
-                for r in rows:
-                    lo, hi = r["lo"], r["hi"]
-                    out.append((r["kind"], i, lo, hi, r["other"], r["diag"], h[max(0, lo - reach) : lo].tobytes(), h[hi : hi + reach].tobytes()))
+                out += [(i, r["lo"], r["hi"], h[max(0, r["lo"] - window) : r["lo"]].tobytes(), h[r["hi"] : r["hi"] + window].tobytes()) for r in rows]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "id", "lo", "hi", "other", "diag", "before", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["id", "lo", "hi", "before", "after"])
 
-    around = stored(named.join(asked, "id").select("t", "id", "asked").mapInArrow(surround, "kind int, id long, lo int, hi int, other long, diag int, before binary, after binary"))
-    mine = around.where("kind = 0").select("id", "other", "diag", "lo", "hi", (F.col("lo") - F.col("diag")).alias("wlo"), (F.col("hi") - F.col("diag")).alias("whi"), "before", "after")
-    theirs = around.where("kind = 1").select(F.col("id").alias("other"), F.col("lo").alias("wlo"), F.col("hi").alias("whi"), F.col("before").alias("before2"), F.col("after").alias("after2"))
+    around = stored(texts.join(asked, "id").select("t", "id", "asked").mapInArrow(surround, "id long, lo int, hi int, before binary, after binary"))
+    mine = ends.join(around, ["id", "lo", "hi"]).withColumn("wlo", F.col("lo") - F.col("diag")).withColumn("whi", F.col("hi") - F.col("diag"))
+    theirs = around.select(F.col("id").alias("other"), F.col("lo").alias("wlo"), F.col("hi").alias("whi"), F.col("before").alias("before2"), F.col("after").alias("after2"))
 
-    @F.pandas_udf("left int, right int")
+    @F.pandas_udf("l int, r int")
     def extended(b1: pd.Series, b2: pd.Series, a1: pd.Series, a2: pd.Series) -> pd.DataFrame:
         def common(x: bytes, y: bytes, back: bool) -> int:
             n = min(len(x), len(y)) // 8
@@ -173,27 +201,14 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
             same = u[len(u) - n :][::-1] == v[len(v) - n :][::-1] if back else u[:n] == v[:n]
             return n if same.all() else int(same.argmin())
 
-        return pd.DataFrame({"left": [common(x, y, True) for x, y in zip(b1, b2)], "right": [common(x, y, False) for x, y in zip(a1, a2)]}, dtype=np.int32)
+        return pd.DataFrame({"l": [common(x, y, True) for x, y in zip(b1, b2)], "r": [common(x, y, False) for x, y in zip(a1, a2)]}, dtype=np.int32)
 
+    # Rows that share a key meet more than once here; distinct makes them one.
     grown = mine.join(theirs, ["other", "wlo", "whi"]).withColumn("e", extended("before", "before2", "after", "after2"))
-    spans = grown.select("id", "other", "diag", (F.col("lo") - F.col("e.left")).alias("start"), (F.col("hi") + F.col("e.right")).alias("stop"))
-    spans = spans.where(F.col("stop") - F.col("start") >= least)
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for i, rows in zip(f["id"], f["spans"]):
-                joined: list[list[int]] = []
-                for r in sorted((r["other"], r["diag"], r["start"], r["stop"]) for r in rows):
-                    if joined and joined[-1][:2] == list(r[:2]) and r[2] <= joined[-1][3]:
-                        joined[-1][3] = max(joined[-1][3], r[3])
-                    else:
-                        joined.append(list(r))
-                out += [(i, start, stop, other, diag) for other, diag, start, stop in joined]
-            yield pd.DataFrame(out, columns=["id", "start", "stop", "other", "diag"])
-
-    grouped = spans.groupBy("id").agg(F.collect_list(F.struct("other", "diag", "start", "stop")).alias("spans"))
-    return grouped.mapInPandas(merge, "id long, start int, stop int, other long, diag int")
+    start, stop = F.col("lo") - F.when(F.col("left"), F.col("e.l")).otherwise(0), F.col("hi") + F.when(F.col("right"), F.col("e.r")).otherwise(0)
+    outer = grown.select("id", start.alias("start"), stop.alias("stop"), "other", "diag").where(F.col("stop") - F.col("start") >= least)
+    inner = chosen.where("NOT (left OR right)").select("id", F.col("lo").alias("start"), F.col("hi").alias("stop"), "other", "diag")
+    return outer.union(inner).distinct()
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -216,13 +231,13 @@ def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "tex
 
     Documents of which no word is left are dropped if a span took their words.
     """
-    grouped = spans.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    joined = docs.join(grouped, F.col(key).cast("long") == F.col("_id"), "left")
+    grouped = spans.groupBy(F.col("id").alias("_cut_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_cut_spans"))
+    joined = docs.join(grouped, F.col(key).cast("long") == F.col("_cut_id"), "left")
 
     @F.pandas_udf("string")
     def shortened(texts: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([t if c is None else without(t, [(s["start"], s["stop"]) for s in c]) for t, c in zip(texts, cuts)], dtype=object)
 
-    new = joined.withColumn("_new", shortened(text, "_spans")).where(F.col("_spans").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("_new").alias(c) if c == text else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    new = joined.withColumn("_cut_text", shortened(text, "_cut_spans")).where(F.col("_cut_spans").isNull() | F.col("_cut_text").rlike(r"[^\x20\x09-\x0D]"))
+    columns = [F.col("_cut_text").alias(c) if c == text else F.length("_cut_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return new.select(*columns)
