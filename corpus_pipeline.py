@@ -8,7 +8,6 @@ documents with null or empty texts, unless they are rejected by the rule of the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomcast.llm import jaccard, langid, suffixes, toxicity
 from loomcast.llm.common import stored, table
@@ -19,14 +18,15 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5.  The model learns from the labels outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels.where(~in_fold(5, 0)))
-    scored = toxicity.score(docs.select("*", F.col("text").alias("_t")), model, text="_t")
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs, model, names=("_score", "_toxic"))
+    return scored.where("_toxic = 0").select(*docs.columns)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model doesn't reject: with letters, and not far from every language it has learned."""
     model = langid.fit(docs.where(~in_fold(3, 1)))
-    return langid.identify(docs, model).where("NOT rejected").select(*docs.columns)
+    named = langid.identify(docs, model, names=("_lang", "_score", "_rejected"))
+    return named.where("NOT _rejected").select(*docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,12 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: it survives lost executors and isn't computed twice."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written once as Parquet in the shared folder and read back, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once and read back: it survives lost executors and isn't computed twice.
+
+    The shuffles behind it are then of no more use; a collection of garbage on the driver lets Spark delete their files.
+    """
+    out, _ = written(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def forget(spark: SparkSession, path: str) -> None:
@@ -52,12 +62,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(src, dst), root being the smallest node reachable.
 
     Alternating large-star and small-star passes over the edge list; both only group by node and take minima, which
-    Spark combines before the shuffle, so a node with very many neighbours is no hot task.  Each pass is checkpointed.
+    Spark combines before the shuffle, so a node with very many neighbours is no hot task.  Each pass is a table in the shared
+    folder, which takes the place of the one before.
     """
     spark = edges.sparkSession
-    shared_dir(spark)
-    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct()
-    e = e.checkpoint()
+    e, path = written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct())
     before = None
     for _ in range(rounds):
         both = e.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(e.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
@@ -65,7 +74,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "n").where("m > n").select(F.col("m").alias("hi"), F.col("x").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("x"))
         small = large.join(least, "hi").select(F.when(F.col("lo") == F.col("x"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("x").alias("lo"))
-        e = small.where("hi <> lo").distinct().checkpoint()
+        e, last = written(small.where("hi <> lo").distinct())
+        forget(spark, path)
+        path = last
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -73,7 +84,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components: not settled")
     roots = e.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    return stored(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
 
 
 def forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,3 +108,33 @@ def forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             out_r.append(front)
             out_c.append(new[sub[front].argmax(1)] if len(front) else front)
     return np.concatenate(out_r), np.concatenate(out_c)
+
+
+class Connected:
+    """Which of n nodes are connected so far."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Connect u[k] with v[k]; the numbers k of links that do, one for each pair of parts that they join."""
+        a, b = self.root[u], self.root[v]
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        used = np.unique(lo * len(self.root) + hi, return_index=True)[1]
+        used = used[lo[used] != hi[used]]
+        while True:
+            a, b = self.root[u], self.root[v]
+            apart = a != b
+            if not apart.any():
+                return used
+            np.minimum.at(self.root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            while (up := self.root[self.root]).tobytes() != self.root.tobytes():
+                self.root = up
+
+
+BROADCAST_ROWS = 500_000
+
+
+def join_few(big: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """big joined with a stored frame of short rows: by broadcast up to BROADCAST_ROWS rows, else by a shuffle."""
+    return big.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, key, how)

@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
     A sample of settings.max_train labels, chosen by a hash of the key, goes to the texts by a broadcast, whose size that
     setting bounds; the texts aren't shuffled.  They are hashed in parallel; their coordinates then go through one task
-    in the order of the hash, as FTRL is sequential.  Without rows the model scores every text 0.5.
+    in the order of the hash, as FTRL is sequential.  Without rows the model scores every text about 0.
     """
     bits = settings.bits
     rows = labels.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
@@ -129,15 +129,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             yield pd.DataFrame({"i": at, "w": w[at]})
 
     model = rows.mapInArrow(hashed, "h long, x array<int>, y int").repartition(1).mapInPandas(learn, "i long, w double").toPandas().sort_values("i")
+    if model.empty:
+        return Model(bits, np.array([1 << bits]), np.array([-35.0]))
     return Model(bits, model["i"].to_numpy(np.int64), model["w"].to_numpy(float))
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with score (0 to 1; higher: likelier toxic) and predicted (1 from 0.5 on); columns so named are replaced.
+def score(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """df with score (0 to 1; higher: likelier toxic) and predicted (1 from 0.5 on); columns so named are replaced
+    (names gives others).
 
     Whole texts are scored, each row by itself.  Null and empty texts get the score of a text without features.
     """
-    kept = [c for c in df.columns if c not in ("score", "predicted")]
+    kept = [c for c in df.columns if c not in names]
     weights = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
@@ -148,5 +151,5 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             logits = np.array([w[features(t, m.bits)].sum() for t in texts]) + w[-1]
             yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(logits, -35.0, 35.0))))
 
-    out = df.select(*kept, scored(text).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = df.select(*kept, scored(text).alias(names[0]))
+    return out.withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int"))
