@@ -30,6 +30,7 @@ DROPPED = frozenset("head nav footer aside form button select option input dialo
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("article main".split())
+WEIGHT = {"article": 3.0, "main": 2.0}  # what pages themselves mark as their content
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table td th ul ol dl div section article aside main nav header footer form blockquote body html".split())
 UNWANTED = frozenset(
@@ -162,7 +163,7 @@ def main_text(source: str | None) -> str:
     for k in range(n - 1, 0, -1):
         length[parent[k]] += length[k]
         links[parent[k]] += links[k]
-    score = [p * (1.0 - links[k] / length[k]) if p and length[k] else 0.0 for k, p in enumerate(points)]
+    score = [p * WEIGHT.get(tags[k], 1.0) * (1.0 - links[k] / length[k]) if p and length[k] else 0.0 for k, p in enumerate(points)]
     best = max(range(n), key=lambda k: (score[k], -k))
     top = best
     up = best
