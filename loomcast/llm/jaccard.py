@@ -19,18 +19,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.common import components, forest, slices, stored
+from loomcast.llm.common import Connected, components, forest, join_few, slices, stored
 from loomcast.llm.words import shingles
 
 TILE = 4096  # classes in a tile, on average
 ROWS, COLS = 128, 2048  # the part of a pair of tiles that is compared at once
-CHUNK = 400_000  # shingles of a cluster that one task holds, on average
+CHUNK = 200_000  # shingles of a cluster that one task holds, on average
 BANDS = 4  # bands in which a size grows by 1 / threshold
 
 
 def width(n: int) -> int:
-    """Bits of the bitmap for n shingles: a power of two of at least 0.75 n, so that unrelated sets differ enough."""
-    return 1 << max(7, math.ceil(math.log2(max(1.0, 0.75 * n))))
+    """Bits of the bitmap for n shingles: a power of two of at least 1.5 n.
+
+    Unrelated sets, which differ by 2 n shingles, then differ by some 0.69 n bits or more, eight standard deviations above
+    the 0.29 n that link; with half as many bits it is under three, and chance pairs chain all documents of a size.
+    """
+    return 1 << max(7, math.ceil(math.log2(max(1.0, 1.5 * n))))
 
 
 def bitmap(h: np.ndarray, bits: int) -> np.ndarray:
@@ -134,6 +138,7 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
         bits = 8 * min(a.shape[1], b.shape[1])
         a, b = folded(a, bits).view(np.uint64), folded(b, bits).view(np.uint64)
         src, dst = [], []
+        known, shift = Connected(len(ia) + (0 if same else len(ib))), 0 if same else len(ia)
         for p in range(0, len(ia), ROWS):
             small, large = na[p], na[min(p + ROWS, len(na)) - 1]
             first = int(np.searchsorted(nb, -(-int(small) * percent // 100)))
@@ -141,12 +146,12 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
             for q in range(max(first, p) if same else first, last, COLS):
                 to = min(q + COLS, last)
                 ok = close(na[p : p + ROWS], a[p : p + ROWS], nb[q:to], b[q:to], percent)
-                if same:
-                    ok &= np.arange(p, p + len(ok))[:, None] < np.arange(q, to)[None, :]
+                ok &= known.root[p : p + len(ok), None] != known.root[None, shift + q : shift + to]
                 if ok.any():
                     i, j = forest(ok)
-                    src.append(ia[p + i])
-                    dst.append(ib[q + j])
+                    new = known.add(p + i, shift + q + j)
+                    src.append(ia[p + i[new]])
+                    dst.append(ib[q + j[new]])
         return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)}) if src else pd.DataFrame({"src": [], "dst": []}).astype(np.int64)
 
     return stored(low.union(high).groupBy("ba", "pa", "bb", "pb").applyInPandas(compare, "src long, dst long"))
@@ -228,36 +233,46 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     sized = clusters.join(classes.select("id", "n"), "id")
     totals = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"), F.sum("n").alias("weight"))
     placed = stored(sized.join(totals, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select("id", "cluster", "chunks", "chunk", "n"))
-    buckets = max(1, math.ceil((placed.agg(F.sum("n")).first()[0] or 0) / (2 * CHUNK)))
+    buckets = max(1, math.ceil((placed.agg(F.sum("n")).first()[0] or 0) / CHUNK))
     dealt = lambda df, *by: df.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL").join(placed, "id").select("t", "id", "cluster", "chunks", "chunk")
-    members = arrays(texts, size)
-    first = stored(resolve(dealt(members.withColumn("label", F.col("id")), "cluster", "chunk"), percent, ["cluster", "chunk"]))
+    named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
+
+    def with_arrays(rows: DataFrame) -> DataFrame:
+        return arrays(join_few(named, rows, "id").select("t", "id", "cluster", "chunks", "chunk"), size)
+
+    members = with_arrays(placed)
+    links = stored(resolve(dealt(members.withColumn("label", F.col("id")), "cluster", "chunk"), percent, ["cluster", "chunk"]))
 
     # Clusters too large for one task: links between their chunks.  First one class for each connected part, which joins
     # groups of near copies at once; then every pair of chunks of the clusters that still have several parts.
-    links = first
+    roots = components(links)
     many = placed.where("chunks > 1")
     if many.head(1):
-        large = stored(arrays(texts.where("chunks > 1"), size))
-        for _ in range(3):
-            label = components(links).select(F.col("node").alias("id"), F.col("root").alias("label"))
-            labelled = large.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            heads = labelled.where("id = label")
-            count = heads.groupBy("cluster").agg(F.ceil(F.sum(F.length("h")) / (8 * CHUNK)).cast("int").alias("groups"))
-            heads = heads.join(count, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(_)), F.col("groups")).cast("int"))
-            more = stored(resolve(dealt(heads, "cluster", "chunk"), percent, ["cluster", "chunk"]))
+        large = stored(with_arrays(many).select("id", "h"))
+
+        def unsettled() -> DataFrame:
+            """The classes, with their parts, of large clusters that have more than one part."""
+            labelled = many.join(roots.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+            parts = labelled.groupBy("cluster").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cluster")
+            return stored(labelled.join(parts, "cluster"))
+
+        open_ = unsettled()
+        for attempt in range(3):
+            heads = open_.where("id = label")
+            count = heads.groupBy("cluster").agg(F.ceil(F.sum("n") / (8 * CHUNK)).cast("int").alias("groups"))
+            heads = stored(heads.join(count, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(attempt)), F.col("groups")).cast("int")).drop("groups"))
+            more = stored(resolve(dealt(join_few(large, heads, "id"), "cluster", "chunk"), percent, ["cluster", "chunk"]))
             if not more.head(1):
                 break
             links = links.union(more)
-        label = components(links).select(F.col("node").alias("id"), F.col("root").alias("label"))
-        labelled = large.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_ = labelled.groupBy("cluster").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cluster")
-        labelled = labelled.join(open_, "cluster")
-        crossed = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk")
-        crossed = crossed.select("id", "label", "h", "cluster", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), F.col("chunk").alias("side"))
-        links = links.union(stored(resolve(dealt(crossed, "cluster", "lo", "hi"), percent, ["cluster", "lo", "hi"], sided=True)))
-
-    roots = components(links).select(F.col("node").alias("rep"), "root")
-    joined = known.join(roots, "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("component_id"))
+            roots = components(links)
+            open_ = unsettled()
+        if open_.head(1):
+            crossed = join_few(large, open_, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk")
+            crossed = crossed.select("id", "label", "h", "cluster", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), F.col("chunk").alias("side"))
+            last = stored(resolve(dealt(crossed, "cluster", "lo", "hi"), percent, ["cluster", "lo", "hi"], sided=True))
+            if last.head(1):
+                roots = components(links.union(last))
+
+    joined = known.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("component_id"))
     return joined.union(whole.where("n = 0").select("id", "n", "id")).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
