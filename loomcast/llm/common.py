@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,12 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, after telling the session to send rows to Python in batches that stay small though texts be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `size` bytes of the text column, so that a task's memory stays flat."""
     for batch in batches:
@@ -58,33 +65,56 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 8 << 20)
             yield batch.slice(at, step)
 
 
+EDGES = 500_000
+
+
+def contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """hi, lo: for the edges of each of so many tasks, every node with the smallest that it reaches by them."""
+
+    def contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = [f.to_numpy(np.int64) for f in frames]
+        if pairs:
+            e = np.concatenate(pairs)
+            nodes, at = np.unique(e, return_inverse=True)
+            at = at.reshape(e.shape)
+            parts = Connected(len(nodes))
+            parts.add(at[:, 0], at[:, 1])
+            low = nodes[parts.root]
+            yield pd.DataFrame({"hi": nodes[low < nodes], "lo": low[low < nodes]})
+
+    return edges.coalesce(tasks).mapInPandas(contract, "hi long, lo long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(src, dst), root being the smallest node reachable.
 
-    Alternating large-star and small-star passes over the edge list; both only group by node and take minima, which
-    Spark combines before the shuffle, so a node with very many neighbours is no hot task.  Each pass is a table in the shared
-    folder, which takes the place of the one before.
+    Edges are first contracted in blocks of about EDGES, one task for each.  If that takes several blocks, large-star and
+    small-star passes over the edge list follow; both only group by node and take minima, which Spark combines before the
+    shuffle, so a node with very many neighbours is no hot task.  Each pass is a table in the shared folder, which takes
+    the place of the one before; once a table fits in a block, that block settles it.
     """
     spark = edges.sparkSession
     e, path = written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct())
     before = None
     for _ in range(rounds):
-        both = e.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(e.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        blocks = max(1, -(-now[0] // EDGES))
+        one = contracted(e, blocks)
+        if blocks == 1 or now == before:
+            roots = (one if blocks == 1 else e.groupBy("hi").agg(F.min("lo").alias("lo"))).select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            return stored(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
+        before = now
+        one, first = written(one)
+        both = one.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(one.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("x")).select("n", F.least("n", "x").alias("x"))
         large = both.join(least, "n").where("m > n").select(F.col("m").alias("hi"), F.col("x").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("x"))
         small = large.join(least, "hi").select(F.when(F.col("lo") == F.col("x"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("x").alias("lo"))
         e, last = written(small.where("hi <> lo").distinct())
         forget(spark, path)
+        forget(spark, first)
         path = last
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components: not settled")
-    roots = e.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
-    return stored(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
+    raise RuntimeError("components: not settled")
 
 
 def forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.common import Connected, components, forest, join_few, slices, stored
+from loomcast.llm.common import Connected, components, forest, join_few, short_batches, slices, stored
 from loomcast.llm.words import shingles
 
 TILE = 4096  # classes in a tile, on average
@@ -224,14 +224,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     texts and those without words have no shingle and link with nothing.  Rows that share a key are one document if their
     sets are equal.  Rows with a null key are left out; an empty table gives an empty one.
     """
-    whole = stored(sets(docs, key, text, size))
+    whole = stored(sets(short_batches(docs), key, text, size))
     some = whole.where("n > 0")
     named = some.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     known = stored(some.join(named, ["f1", "f2"]).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bits")).alias("bits")))
     classes = known.where("id = rep").select("id", "n", "bits")
     clusters = components(candidate_edges(classes, percent)).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     sized = clusters.join(classes.select("id", "n"), "id")
-    totals = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"), F.sum("n").alias("weight"))
+    totals = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
     placed = stored(sized.join(totals, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select("id", "cluster", "chunks", "chunk", "n"))
     buckets = max(1, math.ceil((placed.agg(F.sum("n")).first()[0] or 0) / CHUNK))
     dealt = lambda df, *by: df.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomcast.llm.bpe import BYTE_LEVEL_SPLIT, byte_letters
-from loomcast.llm.common import slices, stored
+from loomcast.llm.common import short_batches, slices, stored
 
 
 def ranked_encoder(path: str) -> tiktoken.Encoding:
@@ -80,7 +80,7 @@ def token_pieces(df: DataFrame, vocabulary: str, size: int = 2048, end_id: int =
             made = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays([*(rest.columns if rest else []), *made], names=[f.name for f in schema])
 
-    return df.select(text, *kept).mapInArrow(run, schema)
+    return short_batches(df).select(text, *kept).mapInArrow(run, schema)
 
 
 def best_two(counts: np.ndarray, gap: int) -> tuple[int, int]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.common import join_few, slices, stored
+from loomcast.llm.common import join_few, short_batches, slices, stored
 from loomcast.llm.words import hashes, runs, split
 
 _GRAM = 8
@@ -161,7 +161,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     document that shares their first seed words.
     """
     seed = least - window + 1
-    named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
+    named = short_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
     grouped = matches(named, least, window).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("lo", "hi", "size", "other", "diag")).alias("rows"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +232,7 @@ def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "tex
     Documents of which no word is left are dropped if a span took their words.
     """
     grouped = spans.groupBy(F.col("id").alias("_cut_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_cut_spans"))
-    joined = docs.join(grouped, F.col(key).cast("long") == F.col("_cut_id"), "left")
+    joined = short_batches(docs).join(grouped, F.col(key).cast("long") == F.col("_cut_id"), "left")
 
     @F.pandas_udf("string")
     def shortened(texts: pd.Series, cuts: pd.Series) -> pd.Series:

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomcast.llm.common import slices
+from loomcast.llm.common import short_batches, slices
 
 _EDGES = " .,;:!?\"'()[]{}|*%&$#<>-_/\\«»“”„‘’…"
-_KEPT = 400_000
+_KEPT = 100_000
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,7 @@ class Settings:
     """max_train bounds (in expectation) the labelled rows that a fit takes; the rest are the usual FTRL terms."""
 
     bits: int = 20
-    max_train: int = 16_000
+    max_train: int = 8_000
     epochs: int = 5
     alpha: float = 2.0
     beta: float = 1.0
@@ -77,27 +77,23 @@ def features(text: str | None, bits: int) -> np.ndarray:
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, s: Settings) -> np.ndarray:
     """Weights (the last is the intercept) after s.epochs passes over rows in the order given."""
-    size = (1 << s.bits) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    rows = [np.append(r, size - 1) for r in rows]
-    penalty = np.full(size, s.l1)
-    penalty[-1] = 0.0
-
-    def weight(i: np.ndarray) -> np.ndarray:
-        zi, p = z[i], penalty[i]
-        w = (np.sign(zi) * p - zi) / ((s.beta + np.sqrt(n[i])) / s.alpha + s.l2)
-        w[np.abs(zi) <= p] = 0.0
-        return w
+    size = 1 << s.bits
+    z, n = np.zeros(size + 1), np.zeros(size + 1)
+
+    def weight(zi: np.ndarray, ni: np.ndarray, l1: float) -> np.ndarray:
+        w = (np.sign(zi) * l1 - zi) / ((s.beta + np.sqrt(ni)) / s.alpha + s.l2)
+        return np.where(np.abs(zi) <= l1, 0.0, w)
 
     for _ in range(s.epochs):
         for i, y in zip(rows, labels):
-            w = weight(i)
-            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35.0, 35.0))) - y
+            w, bias = weight(z[i], n[i], s.l1), float(weight(z[size], n[size], 0.0))
+            g = 1.0 / (1.0 + np.exp(-min(35.0, max(-35.0, w.sum() + bias)))) - y
             g *= s.positive if y else 1.0
-            step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / s.alpha
-            z[i] += g - step * w
-            n[i] += g * g
-    return weight(np.arange(size))
+            for at, value in ((i, w), (size, bias)):
+                old = n[at]
+                n[at] = old + g * g
+                z[at] += g - (np.sqrt(old + g * g) - np.sqrt(old)) / s.alpha * value
+    return np.append(weight(z[:size], n[:size], s.l1), weight(z[size:], n[size:], 0.0))
 
 
 def cut_point(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -133,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     in the order of the hash, as FTRL is sequential.  Without rows the model scores every text about 0.
     """
     bits = settings.bits
+    short_batches(docs)
     rows = labels.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     rows = rows.where(F.col("y").isin(0, 1) & F.col("k").isNotNull())
     total = rows.count()
@@ -165,7 +162,7 @@ def score(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str
 
     Whole texts are scored, each row by itself.  Null and empty texts get the score of a text without features.
     """
-    kept = [c for c in df.columns if c not in names]
+    kept = [c for c in short_batches(df).columns if c not in names]
     weights = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
