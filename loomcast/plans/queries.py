@@ -1,6 +1,7 @@
 """The registered queries over the TPC-H-like tables, each over its whole tables, with DuckDB SQL where SQL can say it.
 
-Doubles are rounded on both sides, after aggregation; counts are long; times are text.
+Doubles are rounded on both sides, after aggregation; counts are long; times are text.  A mean of short decimals may lie
+half-way between two rounded values, where the order of a sum decides, so both sides first move it up by NUDGE.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from loomcast.sources import series as sources
 from loomcast.sources import synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
+NUDGE = 1e-9
 FOUND: dict[str, tuple[Query, str | None]] = {}
 
 
@@ -36,7 +38,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     def one(name: str, kind: str) -> Column:
         c = F.col(f"`{name}`")
         if kind == "double":
-            return (F.round(c, digits) + F.lit(0.0)).alias(name)
+            return (F.round(c + F.lit(NUDGE), digits) + F.lit(0.0)).alias(name)
         if kind in ("int", "bigint", "smallint", "tinyint"):
             return c.cast("long").alias(name)
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(name) if kind.startswith("timestamp") else c
@@ -46,7 +48,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def sql(inner: str, text: str = "", whole: str = "", real: str = "", time: str = "", digits: int = 6) -> str:
     """A statement whose last SELECT is `FROM x`: its columns by kind, tidied as in tidy()."""
-    columns = [*text.split(), *(f"CAST({c} AS BIGINT) AS {c}" for c in whole.split()), *(f"round({c}, {digits}) + 0e0 AS {c}" for c in real.split())]
+    columns = [*text.split(), *(f"CAST({c} AS BIGINT) AS {c}" for c in whole.split()), *(f"round({c} + {NUDGE!r}, {digits}) + 0e0 AS {c}" for c in real.split())]
     columns += [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in time.split()]
     return f"WITH {inner} SELECT {', '.join(columns)} FROM x"
 
@@ -450,7 +452,7 @@ d AS (SELECT p.unique_id, event_id, g, coalesce(flat, avg(CASE WHEN b <= thresh
 x AS (SELECT unique_id, g::DOUBLE AS x, avg(v) AS mean, quantile_cont(v, 0.05) AS lower, quantile_cont(v, 0.95) AS upper FROM d GROUP BY 1, 2)"""
 
 
-@query(sql(_DEPENDENCE, "unique_id", "", "x mean lower upper").replace("FROM x", "FROM x AS q").replace("round(x, 6)", "round(q.x, 6)"))
+@query(sql(_DEPENDENCE, "unique_id", "", "x mean lower upper").replace("FROM x", "FROM x AS q").replace("round(x +", "round(q.x +"))
 def q_partial_dependence(spark, sf_dir):
     rows = _read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("unique_id"), F.hour("ts").alias("k")).agg((F.avg("value") / 100).alias("a"), (F.min("value") / 100).alias("b"))
     design = rows.select("unique_id", F.array("a", "b").alias("x_ge"))
