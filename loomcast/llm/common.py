@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def return_memory() -> None:
+    """Have freed blocks of 4 MB or more go back to the system at once, Arrow's too.
+
+    Spark keeps Python workers for later tasks.  By default each keeps some dozens of MB of the largest arrays that it
+    has ever held.  Modules with functions for workers import this one, so that every worker has it.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such settings
+        trim_threshold, mmap_threshold = -1, -3
+        ctypes.CDLL(None).mallopt(mmap_threshold, 4 << 20)
+        ctypes.CDLL(None).mallopt(trim_threshold, 8 << 20)
+
+
+return_memory()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,7 +70,7 @@ def forget(spark: SparkSession, path: str) -> None:
 
 def short_batches(df: DataFrame) -> DataFrame:
     """df, after telling the session to send rows to Python in batches that stay small though texts be long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return df
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from loomcast.llm.common import short_batches, slices
 
 _EDGES = " .,;:!?\"'()[]{}|*%&$#<>-_/\\«»“”„‘’…"
-_KEPT = 100_000
+_KEPT = 25_000
 
 
 @dataclass(frozen=True)

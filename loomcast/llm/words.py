@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_KEPT = 100_000
+_KEPT = 25_000
 _known: dict[bytes, int] = {}
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
