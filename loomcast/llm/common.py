@@ -25,7 +25,7 @@ def return_memory() -> None:
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such settings
         trim_threshold, mmap_threshold = -1, -3
         ctypes.CDLL(None).mallopt(mmap_threshold, 4 << 20)
-        ctypes.CDLL(None).mallopt(trim_threshold, 8 << 20)
+        ctypes.CDLL(None).mallopt(trim_threshold, 32 << 20)
 
 
 return_memory()

@@ -23,7 +23,7 @@ from loomcast.llm.common import Connected, components, forest, join_few, short_b
 from loomcast.llm.words import shingles
 
 TILE = 4096  # classes in a tile, on average
-ROWS, COLS = 128, 2048  # the part of a pair of tiles that is compared at once
+ROWS, COLS = 64, 1024  # the part of a pair of tiles that is compared at once: its matrices stay in a core's cache
 CHUNK = 200_000  # shingles of a cluster that one task holds, on average
 BANDS = 4  # bands in which a size grows by 1 / threshold
 
