@@ -188,6 +188,22 @@ def test_language_learns(spark):
     assert empty.where("lang_pred <> 'und' OR rejected").count() == 0
 
 
+def test_language_rejects_foreign_and_junk_texts_of_any_length(spark):
+    def text(seed, letters, n):
+        r = random.Random(seed)
+        stock = ["".join(random.Random(f"{letters}{k}").choices(letters, k=3 + k % 6)) for k in range(300)]
+        return " ".join(r.choices(stock, k=n))
+
+    sizes = (6, 12, 30, 100, 400, 900)
+    clean = [(text(f"{lang}{k}", lang, sizes[k % 6]), lang) for k in range(240) for lang in ("abdeilmnorst", "aeghkmpruwyz")]
+    docs = spark.createDataFrame([(k, t, lang, "s", len(t)) for k, (t, lang) in enumerate(clean)], DOC)
+    model = langid.fit(docs.where("doc_id % 3 <> 1"))
+    assert langid.identify(docs, model).where("rejected OR lang <> lang_pred").count() == 0
+    foreign = [text(f"f{k}", letters, n) for k in range(5) for n in (30, 100, 400) for letters in ("абвгдежзиклмнопрст", "αβγδεζηθικλμνξοπ", "bcdfghjklmnpqrstvwxz", "".join(map(chr, range(0x4E00, 0x4F00))))]
+    # random strings of the learned letters are another matter; these share none or few of the n-grams
+    assert langid.identify(documents(spark, foreign), model).where("NOT rejected").count() == 0
+
+
 def test_contract_queries_on_small_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
     three = queries.op3_toxicity(spark, sf).toPandas()
