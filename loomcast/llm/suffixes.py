@@ -1,12 +1,13 @@
 """Suffix-array dedup: sparse suffix arrays over words.
 
 Suffixes are retained at content-selected positions: the leftmost smallest hash of a short run of words in every window
-of positions.  Any passage of `least` words that two documents share has such a position among its first `window` words,
-so the two suffixes agree for at least `seed` = least - window + 1 words.  Suffixes are sorted by their first words; equal
-neighbours are matches, and each is laid to the first document of its run.  Matches are then extended word by word to the
-left and the right, and those of at least `least` words are kept.
+of positions.  Each passage of `least` words has such a position, its anchor, among its first `window` words; two equal
+passages have it at the same word, and agree for at least `seed` = least - window + 1 words from there.  Suffixes are
+sorted by those words, each with the hashes of the passages that it anchors, one for each word of the document.  Every
+passage is laid to the first document of its run that holds all of it, so that none depends on what else shares its seed;
+passages that follow each other in both documents are joined.
 
-A batch of documents sorts its own suffixes first and passes on only one of each run, so that a passage which very many
+A batch of documents compares its own passages first and passes on only one of each, so that a passage which very many
 documents share is no long run anywhere.
 """
 
@@ -18,13 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.common import join_few, short_batches, slices, stored
-from loomcast.llm.words import hashes, runs, split
+from loomcast.llm.common import short_batches, slices
+from loomcast.llm.words import hashes, mixed, runs, split
 
 _GRAM = 8
+_BYTES = 6  # of a passage: 44 bits of its hash, 4 of the distance from its anchor
+_ROWS = 20_000
 _WORD = re.compile(rb"[^ \t-\r]+")
 
 
@@ -37,93 +41,119 @@ def positions(h: np.ndarray, window: int) -> np.ndarray:
     return np.unique(own + np.arange(len(own)))
 
 
-def neighbours(key: np.ndarray, longer: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For suffixes sorted by (key, doc, pos): the first suffix with the same longer key (0: none) if it is of another
-    document, else the first with the same key if that is; -1 if neither is.  Whether the longer keys agree.  Whether the
-    row begins a run of either kind."""
-    n, at = len(key), np.arange(len(key))
-    if not n:
-        return at, np.empty(0, bool), np.empty(0, bool)
-    new = np.r_[True, key[1:] != key[:-1]]
-    head = np.maximum.accumulate(np.where(new, at, 0))
-    order = np.lexsort((pos, doc, longer, key))
-    begins = np.r_[True, (np.diff(key[order]) != 0) | (np.diff(longer[order]) != 0)]
-    head_long, starts = np.empty(n, int), np.zeros(n, bool)
-    head_long[order] = order[np.maximum.accumulate(np.where(begins, at, 0))]
-    starts[order[begins]] = True
-    strong = (doc[head_long] != doc) & (longer != 0)
-    return np.where(strong, head_long, np.where(doc[head] != doc, head, -1)), strong, starts | new
-
-
-def islands(doc: np.ndarray, other: np.ndarray, diag: np.ndarray, pos: np.ndarray, size: np.ndarray) -> pd.DataFrame:
-    """Matches of size words joined while each begins before the last ends on the same diagonal: doc, other, diag, lo, hi, size."""
-    order = np.lexsort((pos, size, diag, other, doc))
-    doc, other, diag, pos, size = (x[order] for x in (doc, other, diag, pos, size))
-    cut = np.ones(len(doc), bool)
-    if len(doc) > 1:
-        same = (doc[1:] == doc[:-1]) & (other[1:] == other[:-1]) & (diag[1:] == diag[:-1]) & (size[1:] == size[:-1])
-        cut[1:] = ~(same & (pos[1:] - pos[:-1] <= size[1:]))
-    first = np.flatnonzero(cut)
+def passages(h: np.ndarray, least: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each passage of `least` words: the hash of the seed at its anchor, the anchor, the passage's own hash."""
+    grams = runs(h, min(_GRAM, least - window + 1))[: len(h) - least + window]
+    anchor = np.lib.stride_tricks.sliding_window_view(grams, window).argmin(1) + np.arange(len(h) - least + 1)
+    return runs(h, least - window + 1)[anchor], anchor, runs(h, least)
+
+
+def heads(v: np.ndarray) -> np.ndarray:
+    """For each value the number of the first row that has it."""
+    order = np.argsort(v, kind="stable")
+    ordered = v[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]][: len(v)]
+    out = np.empty(len(v), int)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))]
+    return out
+
+
+def islands(doc: np.ndarray, other: np.ndarray, diag: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc, other, diag, lo, hi: equal stretches joined where one begins before another ends on the same diagonal."""
+    order = np.lexsort((lo, diag, other, doc))
+    doc, other, diag, lo, hi = (x[order] for x in (doc, other, diag, lo, hi))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]) | (diag[1:] != diag[:-1])
+    line = np.cumsum(new) << 32
+    end = np.maximum.accumulate(line + hi)  # a stretch may lie within one before it
+    new[1:] |= (line + lo)[1:] > end[:-1]
+    first = np.flatnonzero(new)
     last = np.r_[first[1:], len(doc)][: len(first)] - 1
-    return pd.DataFrame({"doc": doc[first], "other": other[first], "diag": diag[first].astype(np.int32), "lo": pos[first].astype(np.int32), "hi": (pos[last] + size[last]).astype(np.int32), "size": size[first].astype(np.int32)})
-
-
-def found_in(key: np.ndarray, longer: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: int, seed: int, pass_on: bool) -> tuple[pd.DataFrame, np.ndarray]:
-    """Islands among sorted suffixes, and which rows must still meet the suffixes of other batches (none unless pass_on)."""
-    near, strong, begins = neighbours(key, longer, doc, pos)
-    go = (begins | (near < 0)) & pass_on
-    k = np.flatnonzero((near >= 0) & ~go)
-    return islands(doc[k], doc[near[k]], pos[k] - pos[near[k]], pos[k], np.where(strong[k], least, seed)), go
+    return doc[first], other[first], diag[first], lo[first], (end - line)[last]
 
 
 def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
-    """doc, other, diag, lo, hi, size: matches of docs (id long, t) with an earlier document, of size words or joined of such."""
-    seed = least - window + 1
-    columns = ["doc", "other", "diag", "lo", "hi", "size"]
+    """doc, other, diag, lo, hi: stretches of docs (id long, t) that an earlier document has, each of `least` words or joined
+    of such."""
+    if not 0 < window <= min(16, least):
+        raise ValueError("window must be 1 to 16 and at most least")
+    match = pa.schema([("doc", pa.int64()), ("other", pa.int64()), ("diag", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+    row = pa.schema([("key", pa.int64()), ("grams", pa.binary()), *match])
+
+    def found(doc: np.ndarray, at: np.ndarray, head: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        k, o = np.flatnonzero(rows), head[rows]
+        return list(islands(doc[k], doc[o], at[k] - at[o], at[k], at[k] + least))
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
             parts = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), key=lambda r: r[0]):
                 h = hashes(split(text))
-                if len(h) < least:
-                    continue
-                p = positions(h, window)
-                p = p[p + seed <= len(h)]
-                long_ = runs(h, least)
-                longer = np.zeros(len(p), np.int64)
-                has = p < len(long_)
-                longer[has] = long_[p[has]].view(np.int64)
-                parts.append((runs(h, seed)[p].view(np.int64), longer, np.full(len(p), doc, np.int64), p.astype(np.int64)))
+                if len(h) >= least:
+                    key, anchor, own = passages(h, least, window)
+                    parts.append((key, anchor, own, np.full(len(own), doc, np.int64), np.arange(len(own))))
             if not parts:
                 continue
-            key, longer, doc, pos = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((pos, doc, key))
-            key, longer, doc, pos = key[order], longer[order], doc[order], pos[order]
-            done, go = found_in(key, longer, doc, pos, least, seed, True)
-            on = pd.DataFrame({"key": key[go], "longer": longer[go], "doc": doc[go], "other": -1, "diag": 0, "lo": pos[go].astype(np.int32), "hi": 0, "size": 0})
-            both = pd.concat([on, done.assign(key=done["doc"], longer=0)]).astype({"diag": np.int32, "hi": np.int32, "size": np.int32})
-            yield pa.RecordBatch.from_pandas(both[["key", "longer", *columns]], preserve_index=False)
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def found(f: pd.DataFrame) -> pd.DataFrame:
-            open_ = f["size"].to_numpy() == 0
-            new, _ = found_in(*(f[c].to_numpy(np.int64)[open_] for c in ("key", "longer", "doc", "lo")), least, seed, False)
-            return pd.concat([f.loc[~open_, columns], new])
-
-        kept = None
-        for f in frames:
-            f = f if kept is None else pd.concat([kept, f], ignore_index=True)
-            whole = f["key"].to_numpy() != f["key"].iloc[-1]  # the last run may go on in the next batch
-            kept = f[~whole]
-            if whole.any():
-                yield found(f[whole])
-        if kept is not None:
-            yield found(kept)
-
-    retained = docs.select("id", "t").mapInArrow(retain, "key long, longer long, doc long, other long, diag int, lo int, hi int, size int")
-    ordered = retained.repartition("key").sortWithinPartitions("key", "doc", "lo")
-    return ordered.mapInPandas(compare, "doc long, other long, diag int, lo int, hi int, size int")
+            key, anchor, own, doc, at = (np.concatenate(x) for x in zip(*parts))
+            head = heads(own)
+            settled = doc[head] != doc
+            done = found(doc, at, head, settled)
+            key, anchor, own, doc, at = (x[~settled] for x in (key, anchor, own, doc, at))
+            first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])][: len(doc)])
+            code = ((own >> np.uint64(20)) << np.uint64(4)) | (anchor - at).astype(np.uint64)
+            raw = code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+            ends = (np.r_[first, len(doc)] * _BYTES).astype(np.int32)
+            grams = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+            none = np.zeros(len(first), np.int32)
+            on = [key[first].view(np.int64), grams, doc[first], np.full(len(first), -1), none, anchor[first].astype(np.int32), none]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(on, row)], schema=row)
+            settled = [done[0], pa.nulls(len(done[0]), pa.binary()), *done]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(settled, row)], schema=row)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
+
+        def settle(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            """Matches of the next rows.  Of the last run, which may go on, the first of each passage are kept."""
+            t = pa.Table.from_batches(parts).combine_chunks()
+            key = t.column("key").to_numpy().view(np.uint64)
+            same = key[1:] == key[:-1]
+            run = np.r_[same, True] | np.r_[False, same]
+            if len(kept[0]):
+                run |= key == kept[0][0]
+            t = t.filter(pa.array(run)).combine_chunks()
+            grams = t.column("grams").combine_chunks()
+            grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
+            ends = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1]
+            raw = np.frombuffer(grams.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, _BYTES)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :_BYTES] = raw
+            code, n = wide.view("<u8").ravel(), np.diff(ends) // _BYTES
+            new = [np.repeat(key[run], n), code, np.repeat(t.column("doc").to_numpy(), n), np.repeat(t.column("lo").to_numpy().astype(np.int64), n) - (code & np.uint64(15)).astype(np.int64)]
+            old = len(kept[0])
+            k, code, doc, at = (np.concatenate(x) for x in zip(kept, new))
+            head = heads(mixed(k) + code)
+            late = np.arange(len(k)) >= old
+            out = found(doc, at, head, late & (doc[head] != doc))
+            stay = (k == key[-1]) & (head == np.arange(len(k)))
+            kept[:] = k[stay], code[stay], doc[stay], at[stay]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, match)], schema=match)
+
+        parts, n = [], 0
+        for batch in batches:
+            done = batch.column(1).is_null()
+            yield batch.filter(done).select(match.names)
+            parts.append(batch.filter(pc.invert(done)))
+            n += parts[-1].num_rows
+            if n >= max(_ROWS, len(kept[0]) // 8):
+                yield settle(parts)
+                parts, n = [], 0
+        if n:
+            yield settle(parts)
+
+    kinds = "doc long, other long, diag int, lo int, hi int"
+    retained = docs.select("id", "t").mapInArrow(retain, f"key long, grams binary, {kinds}")
+    return retained.repartition("key").sortWithinPartitions("key", "doc", "lo").mapInArrow(compare, kinds)
 
 
 def cover(rows: list[tuple], least: int) -> list[tuple]:
@@ -157,58 +187,24 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     start and stop count words; the passage begins at start - diag in the document `other`, which has a smaller key.  A
     stretch that no one document shares is given in overlapping pieces.  Null texts and texts of fewer words have none; a
     text that repeats itself isn't matched with itself; rows that share a key are one document here; rows with a null key
-    have none.  All passages of at least least + window - 1 words are found; shorter ones are compared with the first
-    document that shares their first seed words.
+    have none.  Every word of every such passage lies in one that is given.
     """
-    seed = least - window + 1
     named = short_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
-    grouped = matches(named, least, window).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("lo", "hi", "size", "other", "diag")).alias("rows"))
+    grouped = matches(named, least, window).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("lo", "hi", "other", "diag")).alias("rows"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out = [(i, *r) for i, rows in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for r in cover([tuple(r.values()) for r in rows], least)]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
-                columns = zip(*out) if out else ((),) * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "lo", "hi", "size", "other", "diag", "left", "right"])
-
-    chosen = stored(grouped.mapInArrow(choose, "id long, lo int, hi int, size int, other long, diag int, left boolean, right boolean"))
-    ends = chosen.where("left OR right")
-    far = ends.select(F.col("other").alias("id"), (F.col("lo") - F.col("diag")).alias("lo"), (F.col("hi") - F.col("diag")).alias("hi"))
-    points = stored(ends.select("id", "lo", "hi").union(far).distinct())
-    asked = points.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))
-    texts = join_few(named, stored(points.select("id").distinct()), "id", "left_semi")
-
-    def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, 1 << 20):
             out = []
-            for t, i, rows in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                h = hashes(split(t))
-                out += [(i, r["lo"], r["hi"], h[max(0, r["lo"] - window) : r["lo"]].tobytes(), h[r["hi"] : r["hi"] + window].tobytes()) for r in rows]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["id", "lo", "hi", "before", "after"])
-
-    around = stored(texts.join(asked, "id").select("t", "id", "asked").mapInArrow(surround, "id long, lo int, hi int, before binary, after binary"))
-    mine = ends.join(around, ["id", "lo", "hi"]).withColumn("wlo", F.col("lo") - F.col("diag")).withColumn("whi", F.col("hi") - F.col("diag"))
-    theirs = around.select(F.col("id").alias("other"), F.col("lo").alias("wlo"), F.col("hi").alias("whi"), F.col("before").alias("before2"), F.col("after").alias("after2"))
-
-    @F.pandas_udf("l int, r int")
-    def extended(b1: pd.Series, b2: pd.Series, a1: pd.Series, a2: pd.Series) -> pd.DataFrame:
-        def common(x: bytes, y: bytes, back: bool) -> int:
-            n = min(len(x), len(y)) // 8
-            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            same = u[len(u) - n :][::-1] == v[len(v) - n :][::-1] if back else u[:n] == v[:n]
-            return n if same.all() else int(same.argmin())
-
-        return pd.DataFrame({"l": [common(x, y, True) for x, y in zip(b1, b2)], "r": [common(x, y, False) for x, y in zip(a1, a2)]}, dtype=np.int32)
-
-    # Rows that share a key meet more than once here; distinct makes them one.
-    grown = mine.join(theirs, ["other", "wlo", "whi"]).withColumn("e", extended("before", "before2", "after", "after2"))
-    start, stop = F.col("lo") - F.when(F.col("left"), F.col("e.l")).otherwise(0), F.col("hi") + F.when(F.col("right"), F.col("e.r")).otherwise(0)
-    outer = grown.select("id", start.alias("start"), stop.alias("stop"), "other", "diag").where(F.col("stop") - F.col("start") >= least)
-    inner = chosen.where("NOT (left OR right)").select("id", F.col("lo").alias("start"), F.col("hi").alias("stop"), "other", "diag")
-    return outer.union(inner).distinct()
+            for i, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                lo, hi, other, diag = (x.to_numpy(zero_copy_only=False) for x in rows.values.flatten())
+                joined = islands(np.zeros(len(lo), int), other, diag, lo, hi)
+                rows = [(a, b, least, o, d) for _, o, d, a, b in zip(*(x.tolist() for x in joined))]
+                out += [(i, a, b, o, d) for a, b, _, o, d, *_ in cover(rows, least)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            columns = zip(*out) if out else ((),) * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "start", "stop", "other", "diag"])
+
+    return grouped.mapInArrow(choose, "id long, start int, stop int, other long, diag int")
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -92,6 +92,35 @@ def test_suffixes_find_planted_passages(spark):
     assert not {0, 1, 4} & set(got) and {11, 12, 13} <= set(got)
 
 
+def covered(spark, texts):
+    """The words that suffixes.repeated marks, and those of passages of 50 words in an earlier text."""
+    got, want, seen = set(), set(), {}
+    for r in suffixes.repeated(documents(spark, texts)).collect():
+        a, b = texts[r.id].split(), texts[r.other].split()
+        assert r.other < r.id and a[r.start : r.stop] == b[r.start - r.diag : r.stop - r.diag]
+        got |= {(r.id, w) for w in range(r.start, r.stop)}
+    for k, t in enumerate(texts):
+        w = t.split()
+        for x in range(len(w) - 49):
+            if seen.setdefault(tuple(w[x : x + 50]), k) < k:
+                want |= {(k, y) for y in range(x, x + 50)}
+    return got, want
+
+
+def test_suffixes_cover_overlapping_passages_of_several_documents(spark):
+    texts, late, r = [], [], random.Random(3)
+    for k in range(60):
+        words = prose(500 + k, 400, 10**6).split()
+        late.append(" ".join(words))
+        at = 0
+        while at < 330:
+            n = r.randrange(50, 70)
+            texts.append(" ".join([prose(r.random(), 20, 10**6), *words[at : at + n], prose(r.random(), 20, 10**6)]))
+            at += r.randrange(1, 60)
+    got, want = covered(spark, texts + late)
+    assert got == want and len(want) > 10_000
+
+
 def test_suffixes_cut(spark):
     passage = prose(7, 60)
     docs = documents(spark, [prose(8, 60) + " " + passage, passage, passage + " tail", None, ""], True)

@@ -201,3 +201,9 @@ def test_ftrl_finds_the_telling_feature():
     assert w[7] > 1 and (w != 0).sum() < 200
     right = [(w[r].sum() + w[-1] >= 0) == bool(t) for r, t in zip(rows, y)]
     assert np.mean(right) > 0.98
+
+
+def test_islands_hold_stretches_that_lie_within_others():
+    one = np.zeros(4, np.int64)
+    got = suffixes.islands(one, one, one, np.array([0, 120, 10, 500]), np.array([200, 170, 60, 550]))
+    assert got[3].tolist() == [0, 500] and got[4].tolist() == [200, 550]
