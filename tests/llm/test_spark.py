@@ -121,6 +121,16 @@ def test_suffixes_cover_overlapping_passages_of_several_documents(spark):
     assert got == want and len(want) > 10_000
 
 
+def test_suffixes_of_one_lead_with_several_endings(spark):
+    texts = []
+    for k in range(40):
+        lead = prose(900 + k, 49, 10**6)
+        for ending in ("a", "b", "b", "c", "b", "c"):
+            texts.append(f"{prose(len(texts), 30, 10**6)} {lead} {prose(f"{k}{ending}", 6, 10**6)} {prose(-1 - len(texts), 30, 10**6)}")
+    got, want = covered(spark, texts)
+    assert got == want and {k for k, _ in want} == {6 * g + e for g in range(40) for e in (2, 4, 5)}
+
+
 def test_suffixes_cut(spark):
     passage = prose(7, 60)
     docs = documents(spark, [prose(8, 60) + " " + passage, passage, passage + " tail", None, ""], True)
