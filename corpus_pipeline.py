@@ -8,9 +8,10 @@ documents with null or empty texts, unless they are rejected by the rule of the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomcast.llm import jaccard, langid, suffixes, toxicity
-from loomcast.llm.common import stored, table
+from loomcast.llm.common import join_few, stored, table
 from loomcast.llm.queries import in_fold, packed
 
 
@@ -30,10 +31,24 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies, and all that are in none."""
-    groups = jaccard.join(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest doc_id of each group of near copies, and all that are in none.
+
+    Of rows that repeat doc_id and text one stays.  Different texts that share a doc_id are documents of their own; of
+    those in one group the one with the smaller hash stays.  Rows with a null doc_id stay.
+    """
+    shared = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not shared.head(1):
+        groups = jaccard.join(docs.select("doc_id", "text"))
+        gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    marked = join_few(docs, stored(shared.withColumn("_shared", F.lit(True))), "doc_id", "left")
+    keyed = marked.withColumn("_key", F.when(F.col("_shared"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
+    groups = jaccard.join(keyed.select("_key", "text"), key="_key").select("_key", "component_id")
+    ids = groups.join(keyed.select("_key", "doc_id"), "_key").distinct()
+    first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+    gone = ids.join(first, "component_id").where(F.col("_key") != F.col("first._key")).select("_key").distinct()
+    left = stored(keyed.join(gone, "_key", "left_anti"))
+    return left.where("_shared IS NULL").union(left.where("_shared").dropDuplicates(["_key"])).select(*docs.columns)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -289,3 +289,11 @@ def test_pipeline_stages(spark, tmp_path):
     cut = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/3").collect()}
     assert passage in cut[1002] and passage not in cut[1003] and cut[1003].startswith(prose(52, 40, 60))
     assert kept[4] == kept[3] and corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_near_copies_of_repeated_rows_and_shared_ids(spark):
+    a, b, c, d = (prose(seed, 80, 10**6) for seed in (61, 62, 63, 64))
+    rows = [(1, a), (2, b), (2, b), (3, c), (3, a), (4, d), (4, c + " more"), (5, None), (None, a)]
+    docs = spark.createDataFrame([(k, t, "en", "s", None) for k, t in rows], DOC)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies_out(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (3, c), (4, d), (5, None), (None, a)], key=repr)
