@@ -234,7 +234,7 @@ def test_language_rejects_foreign_and_junk_texts_of_any_length(spark):
         return " ".join(r.choices(stock, k=n))
 
     sizes = (6, 12, 30, 100, 400, 900)
-    clean = [(text(f"{lang}{k}", lang, sizes[k % 6]), lang) for k in range(240) for lang in ("abdeilmnorst", "aeghkmpruwyz")]
+    clean = [(text(f"{lang}{k}", lang, sizes[k % 6]), lang) for k in range(600) for lang in ("abdeilmnorst", "aeghkmpruwyz")]
     docs = spark.createDataFrame([(k, t, lang, "s", len(t)) for k, (t, lang) in enumerate(clean)], DOC)
     model = langid.fit(docs.where("doc_id % 3 <> 1"))
     assert langid.identify(docs, model).where("rejected OR lang <> lang_pred").count() == 0
