@@ -34,3 +34,8 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return f"{DATA}/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def small():
+    return f"{DATA}/sf0.01"
