@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def return_memory() -> None:
@@ -35,10 +37,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column has it (whatever the case of letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def whole_key(df: DataFrame, key: str) -> Column:
+    """The key as a long; a column that doesn't hold whole numbers is refused."""
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be a column of whole numbers, not {df.schema[key].dataType.simpleString()}")
+    return F.col(key).cast("long")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode (tests) one of our own."""
     here = spark.sparkContext.getCheckpointDir()
     if here is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomcast-ck-"))
         here = spark.sparkContext.getCheckpointDir()
     return here
@@ -62,6 +83,24 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that stores frames as `stored` does; at the end of the block their tables are deleted."""
+    paths: list[str] = []
+
+    def put(df: DataFrame) -> DataFrame:
+        out, path = written(df)
+        paths.append(path)
+        return out
+
+    try:
+        yield put
+    finally:
+        for path in paths:
+            forget(spark, path)
+        spark.sparkContext._jvm.System.gc()
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a written folder through Hadoop, so that it works on any store."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
