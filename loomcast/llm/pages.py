@@ -25,6 +25,7 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|
 # Element names of HTML by what they do to text, and names that sites give to what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("head nav footer aside form button select option input dialog menu svg math canvas object embed audio video template map script style textarea title noscript iframe xmp noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -76,7 +77,6 @@ def main_text(source: str | None) -> str:
             if tag not in INLINE:
                 events.append((0, None))
 
-    lower = None
     while True:
         m = _MARKUP.search(source, at)
         end = m.start() if m else len(source)
@@ -107,9 +107,8 @@ def main_text(source: str | None) -> str:
                 elif name in SCOPE:
                     break
         if tag in RAW:
-            lower = source.lower() if lower is None else lower
-            close = lower.find(f"</{tag}", at)
-            at = len(source) if close < 0 else close
+            close = _RAW_END[tag].search(source, at)
+            at = close.start() if close else len(source)
             continue
         if tag in VOID:
             events.append((stack[-1], " ") if tag in INLINE else (0, None))
