@@ -141,33 +141,84 @@ def test_suffixes_cut(spark):
     assert suffixes.repeated(documents(spark, [])).count() == 0
 
 
-def test_vectors_links_and_search(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(60, 8))
-    x[10] = 3 * x[9]
-    x[20:30] = x[0] + 0.02 * rng.normal(size=(10, 8))
-    rows = [(k, [float(v) for v in x[k]], 1) for k in range(60)]
-    rows += [(60, None, 1), (61, [0.0] * 8, 1), (62, [float("nan")] * 8, 1), (63, [1.0, None], 1), (64, rows[5][1], 2), (65, [float("inf")] * 8, 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").select("*", F.lit(1).alias("id"), F.lit(2).alias("v"))
-    every = np.vstack([x, x[5]])
-    u = every / np.linalg.norm(every, axis=1, keepdims=True)
-    link = u @ u.T >= 0.95
-    got = {r.vec_id: r for r in vectors.near_duplicates(df).collect()}
-    ids = [*range(60), 64]
-    assert [got[i].n_links for i in ids] == (link.sum(1) - 1).tolist()
-    assert got[64].component_id == 5 and not got[64].kept and got[10].component_id == 9 and {got[k].component_id for k in range(20, 30)} == {0}
-    assert all(got[k].n_links == 0 and got[k].kept for k in (60, 61, 62, 63, 65))
-    top = vectors.top_k(df, F.col("vec_id") % 20 == 0, k=5)
+VECTORS = "vec_id long, embedding array<{}>, label int"
+
+
+def linked_by_force(x, least=0.95):
+    """Links and smallest reachable row of each row of x."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= least
+    root = list(range(len(x)))
+    for _ in range(len(x)):
+        new = [min(root[j] for j in np.flatnonzero(link[i])) for i in range(len(x))]
+        if new == root:
+            return link.sum(1) - 1, root
+        root = new
+
+
+@pytest.mark.parametrize(("width", "kind"), [(1, "double"), (8, "float"), (16, "double"), (17, "float"), (64, "double")])
+def test_vectors_in_several_blocks_against_brute_force(spark, width, kind):
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(150, width))
+    for k in range(30, 120):  # chains and groups
+        x[k] = x[rng.integers(30)] + rng.choice([0.05, 0.12, 0.2]) * rng.normal(size=width)
+    x[140:145] = x[0]
+    x = x.astype(np.float32).astype(float)
+    ids = rng.permutation(150) * 7
+    df = spark.createDataFrame([(int(i), [float(c) for c in r], 1) for i, r in zip(ids, x)], VECTORS.format(kind)).select("*", F.lit(1).alias("id"), F.lit(2).alias("v"), F.lit(3).alias("extra"))
+    order = np.argsort(ids)
+    links, root = linked_by_force(x[order])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, block=40, steps=(5, 9)).collect()}
+    assert got == {int(ids[order[k]]): (links[k], ids[order[root[k]]], root[k] == k) for k in range(150)}
+    z = {int(i): np.floor(64 * r) for i, r in zip(ids, x)}
     best = {}
-    for r in top.orderBy("query_id", "rank").collect():
-        best.setdefault(r.query_id, []).append((r.score, r.vec_id))
-    assert set(best) == {0, 20, 40}  # of 60 the vector is null
-    z = {i: np.floor(64 * every[k]) for k, i in enumerate(ids)} | {61: np.zeros(8)}
+    for r in vectors.top_k(df, F.col("vec_id") % 20 == 0, k=6, sizes=(3, 20, 2)).orderBy("query_id", "rank").collect():
+        best.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    assert set(best) == {i for i in z if i % 20 == 0}
     for q in best:
-        want = sorted(((int(z[q] @ z[i]), i) for i in z if i != q), key=lambda p: (-p[0], p[1]))[:5]
-        assert best[q] == want
+        want = sorted(((int(z[q] @ z[i]), i) for i in z if i != q), key=lambda p: (-p[0], p[1]))[:6]
+        assert best[q] == [(n, *w) for n, w in enumerate(want, 1)]
+
+
+def test_vectors_odd_rows_and_large_keys(spark):
+    far = 2**60
+    rows = [(far, [1.0, 0.0], 1), (far + 1, [1.0, 0.0], 1), (far + 2, [0.9, 0.1, 0.0], 1), (60, None, 1), (61, [0.0, 0.0], 1), (62, [float("nan"), 1.0], 1), (63, [1.0, None], 1), (64, [], 1), (65, [float("inf"), 1.0], 1), (None, [1.0, 0.0], 1), (7, [1e-200, 1e-200], 1), (8, [1e200, 1e200], 1)]
+    df = spark.createDataFrame(rows, VECTORS.format("double"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    assert got == {far: (2, far), far + 1: (2, far), far + 2: (2, far), 7: (1, 7), 8: (1, 7)} | {k: (0, k) for k in (60, 61, 62, 63, 64, 65)}
+    top = [(r.query_id, r.rank, r.vec_id, r.score) for r in vectors.top_k(df.where("vec_id <> 8"), F.col("vec_id") >= far, k=3).orderBy("query_id", "rank").collect()]
+    assert top[:3] == [(far, 1, far + 1, 4096), (far, 2, far + 2, 64 * 57), (far, 3, 7, 0)] and [t[2] for t in top[3:6]] == [far, far + 2, 7]
     empty = df.limit(0)
     assert vectors.near_duplicates(empty).count() == 0 and vectors.top_k(empty, F.lit(True)).count() == 0
+    with pytest.raises(TypeError):
+        vectors.near_duplicates(df.withColumn("vec_id", F.col("vec_id").cast("string")))
+
+
+def test_packing_ids_are_the_librarys(spark, small):
+    """Every document of a table, and texts that other encoders fail on: ids, checksums, pieces."""
+    t = packing.library(queries.public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    odd = [None, "", "a" + " " * 2_000_000 + "b", "x" * 300_000, "\n \n" * 40_000, "<|endoftext|> a", "\u1c89 \U0001fae9 \u4e00", prose(2, 9000)]
+    docs = docs.union(spark.createDataFrame([(10**9 + k, x) for k, x in enumerate(odd)], "doc_id long, text string"))
+    got = queries.packed(docs).toPandas()
+    want = {}
+    for r in docs.collect():
+        ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[r.doc_id, p] = (a, b - a, zlib.crc32(ids[a:b].tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got.itertuples()} == want
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["length"].sum() <= 2048 and (g["offset"].to_numpy() == np.cumsum(g["length"]) - g["length"]).all()
+    assert got["sequence_id"].nunique() <= got["length"].sum() / 2048 + 2
+
+
+def test_packing_leaves_other_columns_alone(spark):
+    names = ("_bucket", "_in", "_n", "_from", "_at", "offset", "Sequence_ID")
+    docs = documents(spark, ODD).select("doc_id", "text", *(F.lit(77).alias(c) for c in names))
+    got = packing.pack(packing.token_pieces(docs, queries.public_tokenizers.path("byte_bpe_50k.json"))).collect()
+    assert got and all(r[c] == 77 for r in got for c in names[:5]) and all(0 <= r.offset < 2048 for r in got)
 
 
 def test_packing_is_whole_and_gapless(spark):

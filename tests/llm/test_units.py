@@ -115,24 +115,47 @@ def test_forest_and_connected():
         assert (parts((i, 30 + j)) == parts((np.nonzero(link)[0], 30 + np.nonzero(link)[1]))).all()
 
 
-def test_linked_equals_the_plain_product():
-    rng = np.random.default_rng(1)
-    a = rng.normal(size=(200, 64))
-    a[100:150] = a[:50] + 0.05 * rng.normal(size=(50, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    assert (vectors.linked(a, a, [16, 32, 64], 0.95) == (a @ a.T >= 0.95)).all()
-    near = a[:1] + 1e-3 * rng.normal(size=(80, 64))
-    near /= np.linalg.norm(near, axis=1, keepdims=True)
-    assert (vectors.linked(near, near, [16, 32, 64], 0.95) == (near @ near.T >= 0.95)).all()
-
-
-def test_lists_keep_the_best():
+@pytest.mark.parametrize("width", [1, 8, 16, 17, 64])
+def test_linked_equals_the_plain_product(width):
+    rng = np.random.default_rng(width)
+    a = rng.normal(size=(200, width))
+    a[100:150] = a[:50] + 0.05 * rng.normal(size=(50, width))
+    a = vectors.unit(a)
+    axes = np.linalg.qr(rng.normal(size=(width, width)))[0]
+    stops = sorted({min(width, s) for s in (16, 32)} | {width})
+    assert (vectors.linked(a, a, a @ axes, a @ axes, stops, 0.95) == (a @ a.T >= 0.95)).all()
+    near = vectors.unit(a[:1] + 1e-3 * rng.normal(size=(80, width)))
+    assert (vectors.linked(near, near, near @ axes, near @ axes, stops, 0.95) == (near @ near.T >= 0.95)).all()
+
+
+def test_linked_just_below_and_at_the_threshold():
+    for width in (2, 8, 64):
+        u, v = np.zeros((40, width)), np.zeros((3, width))
+        v[:, 0] = 1.0
+        cosines = 0.95 + np.linspace(-9e-6, 9e-6, 40)
+        u[:, 0], u[:, 1] = cosines, np.sqrt(1 - cosines**2)
+        axes = np.linalg.qr(np.random.default_rng(0).normal(size=(width, width)))[0]
+        assert (vectors.linked(u, v, u @ axes, v @ axes, sorted({min(width, 16), width}), 0.95) == (u @ v.T >= 0.95)).all()
+
+
+def test_lists_keep_the_best_and_resolve_few_rows():
     rng = np.random.default_rng(2)
-    x, q = np.floor(64 * rng.normal(size=(300, 16)) / 4), np.floor(64 * rng.normal(size=(9, 16)) / 4)
-    alive = vectors.read_lists(q, x, 5, np.full(9, -np.inf))
-    for k in range(9):
-        s = x @ q[k]
-        assert alive[k][s >= np.sort(s)[-5]].all()
+    x, q = np.floor(64 * rng.normal(size=(2000, 16)) / 4), np.floor(64 * rng.normal(size=(9, 16)) / 4)
+    q[8] = 0.0
+    floors = np.full(9, -np.inf)
+    for depths in (vectors.DEPTHS, (0.1, 1.0), (1.0,)):
+        lists = vectors.Lists(x)
+        i, j, score = lists.search(q[:8], 5, floors[:8], depths)
+        assert lists.resolved == len(i) < 0.02 * 8 * len(x) and (score == (q[i] * x[j]).sum(1)).all()
+        for k in range(8):
+            s = x @ q[k]
+            assert set(np.flatnonzero(s >= np.sort(s)[-5])) <= set(j[i == k])
+    i, j, _ = vectors.Lists(x).search(q, 5, floors)
+    assert (i == 8).sum() == len(x)  # all tie at 0
+    upper, lower, exact = vectors.Lists(x).upper(q, 0.3), vectors.Lists(x).lower(q, 0.3), q @ x.T
+    assert (upper >= exact).all() and (lower <= exact).all()
+    assert (vectors.Lists(x).upper_of(q, i, j, 0.3) == upper[i, j]).all()
+    assert len(vectors.Lists(x[:3]).search(q, 5, floors)[0]) == 27
 
 
 PAGE = """<html><head><title>t</title></head><body class=home><header><h1>Site</h1></header><div id="cookie-notice">We use cookies, ok.</div>
