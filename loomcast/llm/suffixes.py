@@ -4,11 +4,12 @@ Suffixes are retained at content-selected positions: the leftmost smallest hash
 of positions.  Each passage of `least` words has such a position, its anchor, among its first `window` words; two equal
 passages have it at the same word, and agree for at least `seed` = least - window + 1 words from there.  Suffixes are
 sorted by those words, each with the hashes of the passages that it anchors, one for each word of the document.  Every
-passage is laid to the first document of its run that holds all of it, so that none depends on what else shares its seed;
-passages that follow each other in both documents are joined.
+passage is laid to its head: its first place in the document with the smallest key that holds all of it.  Passages that
+follow each other in both documents are joined, so the result is a function of the table, however it is partitioned.
 
-A batch of documents compares its own passages first and passes on only one of each, so that a passage which very many
-documents share is no long run anywhere.
+A batch of documents compares its own passages first and passes on only the first of each, so that a passage which very
+many documents share is no long run anywhere; where that first one turns out to have a head elsewhere, so have the rest.
+A seed which very many documents share, with other words after it, is split: its passages are sorted by all their words.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.common import short_batches, slices
+from loomcast.llm.common import scratch, short_batches, slices, stored, unused, whole_key
 from loomcast.llm.words import hashes, mixed, runs, split
 
 _GRAM = 8
@@ -72,43 +73,92 @@ def islands(doc: np.ndarray, other: np.ndarray, diag: np.ndarray, lo: np.ndarray
     return doc[first], other[first], diag[first], lo[first], (end - line)[last]
 
 
-def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
-    """doc, other, diag, lo, hi: stretches of docs (id long, t) that an earlier document has, each of `least` words or joined
-    of such."""
-    if not 0 < window <= min(16, least):
-        raise ValueError("window must be 1 to 16 and at most least")
-    match = pa.schema([("doc", pa.int64()), ("other", pa.int64()), ("diag", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-    row = pa.schema([("key", pa.int64()), ("grams", pa.binary()), *match])
+def stretches(doc: np.ndarray, other: np.ndarray, diag: np.ndarray, at: np.ndarray, upto: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """doc, other, diag, first, last: passages (or stretches at .. upto of them) joined where one follows another."""
+    upto = at if upto is None else upto
+    order = np.lexsort((at, diag, other, doc))
+    doc, other, diag, at, upto = (x[order] for x in (doc, other, diag, at, upto))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]) | (diag[1:] != diag[:-1]) | (at[1:] != upto[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(doc)][: len(first)] - 1
+    return doc[first], other[first], diag[first], at[first], upto[last]
+
+
+MATCH = pa.schema([("doc", pa.int64()), ("other", pa.int64()), ("diag", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("near", pa.bool_())])
+_MATCH = "doc long, other long, diag int, first int, last int, near boolean"
+
+
+def _batch(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
 
-    def found(doc: np.ndarray, at: np.ndarray, head: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-        k, o = np.flatnonzero(rows), head[rows]
-        return list(islands(doc[k], doc[o], at[k] - at[o], at[k], at[k] + least))
+
+def retained(docs: DataFrame, least: int, window: int, split_up: np.ndarray) -> DataFrame:
+    """The suffixes of docs (id long, t): key, grams (the passages that it anchors), doc, first (its word).  Passages whose
+    seed is in split_up are suffixes of their own, by the hash of all their words.
+
+    Rows without grams are matches within a batch, near ones: for words first to last, where each passage of doc begins,
+    other has it diag words before.
+    """
+    row = pa.schema([("key", pa.int64()), ("grams", pa.binary()), *MATCH])
+    split_up = np.sort(split_up)
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
-            parts = []
+            parts, shared = [], False
             for doc, text in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), key=lambda r: r[0]):
                 h = hashes(split(text))
                 if len(h) >= least:
+                    shared = shared or bool(parts and parts[-1][3][0] == doc)
                     key, anchor, own = passages(h, least, window)
                     parts.append((key, anchor, own, np.full(len(own), doc, np.int64), np.arange(len(own))))
             if not parts:
                 continue
             key, anchor, own, doc, at = (np.concatenate(x) for x in zip(*parts))
+            if shared:  # rows with the same key: the first place comes first
+                order = np.lexsort((at, doc))
+                key, anchor, own, doc, at = (x[order] for x in (key, anchor, own, doc, at))
             head = heads(own)
-            settled = doc[head] != doc
-            done = found(doc, at, head, settled)
-            key, anchor, own, doc, at = (x[~settled] for x in (key, anchor, own, doc, at))
-            first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])][: len(doc)])
+            near = np.flatnonzero(doc[head] != doc)
+            done = stretches(doc[near], doc[head[near]], at[near] - at[head[near]], at[near])
+            on = np.ones(len(doc), bool)
+            on[near] = False
+            key, anchor, own, doc, at = (x[on] for x in (key, anchor, own, doc, at))
+            if len(split_up):
+                apart = split_up[np.minimum(np.searchsorted(split_up, key), len(split_up) - 1)] == key
+                key = np.where(apart, mixed(own), key)
+            first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(doc)])
             code = ((own >> np.uint64(20)) << np.uint64(4)) | (anchor - at).astype(np.uint64)
             raw = code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
             ends = (np.r_[first, len(doc)] * _BYTES).astype(np.int32)
             grams = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
             none = np.zeros(len(first), np.int32)
-            on = [key[first].view(np.int64), grams, doc[first], np.full(len(first), -1), none, anchor[first].astype(np.int32), none]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(on, row)], schema=row)
-            settled = [done[0], pa.nulls(len(done[0]), pa.binary()), *done]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(settled, row)], schema=row)
+            yield _batch(row, key[first].view(np.int64), grams, doc[first], np.full(len(first), -1), none, anchor[first].astype(np.int32), none, none.astype(bool))
+            yield _batch(row, done[0], pa.nulls(len(done[0]), pa.binary()), *done, np.ones(len(done[0]), bool))
+
+    return docs.select("id", "t").mapInArrow(retain, f"key long, grams binary, {_MATCH}")
+
+
+SAMPLE = 32  # one in so many documents shows which seeds are frequent
+FREQUENT = 16  # as many suffixes of the sample have a frequent seed, at least
+
+
+def frequent_seeds(docs: DataFrame, least: int, window: int) -> np.ndarray:
+    """Keys of seeds that very many suffixes share, by a sample; as many as four for each shuffle partition at most.
+
+    They are only sorted by more words, so results don't depend on which are found.
+    """
+    most = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+    counts = retained(some, least, window, np.empty(0, np.uint64)).where("grams IS NOT NULL").groupBy("key").count().where(F.col("count") >= FREQUENT)
+    return np.array([r["key"] for r in counts.orderBy(F.desc("count"), "key").limit(most).collect()], np.int64).view(np.uint64)
+
+
+def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
+    """doc, other, diag, first, last and near: where each passage of doc that begins at words first to last has its head,
+    in other, diag words before; or, if near, a first place within a batch of documents, whose head may lie elsewhere."""
+    if not 0 < window <= min(16, least):
+        raise ValueError("window must be 1 to 16 and at most least")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
@@ -129,20 +179,20 @@ def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
             wide = np.zeros((len(raw), 8), np.uint8)
             wide[:, :_BYTES] = raw
             code, n = wide.view("<u8").ravel(), np.diff(ends) // _BYTES
-            new = [np.repeat(key[run], n), code, np.repeat(t.column("doc").to_numpy(), n), np.repeat(t.column("lo").to_numpy().astype(np.int64), n) - (code & np.uint64(15)).astype(np.int64)]
+            new = [np.repeat(key[run], n), code, np.repeat(t.column("doc").to_numpy(), n), np.repeat(t.column("first").to_numpy().astype(np.int64), n) - (code & np.uint64(15)).astype(np.int64)]
             old = len(kept[0])
             k, code, doc, at = (np.concatenate(x) for x in zip(kept, new))
             head = heads(mixed(k) + code)
-            late = np.arange(len(k)) >= old
-            out = found(doc, at, head, late & (doc[head] != doc))
+            late = np.flatnonzero((np.arange(len(k)) >= old) & (doc[head] != doc))
+            out = stretches(doc[late], doc[head[late]], at[late] - at[head[late]], at[late])
             stay = (k == key[-1]) & (head == np.arange(len(k)))
             kept[:] = k[stay], code[stay], doc[stay], at[stay]
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, match)], schema=match)
+            return _batch(MATCH, *out, np.zeros(len(out[0]), bool))
 
         parts, n = [], 0
         for batch in batches:
             done = batch.column(1).is_null()
-            yield batch.filter(done).select(match.names)
+            yield batch.filter(done).select(MATCH.names)
             parts.append(batch.filter(pc.invert(done)))
             n += parts[-1].num_rows
             if n >= max(_ROWS, len(kept[0]) // 8):
@@ -151,60 +201,113 @@ def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
         if n:
             yield settle(parts)
 
-    kinds = "doc long, other long, diag int, lo int, hi int"
-    retained = docs.select("id", "t").mapInArrow(retain, f"key long, grams binary, {kinds}")
-    return retained.repartition("key").sortWithinPartitions("key", "doc", "lo").mapInArrow(compare, kinds)
-
-
-def cover(rows: list[tuple], least: int) -> list[tuple]:
-    """Of one document's matches (lo, hi, size, other, diag) those that cover what all cover, each with whether its left
-    and its right end is an end of what is covered.  Matches of seed words only are left out where surer ones cover half."""
-    out: list[list] = []
-    sure = sorted((r for r in rows if r[2] >= least), key=lambda r: (r[0], -r[1]))
+    every = retained(docs, least, window, frequent_seeds(docs, least, window))
+    return every.repartition("key").sortWithinPartitions("key", "doc", "first").mapInArrow(compare, _MATCH)
+
+
+def laid(doc: np.ndarray, other: np.ndarray, diag: np.ndarray, first: np.ndarray, last: np.ndarray, known: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Near matches laid to their heads.  known: row, other, diag, first, last of what is known of each row's `other`:
+    where its passages have their heads.  Those of which nothing is known are heads themselves."""
+    row, far, by, a, b = known
+    lo, hi = np.maximum(a, (first - diag)[row]), np.minimum(b, (last - diag)[row])
+    has = lo <= hi
+    row, far, by, lo, hi = (x[has] for x in (row, far, by, lo, hi))
+    # What no known stretch holds lies between the end of one and the start of the next.
+    every = np.arange(len(doc))
+    who, start, end = np.r_[every, row], np.r_[first - diag - 1, lo], np.r_[first - diag - 1, hi]
+    order = np.lexsort((start, who))
+    who, start, end = who[order], start[order], end[order]
+    up = np.r_[start[1:], 0]
+    final = np.r_[who[1:] != who[:-1], True][: len(who)]
+    up[final] = (last - diag)[who[final]] + 1
+    gap = end + 1 < up
+    who, start, up = who[gap], end[gap] + 1, up[gap] - 1
+    return np.r_[doc[row], doc[who]], np.r_[far, other[who]], np.r_[diag[row] + by, diag[who]], np.r_[lo + diag[row], start + diag[who]], np.r_[hi + diag[row], up + diag[who]]
+
+
+def cover(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of one document's stretches (lo, hi, other, diag) those that cover what all cover: the longest from each start of
+    what is covered, then of those that begin within it the one that reaches furthest."""
+    out: list[tuple[int, int, int, int]] = []
     end, best = -1, None
-    for r in [*sure, (1 << 30, 0, 0, 0, 0)]:
-        if best is not None and r[0] > end:
-            out.append([*best, False, False])
+    for r in [*sorted(rows, key=lambda r: (r[0], -r[1], *r[2:])), None]:
+        if best is not None and (r is None or r[0] > end):
+            out.append(best)
             end, best = best[1], None
+        if r is None:
+            break
         if r[0] > end:
-            if out:
-                out[-1][6] = True
-            if r[1]:
-                out.append([*r, True, False])
-                end, best = r[1], None
+            out.append(r)
+            end = r[1]
         elif r[1] > end and (best is None or r[1] > best[1]):
             best = r
-    ends = [(r[0], r[1]) for r in out]
-    for r in rows:
-        if r[2] < least and 2 * sum(max(0, min(r[1], b) - max(r[0], a)) for a, b in ends) < r[1] - r[0]:
-            out.append([*r, True, True])
-    return [tuple(r) for r in out]
+    return out
+
+
+_PACKED = "doc long, other array<long>, diag array<int>, first array<int>, last array<int>"
+_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+
+
+def _arrays(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of an array column of structs: the row of each struct, and its fields."""
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), counts), [x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten()]
+
+
+def _packed(n: int, row: np.ndarray, *fields: np.ndarray) -> list[pa.Array]:
+    """The fields as array columns of n rows; row tells where each value goes, ascending."""
+    ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, k)) for x, k in zip(fields, _KINDS)]
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, window: int = 16) -> DataFrame:
     """id, start, stop, other, diag: the passages of at least `least` words that a document shares with an earlier one.
 
-    start and stop count words; the passage begins at start - diag in the document `other`, which has a smaller key.  A
-    stretch that no one document shares is given in overlapping pieces.  Null texts and texts of fewer words have none; a
-    text that repeats itself isn't matched with itself; rows that share a key are one document here; rows with a null key
-    have none.  Every word of every such passage lies in one that is given.
+    start and stop count words; the passage begins at start - diag in the document `other`, which has a smaller key; each
+    passage of `least` words is laid to the document with the smallest key that has it, at its first place there.  A
+    stretch that no one document shares is given in overlapping pieces.  Every word of every such passage lies in one
+    that is given, and rows don't depend on partitions.
+
+    Null texts and texts of fewer words have none; a text that repeats itself isn't matched with itself; rows that share
+    a key are one document here; rows with a null key have none; keys must be whole numbers; an empty table gives none.
     """
-    named = short_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
-    grouped = matches(named, least, window).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("lo", "hi", "other", "diag")).alias("rows"))
+    named = short_batches(docs).select(whole_key(docs, key).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
+    fields = F.struct("other", "diag", "first", "last")
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, parts = _arrays(batch.column(1))
+            joined = stretches(row, *parts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_packed(batch.num_rows, *joined)], names=["doc", "other", "diag", "first", "last"])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [batch.column(k).to_numpy() for k in range(5)]
+            counts = pc.fill_null(pc.list_value_length(batch.column(5)), 0).to_numpy(zero_copy_only=False)
+            known = [batch.column(k).flatten().to_numpy() for k in range(5, 9)]
+            doc, *rest = laid(*own, (np.repeat(np.arange(batch.num_rows), counts), *known))
+            order = np.argsort(doc, kind="stable")
+            ids, row = np.unique(doc, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *_packed(len(ids), row[order], *(x[order] for x in rest))], names=["doc", "other", "diag", "first", "last"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                lo, hi, other, diag = (x.to_numpy(zero_copy_only=False) for x in rows.values.flatten())
-                joined = islands(np.zeros(len(lo), int), other, diag, lo, hi)
-                rows = [(a, b, least, o, d) for _, o, d, a, b in zip(*(x.tolist() for x in joined))]
-                out += [(i, a, b, o, d) for a, b, _, o, d, *_ in cover(rows, least)]
+            for i, packs in zip(batch.column(0).to_pylist(), batch.column(1)):
+                other, diag, first, last = (x.flatten().to_numpy() for x in packs.values.flatten())
+                _, other, diag, lo, hi = islands(np.zeros(len(first), int), other, diag, first, last + least)
+                out += [(i, *r) for r in cover(list(zip(lo.tolist(), hi.tolist(), other.tolist(), diag.tolist())))]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
             columns = zip(*out) if out else ((),) * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "start", "stop", "other", "diag"])
 
-    return grouped.mapInArrow(choose, "id long, start int, stop int, other long, diag int")
+    with scratch(docs.sparkSession) as put:
+        found = put(matches(named, least, window))
+        settled = put(found.where("NOT near").groupBy("doc").agg(F.collect_list(fields).alias("rows")).mapInArrow(join_up, _PACKED))
+        heads_of = settled.select(F.col("doc").alias("of"), *(F.col(c).alias(f"far_{c}") for c in ("other", "diag", "first", "last")))
+        near = found.where("near").drop("near").join(heads_of, F.col("other") == F.col("of"), "left").drop("of").mapInArrow(lay, _PACKED)
+        grouped = settled.union(near).groupBy("doc").agg(F.collect_list(fields).alias("rows"))
+        return stored(grouped.mapInArrow(choose, "id long, start int, stop int, other long, diag int"))
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -225,15 +328,16 @@ def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the spans (id, start, stop) of each document cut from its text; n_chars, if there is one, follows.
 
-    Documents of which no word is left are dropped if a span took their words.
+    Documents of which no word is left are dropped if a span took their words; rows that share a key are cut alike.
     """
-    grouped = spans.groupBy(F.col("id").alias("_cut_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_cut_spans"))
-    joined = short_batches(docs).join(grouped, F.col(key).cast("long") == F.col("_cut_id"), "left")
+    whose, where, new = unused(docs.columns, "_cut_id", "_cut_spans", "_cut_text")
+    grouped = spans.groupBy(F.col("id").alias(whose)).agg(F.collect_list(F.struct("start", "stop")).alias(where))
+    joined = short_batches(docs).join(grouped, F.col(key).cast("long") == F.col(whose), "left")
 
     @F.pandas_udf("string")
     def shortened(texts: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([t if c is None else without(t, [(s["start"], s["stop"]) for s in c]) for t, c in zip(texts, cuts)], dtype=object)
 
-    new = joined.withColumn("_cut_text", shortened(text, "_cut_spans")).where(F.col("_cut_spans").isNull() | F.col("_cut_text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("_cut_text").alias(c) if c == text else F.length("_cut_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return new.select(*columns)
+    left = joined.withColumn(new, shortened(text, where)).where(F.col(where).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    columns = [F.col(new).alias(c) if c == text else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return left.select(*columns)

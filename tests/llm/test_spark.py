@@ -131,6 +131,63 @@ def test_suffixes_of_one_lead_with_several_endings(spark):
     assert got == want and {k for k, _ in want} == {6 * g + e for g in range(40) for e in (2, 4, 5)}
 
 
+def repeats_by_force(texts, least=50):
+    """The rows of suffixes.repeated: passages by their first place in the smallest document, joined, then a cover."""
+    heads, out = {}, []
+    for k, t in enumerate(texts):
+        w, found = (t or "").lower().split(), {}
+        for p in range(len(w) - least + 1):
+            other, at = heads.setdefault(tuple(w[p : p + least]), (k, p))
+            if other != k:
+                found.setdefault((other, p - at), []).append(p)
+        spans = []
+        for (other, diag), starts in found.items():
+            lo = last = starts[0]
+            for p in [*starts[1:], 10**9]:
+                if p > last + least:
+                    spans.append((lo, last + least, other, diag))
+                    lo = p
+                last = p
+        end = -1
+        while left := [s for s in spans if s[1] > end]:
+            within = [s for s in left if s[0] <= end]
+            best = max(within, key=lambda s: (s[1], -s[0], -s[2], -s[3])) if within else min(left, key=lambda s: (s[0], -s[1], s[2], s[3]))
+            out.append((k, *best))
+            end = best[1]
+    return sorted(out)
+
+
+def shuffled_stock(seed):
+    """Texts with shared leads, quotes of quotes, copies, inner repeats and odd ones."""
+    r, texts = random.Random(seed), []
+    leads = [prose(f"{seed}{k}", r.randrange(30, 49), 10**6) for k in range(3)]
+    for k in range(70):
+        parts = [prose(f"{seed}-{k}", r.randrange(5, 60), 10**6)]
+        for _ in range(r.randrange(3)):
+            w = r.choice(texts or ["none"]).split()
+            at = r.randrange(len(w))
+            parts.append(" ".join(w[at : at + r.randrange(40, 150)]))
+        if r.random() < 0.5:
+            parts.append(f"{r.choice(leads)} {prose(r.randrange(9), 20, 10**6)}")
+        r.shuffle(parts)
+        texts.append(r.choice(texts) if texts and r.random() < 0.15 else " ".join(parts))
+    return [*texts, texts[3] + " " + texts[3], None, ""]
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_suffixes_are_a_function_of_the_table(spark, monkeypatch, split):
+    if split:  # every seed counts as frequent
+        monkeypatch.setattr(suffixes, "SAMPLE", 1)
+        monkeypatch.setattr(suffixes, "FREQUENT", 1)
+    texts = shuffled_stock(4)
+    want = repeats_by_force(texts)
+    assert len(want) > 50
+    docs = documents(spark, texts)
+    for n in (1, 4, 16):
+        got = sorted((r.id, r.start, r.stop, r.other, r.diag) for r in suffixes.repeated(docs.repartition(n, F.xxhash64("doc_id", F.lit(n)))).collect())
+        assert got == want
+
+
 def test_suffixes_cut(spark):
     passage = prose(7, 60)
     docs = documents(spark, [prose(8, 60) + " " + passage, passage, passage + " tail", None, ""], True)

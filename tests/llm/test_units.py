@@ -200,10 +200,22 @@ def test_positions_depend_on_content_only():
 def test_cover_covers():
     rng = np.random.default_rng(3)
     for _ in range(50):
-        rows = [(int(a), int(a) + 50 + int(rng.integers(30)), 50, k, 0) for k, a in enumerate(rng.integers(0, 600, 12))]
-        got = suffixes.cover(rows, 50)
+        rows = [(int(a), int(a) + 50 + int(rng.integers(30)), k, 0) for k, a in enumerate(rng.integers(0, 600, 12))]
+        got = suffixes.cover(rows)
         spots = lambda rs: {w for r in rs for w in range(r[0], r[1])}
-        assert spots(got) == spots(rows) and sum(r[5] for r in got) == sum(r[6] for r in got)
+        assert spots(got) == spots(rows) and got == suffixes.cover(rows[::-1]) and set(got) <= set(rows)
+        assert all(a[1] < c[0] for a, c in zip(got, got[2:]))
+
+
+def test_near_matches_are_laid_to_their_heads():
+    # Document 9 has words 10 .. 59 of 5 five words before; 5 has its words 0 .. 9 and 30 .. 34 from elsewhere.
+    one = lambda *x: tuple(np.array([v]) for v in x)
+    known = (np.array([0, 0, 0]), np.array([2, 3, 1]), np.array([100, -7, 0]), np.array([0, 30, 70]), np.array([9, 34, 80]))
+    got = sorted(zip(*(x.tolist() for x in suffixes.laid(*one(9, 5, 5, 10, 59), known))))
+    assert got == [(9, 2, 105, 10, 14), (9, 3, -2, 35, 39), (9, 5, 5, 15, 34), (9, 5, 5, 40, 59)]
+    none = tuple(np.empty(0, int) for _ in range(5))
+    assert [x.tolist() for x in suffixes.laid(*one(9, 5, 5, 10, 59), none)] == [[9], [5], [5], [10], [59]]
+    assert all(not len(x) for x in suffixes.laid(*none, none))
 
 
 def test_gram_counts_and_features():
