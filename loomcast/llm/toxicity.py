@@ -26,10 +26,12 @@ _KEPT = 25_000
 
 @dataclass(frozen=True)
 class Settings:
-    """max_train bounds (in expectation) the labelled rows that a fit takes; the rest are the usual FTRL terms."""
+    """max_train and max_chars bound (in expectation) the labelled rows that a fit takes and the letters of their texts, so
+    that the one task that learns holds some 12 bytes for each word of them; the rest are the usual FTRL terms."""
 
     bits: int = 20
-    max_train: int = 8_000
+    max_train: int = 16_000
+    max_chars: int = 64_000_000
     epochs: int = 5
     alpha: float = 2.0
     beta: float = 1.0
@@ -124,18 +126,22 @@ def train(rows: list[np.ndarray], labels: np.ndarray, s: Settings) -> np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", settings: Settings = Settings()) -> Model:
     """A model from the rows of labels (key, label) with a key and a label of 0 or 1 and their texts in docs.
 
-    A sample of settings.max_train labels, chosen by a hash of the key, goes to the texts by a broadcast, whose size that
-    setting bounds; the texts aren't shuffled.  They are hashed in parallel; their coordinates then go through one task
-    in the order of the hash, as FTRL is sequential.  Without rows the model scores every text about 0.
+    A sample of the labels, chosen by a hash of the key within the bounds of settings, goes to the texts by a broadcast,
+    whose size they bound too; the texts aren't shuffled.  They are hashed in parallel; their coordinates then go through
+    one task in the order of the hash, as FTRL is sequential.  Without rows the model scores every text about 0.
     """
     bits = settings.bits
     short_batches(docs)
     rows = labels.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     rows = rows.where(F.col("y").isin(0, 1) & F.col("k").isNotNull())
-    total = rows.count()
-    if total > settings.max_train:
-        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * (settings.max_train / total)))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(rows), "k").select("h", "t", "y")
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+
+    def share(part: float) -> DataFrame:
+        return rows if part >= 1.0 else rows.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * part))
+
+    part = min(1.0, settings.max_train / max(1, rows.count()))
+    chars = texts.join(F.broadcast(share(part)), "k").agg(F.sum(F.length("t"))).first()[0] or 0
+    rows = texts.join(F.broadcast(share(part * min(1.0, settings.max_chars / max(1, chars)))), "k").select("h", "t", "y")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
