@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline: each applies its operator to its whole table."""
+"""The queries op1 to op10: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -91,16 +91,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpus_pipeline import run  # it imports this module
-
-    return run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_dedup, op2_near_vectors, op3_toxicity, op4_language, op5_top_k, op6_html_text, op7_url_filters,
-        op8_packing, op9_jaccard_join, op10_bpe, pipeline,
+        op8_packing, op9_jaccard_join, op10_bpe,
     )
     return {f.__name__: f for f in found}
 

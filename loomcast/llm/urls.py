@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomcast.llm.common import unused
+
 _TOKEN = re.compile(r"[a-z0-9]+")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
@@ -104,7 +106,8 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url",
         return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
 
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    return df.select(*kept, judge(F.col(url)).alias("_judged")).select(*kept, "_judged.*")
+    (found,) = unused(kept, "_judged")
+    return df.select(*kept, judge(F.col(url)).alias(found)).select(*kept, f"{found}.*")
 
 
 ORACLE = """
