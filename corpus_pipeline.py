@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcast.llm import jaccard, langid, suffixes, toxicity
-from loomcast.llm.common import join_few, stored, table
+from loomcast.llm.common import join_few, stored, table, unused
 from loomcast.llm.queries import in_fold, packed
 
 
@@ -19,15 +19,17 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5.  The model learns from the labels outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels.where(~in_fold(5, 0)))
-    scored = toxicity.score(docs, model, names=("_score", "_toxic"))
-    return scored.where("_toxic = 0").select(*docs.columns)
+    points, label = unused(docs.columns, "_score", "_toxic")
+    scored = toxicity.score(docs, model, names=(points, label))
+    return scored.where(F.col(label) == 0).select(*docs.columns)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model doesn't reject: with letters, and not far from every language it has learned."""
     model = langid.fit(docs.where(~in_fold(3, 1)))
-    named = langid.identify(docs, model, names=("_lang", "_score", "_rejected"))
-    return named.where("NOT _rejected").select(*docs.columns)
+    lang, points, rejected = unused(docs.columns, "_lang", "_score", "_rejected")
+    named = langid.identify(docs, model, names=(lang, points, rejected))
+    return named.where(~F.col(rejected)).select(*docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +43,15 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         groups = jaccard.join(docs.select("doc_id", "text"))
         gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    marked = join_few(docs, stored(shared.withColumn("_shared", F.lit(True))), "doc_id", "left")
-    keyed = marked.withColumn("_key", F.when(F.col("_shared"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
-    groups = jaccard.join(keyed.select("_key", "text"), key="_key").select("_key", "component_id")
-    ids = groups.join(keyed.select("_key", "doc_id"), "_key").distinct()
-    first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
-    gone = ids.join(first, "component_id").where(F.col("_key") != F.col("first._key")).select("_key").distinct()
-    left = stored(keyed.join(gone, "_key", "left_anti"))
-    return left.where("_shared IS NULL").union(left.where("_shared").dropDuplicates(["_key"])).select(*docs.columns)
+    again, number = unused(docs.columns, "_again", "_number")
+    marked = join_few(docs, stored(shared.withColumn(again, F.lit(True))), "doc_id", "left")
+    keyed = marked.withColumn(number, F.when(F.col(again), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
+    groups = jaccard.join(keyed.select(number, "text"), key=number).select(number, "component_id")
+    ids = groups.join(keyed.select(number, "doc_id"), number).distinct()
+    first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", number)).alias("first"))
+    gone = ids.join(first, "component_id").where(F.col(number) != F.col("first")[number]).select(number).distinct()
+    left = stored(keyed.join(gone, number, "left_anti"))
+    return left.where(F.col(again).isNull()).union(left.where(again).dropDuplicates([number])).select(*docs.columns)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
