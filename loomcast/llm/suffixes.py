@@ -85,23 +85,36 @@ def stretches(doc: np.ndarray, other: np.ndarray, diag: np.ndarray, at: np.ndarr
     return doc[first], other[first], diag[first], at[first], upto[last]
 
 
-MATCH = pa.schema([("doc", pa.int64()), ("other", pa.int64()), ("diag", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("near", pa.bool_())])
-_MATCH = "doc long, other long, diag int, first int, last int, near boolean"
+# Matches of a document (or of those that have it for a head): arrays by stretch.
+_FIELDS = [("ids", pa.list_(pa.int64())), ("diag", pa.list_(pa.int32())), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))]
+_MATCHES = "struct<ids: array<long>, diag: array<int>, first: array<int>, last: array<int>>"
 
 
-def _batch(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+def gathered(owner: np.ndarray, *fields: np.ndarray) -> tuple[np.ndarray, pa.StructArray]:
+    """The owners, ascending, and the stretches (ids, diag, first, last) of each as a struct of arrays."""
+    order = np.argsort(owner, kind="stable")
+    owners, counts = np.unique(owner, return_counts=True)
+    ends = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x[order], t.value_type)) for x, (_, t) in zip(fields, _FIELDS)]
+    return owners, pa.StructArray.from_arrays(lists, names=[n for n, _ in _FIELDS])
+
+
+def spread(structs: pa.StructArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of the struct that each stretch is from, and the fields of all stretches."""
+    lists = structs.flatten()
+    sizes = pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(structs)), sizes), [x.flatten().to_numpy() for x in lists]
 
 
 def retained(docs: DataFrame, least: int, window: int, split_up: np.ndarray) -> DataFrame:
-    """The suffixes of docs (id long, t): key, grams (the passages that it anchors), doc, first (its word).  Passages whose
-    seed is in split_up are suffixes of their own, by the hash of all their words.
+    """The suffixes of docs (id long, t): key, grams (the passages that it anchors), of (its document), at (its word).  Passages
+    whose seed is in split_up are suffixes of their own, by the hash of all their words.
 
-    Rows without grams are matches within a batch, near ones: for words first to last, where each passage of doc begins,
-    other has it diag words before.
+    Rows without grams hold what a batch settles by itself: near has the stretches (document ids, from word first to last)
+    of which each passage has its first place within the batch in `of`, diag words before.
     """
-    row = pa.schema([("key", pa.int64()), ("grams", pa.binary()), *MATCH])
     split_up = np.sort(split_up)
+    names = ["key", "grams", "of", "at", "near"]
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
@@ -119,10 +132,10 @@ def retained(docs: DataFrame, least: int, window: int, split_up: np.ndarray) ->
                 order = np.lexsort((at, doc))
                 key, anchor, own, doc, at = (x[order] for x in (key, anchor, own, doc, at))
             head = heads(own)
-            near = np.flatnonzero(doc[head] != doc)
-            done = stretches(doc[near], doc[head[near]], at[near] - at[head[near]], at[near])
-            on = np.ones(len(doc), bool)
-            on[near] = False
+            on = head == np.arange(len(head))
+            again = np.flatnonzero(~on)
+            who, of, *where = stretches(doc[again], doc[head[again]], at[again] - at[head[again]], at[again])
+            of, near = gathered(of, who, *where)
             key, anchor, own, doc, at = (x[on] for x in (key, anchor, own, doc, at))
             if len(split_up):
                 apart = split_up[np.minimum(np.searchsorted(split_up, key), len(split_up) - 1)] == key
@@ -132,11 +145,10 @@ def retained(docs: DataFrame, least: int, window: int, split_up: np.ndarray) ->
             raw = code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
             ends = (np.r_[first, len(doc)] * _BYTES).astype(np.int32)
             grams = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
-            none = np.zeros(len(first), np.int32)
-            yield _batch(row, key[first].view(np.int64), grams, doc[first], np.full(len(first), -1), none, anchor[first].astype(np.int32), none, none.astype(bool))
-            yield _batch(row, done[0], pa.nulls(len(done[0]), pa.binary()), *done, np.ones(len(done[0]), bool))
+            yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), grams, pa.array(doc[first]), pa.array(anchor[first], pa.int32()), pa.nulls(len(first), near.type)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.nulls(len(of), pa.binary()), pa.array(of, pa.int64()), pa.nulls(len(of), pa.int32()), near], names=names)
 
-    return docs.select("id", "t").mapInArrow(retain, f"key long, grams binary, {_MATCH}")
+    return docs.select("id", "t").mapInArrow(retain, f"key long, grams binary, of long, at int, near {_MATCHES}")
 
 
 SAMPLE = 32  # one in so many documents shows which seeds are frequent
@@ -155,8 +167,8 @@ def frequent_seeds(docs: DataFrame, least: int, window: int) -> np.ndarray:
 
 
 def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
-    """doc, other, diag, first, last and near: where each passage of doc that begins at words first to last has its head,
-    in other, diag words before; or, if near, a first place within a batch of documents, whose head may lie elsewhere."""
+    """of, near, m: the stretches of a document (of) and the documents in which all their passages have their heads; or, if
+    near, stretches of other documents that are in `of` too, where a batch of documents has them first."""
     if not 0 < window <= min(16, least):
         raise ValueError("window must be 1 to 16 and at most least")
 
@@ -179,21 +191,22 @@ def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
             wide = np.zeros((len(raw), 8), np.uint8)
             wide[:, :_BYTES] = raw
             code, n = wide.view("<u8").ravel(), np.diff(ends) // _BYTES
-            new = [np.repeat(key[run], n), code, np.repeat(t.column("doc").to_numpy(), n), np.repeat(t.column("first").to_numpy().astype(np.int64), n) - (code & np.uint64(15)).astype(np.int64)]
+            new = [np.repeat(key[run], n), code, np.repeat(t.column("of").to_numpy(), n), np.repeat(t.column("at").to_numpy().astype(np.int64), n) - (code & np.uint64(15)).astype(np.int64)]
             old = len(kept[0])
             k, code, doc, at = (np.concatenate(x) for x in zip(kept, new))
             head = heads(mixed(k) + code)
             late = np.flatnonzero((np.arange(len(k)) >= old) & (doc[head] != doc))
-            out = stretches(doc[late], doc[head[late]], at[late] - at[head[late]], at[late])
+            of, m = gathered(*stretches(doc[late], doc[head[late]], at[late] - at[head[late]], at[late]))
             stay = (k == key[-1]) & (head == np.arange(len(k)))
             kept[:] = k[stay], code[stay], doc[stay], at[stay]
-            return _batch(MATCH, *out, np.zeros(len(out[0]), bool))
+            return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.zeros(len(of), bool)), m], names=["of", "near", "m"])
 
         parts, n = [], 0
         for batch in batches:
             done = batch.column(1).is_null()
-            yield batch.filter(done).select(MATCH.names)
-            parts.append(batch.filter(pc.invert(done)))
+            near = batch.filter(done)
+            yield pa.RecordBatch.from_arrays([near.column("of"), pa.array(np.ones(len(near), bool)), near.column("near")], names=["of", "near", "m"])
+            parts.append(batch.select(["key", "grams", "of", "at"]).filter(pc.invert(done)))
             n += parts[-1].num_rows
             if n >= max(_ROWS, len(kept[0]) // 8):
                 yield settle(parts)
@@ -202,27 +215,34 @@ def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
             yield settle(parts)
 
     every = retained(docs, least, window, frequent_seeds(docs, least, window))
-    return every.repartition("key").sortWithinPartitions("key", "doc", "first").mapInArrow(compare, _MATCH)
+    return every.repartition("key").sortWithinPartitions("key", "of", "at").mapInArrow(compare, f"of long, near boolean, m {_MATCHES}")
+
 
+def laid(ids: np.ndarray, of: np.ndarray, doc: np.ndarray, diag: np.ndarray, first: np.ndarray, last: np.ndarray, known: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """doc, other, diag, first, last: near matches laid to their heads.
 
-def laid(doc: np.ndarray, other: np.ndarray, diag: np.ndarray, first: np.ndarray, last: np.ndarray, known: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """Near matches laid to their heads.  known: row, other, diag, first, last of what is known of each row's `other`:
-    where its passages have their heads.  Those of which nothing is known are heads themselves."""
-    row, far, by, a, b = known
-    lo, hi = np.maximum(a, (first - diag)[row]), np.minimum(b, (last - diag)[row])
-    has = lo <= hi
-    row, far, by, lo, hi = (x[has] for x in (row, far, by, lo, hi))
+    of: the number (in ids) of the document that has a stretch.  known: of, other, diag, first, last of stretches of those
+    documents and where their passages have their heads, ascending by of and first.  Passages of which nothing is known
+    are heads themselves.
+    """
+    home, far, by, a, b = known
+    line = lambda k, x: (k.astype(np.int64) << 32) + x
+    lo, hi = first - diag, last - diag
+    start = np.searchsorted(line(home, b), line(of, lo))  # the first known stretch that ends behind lo
+    counts = np.maximum(np.searchsorted(line(home, a), line(of, hi), side="right") - start, 0)
+    row = np.repeat(np.arange(len(doc)), counts)
+    k = np.repeat(start - np.cumsum(counts) + counts, counts) + np.arange(len(row))
+    left, right = np.maximum(a[k], lo[row]), np.minimum(b[k], hi[row])
     # What no known stretch holds lies between the end of one and the start of the next.
-    every = np.arange(len(doc))
-    who, start, end = np.r_[every, row], np.r_[first - diag - 1, lo], np.r_[first - diag - 1, hi]
-    order = np.lexsort((start, who))
-    who, start, end = who[order], start[order], end[order]
-    up = np.r_[start[1:], 0]
+    who, begin, end = np.r_[np.arange(len(doc)), row], np.r_[lo - 1, left], np.r_[lo - 1, right]
+    order = np.lexsort((begin, who))
+    who, begin, end = who[order], begin[order], end[order]
+    up = np.r_[begin[1:], 0][: len(who)]
     final = np.r_[who[1:] != who[:-1], True][: len(who)]
-    up[final] = (last - diag)[who[final]] + 1
+    up[final] = hi[who[final]] + 1
     gap = end + 1 < up
-    who, start, up = who[gap], end[gap] + 1, up[gap] - 1
-    return np.r_[doc[row], doc[who]], np.r_[far, other[who]], np.r_[diag[row] + by, diag[who]], np.r_[lo + diag[row], start + diag[who]], np.r_[hi + diag[row], up + diag[who]]
+    who, begin, up = who[gap], end[gap] + 1, up[gap] - 1
+    return np.r_[doc[row], doc[who]], np.r_[far[k], ids[of[who]]], np.r_[diag[row] + by[k], diag[who]], np.r_[left + diag[row], begin + diag[who]], np.r_[right + diag[row], up + diag[who]]
 
 
 def cover(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -244,22 +264,6 @@ def cover(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, in
     return out
 
 
-_PACKED = "doc long, other array<long>, diag array<int>, first array<int>, last array<int>"
-_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-
-
-def _arrays(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of an array column of structs: the row of each struct, and its fields."""
-    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(column)), counts), [x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten()]
-
-
-def _packed(n: int, row: np.ndarray, *fields: np.ndarray) -> list[pa.Array]:
-    """The fields as array columns of n rows; row tells where each value goes, ascending."""
-    ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, k)) for x, k in zip(fields, _KINDS)]
-
-
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, window: int = 16) -> DataFrame:
     """id, start, stop, other, diag: the passages of at least `least` words that a document shares with an earlier one.
 
@@ -272,29 +276,32 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     a key are one document here; rows with a null key have none; keys must be whole numbers; an empty table gives none.
     """
     named = short_batches(docs).select(whole_key(docs, key).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
-    fields = F.struct("other", "diag", "first", "last")
+    kind = f"of long, m {_MATCHES}"
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, parts = _arrays(batch.column(1))
-            joined = stretches(row, *parts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_packed(batch.num_rows, *joined)], names=["doc", "other", "diag", "first", "last"])
+            packs = batch.column(1).flatten()
+            pack, fields = spread(packs)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy())[pack]
+            owner, *joined = stretches(row, *fields)
+            order = np.lexsort((joined[2], owner))  # by first word, as passages have one head each
+            _, m = gathered(owner[order], *(x[order] for x in joined))
+            yield pa.RecordBatch.from_arrays([batch.column(0), m], names=["of", "m"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [batch.column(k).to_numpy() for k in range(5)]
-            counts = pc.fill_null(pc.list_value_length(batch.column(5)), 0).to_numpy(zero_copy_only=False)
-            known = [batch.column(k).flatten().to_numpy() for k in range(5, 9)]
-            doc, *rest = laid(*own, (np.repeat(np.arange(batch.num_rows), counts), *known))
-            order = np.argsort(doc, kind="stable")
-            ids, row = np.unique(doc, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *_packed(len(ids), row[order], *(x[order] for x in rest))], names=["doc", "other", "diag", "first", "last"])
+            of, own = spread(batch.column(1))
+            home, known = spread(batch.column(2))
+            doc, other, *where = laid(batch.column(0).to_numpy(), of, *own, (home, *known))
+            apart = doc != other
+            owners, m = gathered(doc[apart], other[apart], *(x[apart] for x in where))
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), m], names=["of", "m"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i, packs in zip(batch.column(0).to_pylist(), batch.column(1)):
-                other, diag, first, last = (x.flatten().to_numpy() for x in packs.values.flatten())
+                other, diag, first, last = spread(packs.values)[1]
                 _, other, diag, lo, hi = islands(np.zeros(len(first), int), other, diag, first, last + least)
                 out += [(i, *r) for r in cover(list(zip(lo.tolist(), hi.tolist(), other.tolist(), diag.tolist())))]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
@@ -303,10 +310,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
 
     with scratch(docs.sparkSession) as put:
         found = put(matches(named, least, window))
-        settled = put(found.where("NOT near").groupBy("doc").agg(F.collect_list(fields).alias("rows")).mapInArrow(join_up, _PACKED))
-        heads_of = settled.select(F.col("doc").alias("of"), *(F.col(c).alias(f"far_{c}") for c in ("other", "diag", "first", "last")))
-        near = found.where("near").drop("near").join(heads_of, F.col("other") == F.col("of"), "left").drop("of").mapInArrow(lay, _PACKED)
-        grouped = settled.union(near).groupBy("doc").agg(F.collect_list(fields).alias("rows"))
+        settled = put(found.where("NOT near").groupBy("of").agg(F.collect_list("m").alias("m")).mapInArrow(join_up, kind))
+        near = found.where("near").select("of", "m").join(settled.select("of", F.col("m").alias("far")), "of", "left").mapInArrow(lay, kind)
+        grouped = settled.union(near).groupBy("of").agg(F.collect_list("m").alias("m"))
         return stored(grouped.mapInArrow(choose, "id long, start int, stop int, other long, diag int"))
 
 
