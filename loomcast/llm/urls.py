@@ -1,14 +1,14 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A rule is a regular expression plus the literal tokens that any URL it fits must hold as whole tokens.  The tokens of
-all rules are counted over all URLs; each rule is filed under its rarest one.  A URL's tokens fetch the few rules filed
-under them, and only those run their regular expressions.
+A rule is a regular expression plus the literal tokens that any URL it fits must hold as whole tokens, which can be told
+from the expression.  The tokens of all rules are counted over all URLs; each rule is filed under its rarest one.  A URL's
+tokens fetch the few rules filed under them, and only those run their regular expressions.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -35,6 +35,35 @@ class Rule:
     listed: bool = True
 
 
+def tokens_of(pattern: str) -> tuple[str, ...]:
+    """Whole tokens that every text must hold in which pattern is found: runs of plain letters and digits outside groups
+    that stand between literal signs or anchors; no token if the pattern has alternatives outside groups."""
+    found, run, closed, depth = [], "", False, 0
+    # One element at a time: an escape, a class, a group's start, a sign; with its quantifier.
+    for m in re.finditer(r"(\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\((?:\?(?:[aiLmsux-]*:|P?<[^>]*>|[=!]|<[=!]))?|.)([?*+]|\{\d*,?\d*\})?", pattern, re.S):
+        one, counted = m[1], m[2]
+        if one == "|" and not depth:
+            return ()
+        plain = one[1] if one[0] == "\\" and not one[1].isalnum() else one
+        letter = len(plain) == 1 and plain.isascii() and plain.isalnum()
+        if depth or counted or len(plain) > 1 or plain in "()." and plain == one:
+            run, closed = "", False  # anything may stand here
+        elif letter:
+            run = run + plain if run or closed else ""
+            closed = False if run else closed
+        else:
+            if run:
+                found.append(run.lower())
+            run, closed = "", True
+        depth += one.startswith("(") - (one == ")")
+    return tuple(dict.fromkeys(found))
+
+
+def pattern_rule(verdict: str, pattern: str, rank: int = 0) -> Rule:
+    """A rule of a regular expression alone, named by it."""
+    return Rule(pattern, verdict, pattern, tokens_of(pattern), rank)
+
+
 def site_rule(verdict: str, site: str) -> Rule:
     """A rule for a host with all its subdomains and a path prefix, such as example.net/en/.  Longer sites win."""
     host, _, path = site.partition("/")
@@ -86,24 +115,32 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url",
     """df with host, path, rule (null where no listed rule fits) and verdict; columns so named in df are replaced.
 
     Null, empty or malformed URLs have empty host and path, which no site rule fits, and get the default verdict.
-    Repeated rows are judged alike.  The rules travel with the function: their number is a parameter, not data.
+    Repeated rows are judged alike; of rules with equal rank the first wins.  The rules travel with the function: their
+    number is a parameter, not data.
     """
     rules = list(rules)
     index = rule_index(rules, token_counts(df, url, rules))
 
     @F.pandas_udf("host string, path string, rule string, verdict string")
-    def judge(urls: pd.Series) -> pd.DataFrame:
-        compiled = [re.compile(r.pattern) for r in rules]
-        rows = []
-        for u in urls:
-            host, path = parts(u)
-            at = host + path
-            names = {"", *_TOKEN.findall(at.translate(_ASCII))}
-            fit = [k for t in names for k in index.get(t, ()) if host and compiled[k].search(at)]
-            best = max(fit, key=lambda k: (rules[k].rank, -k), default=None)
-            r = None if best is None else rules[best]
-            rows.append((host, path, r.name if r and r.listed else None, r.verdict if r else default))
-        return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        compiled: dict[int, re.Pattern] = {}  # those that a task has needed
+
+        def fits(k: int, at: str) -> bool:
+            if k not in compiled:
+                compiled[k] = re.compile(rules[k].pattern)
+            return compiled[k].search(at) is not None
+
+        for urls in batches:
+            rows = []
+            for u in urls:
+                host, path = parts(u)
+                at = host + path
+                names = {"", *_TOKEN.findall(at.translate(_ASCII))}
+                fit = [k for t in names for k in index.get(t, ()) if host and fits(k, at)]
+                best = max(fit, key=lambda k: (rules[k].rank, -k), default=None)
+                r = None if best is None else rules[best]
+                rows.append((host, path, r.name if r and r.listed else None, r.verdict if r else default))
+            yield pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
 
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
     (found,) = unused(kept, "_judged")
