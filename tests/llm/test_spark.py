@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -171,7 +172,8 @@ def shuffled_stock(seed):
             parts.append(f"{r.choice(leads)} {prose(r.randrange(9), 20, 10**6)}")
         r.shuffle(parts)
         texts.append(r.choice(texts) if texts and r.random() < 0.15 else " ".join(parts))
-    return [*texts, texts[3] + " " + texts[3], None, ""]
+    chorus = prose(f"{seed}c", 60, 10**6)
+    return [*texts, texts[3] + " " + texts[3], f"{chorus} {prose(seed, 9)} {chorus} {chorus}", f"a {chorus} {chorus} b {chorus}", None, ""]
 
 
 @pytest.mark.parametrize("split", [False, True])
@@ -376,6 +378,23 @@ def test_url_query_against_sql(spark, sf):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_thousands_of_url_rules_against_a_scan_of_all(spark):
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    rules = [urls.site_rule(r.choice(("allow", "block")), f"{r.choice(words)}.{r.choice(('net', 'org'))}/{r.choice(('', 'w1/', 'w2'))}") for _ in range(1500)]
+    rules += [urls.pattern_rule("block", p) for p in (rf"[/.]{a}-{b}/" for a, b in (r.sample(words, 2) for _ in range(800)))] + [urls.pattern_rule("allow", rf"/{w[:-1]}\d?/") for w in words[:300]]
+    links = [f"https://{r.choice(('', 'm.', 'W3.'))}{r.choice(words)}.{r.choice(('net', 'org', 'com'))}/{r.choice(words)}{r.choice('/-')}{r.choice(words)}/{r.choice(words)}" for _ in range(1500)] + [None, "", "x"]
+    got = urls.filter_urls(spark.createDataFrame(list(enumerate(links)), "id long, url string").withColumn("_judged", F.lit(1)), rules).collect()
+    named, compiled = 0, [re.compile(rule.pattern) for rule in rules]
+    for row in got:
+        host, path = urls.parts(links[row.id])
+        fit = [k for k, p in enumerate(compiled) if host and p.search(host + path)]
+        best = max(fit, key=lambda k: (rules[k].rank, -k), default=None)
+        assert (row.rule, row.verdict, row._judged) == ((rules[best].name, rules[best].verdict, 1) if best is not None else (None, "allow", 1))
+        named += best is not None
+    assert len(got) == len(links) and 200 < named < 1500
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs, labels = labelled(spark, 120)
     passage = prose(7, 60, 50)

@@ -1,5 +1,8 @@
 """The text operators' parts without Spark, against brute force or the libraries they must agree with."""
 
+import re
+from html.parser import HTMLParser
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -176,6 +179,55 @@ def test_main_text_of_odd_sources(source, text):
     assert pages.main_text(source) == text
 
 
+def test_letters_that_grow_in_lower_case():
+    text = "İ" * 30
+    assert pages.main_text(f"<article><p>{text}</p><script>x = 1</script><p>This is a long first paragraph.</p></article>") == f"{text}\nThis is a long first paragraph."
+    assert pages.main_text("<p>a</p><SCRIPT>b</scriptx></Script ><p>c</p>") == "a\nc"
+    assert pages.main_text("<p>" + "word, " * 200_000 + "</p>") == ("word, " * 200_000).strip()
+
+
+class Plain(HTMLParser):
+    """The text of articles without unwanted elements, by Python's own parser: an independent reading of plain pages."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.lines = [], [[]]
+
+    def kept(self):
+        return any(t == "article" for t, _ in self.open) and not any(bad for _, bad in self.open)
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in pages.INLINE:
+            self.lines.append([])
+        if tag in pages.VOID:
+            if tag in pages.INLINE and self.kept():
+                self.lines[-1].append(" ")
+            return
+        named = " ".join((dict(attrs).get(k) or "") for k in ("class", "id")).lower()
+        self.open.append((tag, tag in pages.DROPPED or tag != "article" and not pages.UNWANTED.isdisjoint(re.findall("[a-z]+", named))))
+
+    def handle_endtag(self, tag):
+        if tag not in pages.INLINE:
+            self.lines.append([])
+        at = [k for k, (t, _) in enumerate(self.open) if t == tag]
+        if at:
+            del self.open[at[-1] :]
+
+    def handle_data(self, data):
+        if self.kept():
+            self.lines[-1].append(data)
+
+
+def test_main_text_equals_another_reading_of_whole_tables(small):
+    import pyarrow.parquet as pq
+
+    for html in pq.read_table(f"{small}/pages.parquet").column("html").to_pylist():
+        p = Plain()
+        p.feed(html or "")
+        p.close()
+        assert pages.main_text(html) == "\n".join(t for line in p.lines if (t := " ".join("".join(line).split())))
+
+
 def test_url_parts_and_index():
     assert urls.parts("https://Www.Example.NET/en/x?q=/de/#f") == ("www.example.net", "/en/x")
     assert urls.parts(None) == urls.parts("no scheme/x") == ("", "") and urls.parts("a://h") == ("h", "")
@@ -184,6 +236,14 @@ def test_url_parts_and_index():
     assert urls.site_rule("block", "a.com/x/pre").tokens == ("a", "com", "x")
 
 
+@pytest.mark.parametrize(
+    ("pattern", "tokens"),
+    [(r"^ads\.", ("ads",)), (r"ads\.", ()), (r"/ads/", ("ads",)), (r"/ads?/", ()), (r"/a|/b/", ()), (r"/(?:x|y)/track/", ("track",)), (r"/ad[sx]/pixel\.gif$", ("pixel", "gif")), (r"\.Foo\.com/.*/bar-", ("foo", "com", "bar")), (r"/.*/bar-", ("bar",)), (r"-b{2}-", ()), (r"-\d+-x-", ("x",)), (r"^(a)b-", ())],
+)
+def test_tokens_of_patterns(pattern, tokens):
+    assert urls.tokens_of(pattern) == tokens
+
+
 def test_cut_texts():
     text = "One  two\nthree four\tfive"
     assert suffixes.without(text, [(1, 3)]) == "One  four\tfive"
@@ -208,14 +268,14 @@ def test_cover_covers():
 
 
 def test_near_matches_are_laid_to_their_heads():
-    # Document 9 has words 10 .. 59 of 5 five words before; 5 has its words 0 .. 9 and 30 .. 34 from elsewhere.
-    one = lambda *x: tuple(np.array([v]) for v in x)
-    known = (np.array([0, 0, 0]), np.array([2, 3, 1]), np.array([100, -7, 0]), np.array([0, 30, 70]), np.array([9, 34, 80]))
-    got = sorted(zip(*(x.tolist() for x in suffixes.laid(*one(9, 5, 5, 10, 59), known))))
-    assert got == [(9, 2, 105, 10, 14), (9, 3, -2, 35, 39), (9, 5, 5, 15, 34), (9, 5, 5, 40, 59)]
+    # Document 9 has words 10 .. 59 of number 0 five words before; that has its words 0 .. 9 and 30 .. 34 from elsewhere.
+    ids, of, doc, diag, first, last = (np.array(x) for x in ([5, -7], [0, 1], [9, 8], [5, 0], [10, 3], [59, 4]))
+    known = tuple(np.array(x) for x in ([0, 0, 0], [2, 3, 1], [100, -7, 0], [0, 30, 70], [9, 34, 80]))
+    got = sorted(zip(*(x.tolist() for x in suffixes.laid(ids, of, doc, diag, first, last, known))))
+    assert got == [(8, -7, 0, 3, 4), (9, 2, 105, 10, 14), (9, 3, -2, 35, 39), (9, 5, 5, 15, 34), (9, 5, 5, 40, 59)]
     none = tuple(np.empty(0, int) for _ in range(5))
-    assert [x.tolist() for x in suffixes.laid(*one(9, 5, 5, 10, 59), none)] == [[9], [5], [5], [10], [59]]
-    assert all(not len(x) for x in suffixes.laid(*none, none))
+    assert [x.tolist() for x in suffixes.laid(ids, of, doc, diag, first, last, none)] == [[9, 8], [5, -7], [5, 0], [10, 3], [59, 4]]
+    assert all(not len(x) for x in suffixes.laid(none[0], *none, none))
 
 
 def test_gram_counts_and_features():
@@ -225,6 +285,28 @@ def test_gram_counts_and_features():
     assert (toxicity.features("Bad, word", 20) == toxicity.features("bad word", 20)).all()
 
 
+def test_ftrl_equals_a_plain_version():
+    """Per-coordinate rates, L1 and L2 in plain loops."""
+    s = toxicity.Settings(bits=6, epochs=2, l1=0.3)
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 64, rng.integers(0, 12))).astype(np.int32) for _ in range(60)]
+    y = rng.integers(0, 2, 60)
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(k):
+        l1 = 0.0 if k == 64 else s.l1
+        return 0.0 if abs(z[k]) <= l1 else ((1 if z[k] > 0 else -1) * l1 - z[k]) / ((s.beta + n[k] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for row, label in zip(rows, y):
+            w = {k: weight(k) for k in [*row.tolist(), 64]}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - label) * (s.positive if label else 1.0)
+            for k in w:
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / s.alpha * w[k]
+                n[k] += g * g
+    assert np.allclose(toxicity.ftrl(rows, y, s), [weight(k) for k in range(65)])
+
+
 def test_ftrl_finds_the_telling_feature():
     rng = np.random.default_rng(4)
     rows, y = [], []
