@@ -6,11 +6,15 @@ training rows and of future rows are projections over rows joined with that stat
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcast.config import ModelConfig
 from loomcast.functions import bases
+from loomcast.sources.series import moved
+
 
 def _empty() -> Column:
     return F.lit(None).cast("array<double>")
@@ -100,9 +104,8 @@ def future_times(state: DataFrame, horizon: int, steps: DataFrame | None = None)
     rows = state.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))).withColumn("t", (F.col("n") + F.col("h")).cast("int"))
     if steps is None:
         return rows.withColumn("ds", F.lit(None).cast("timestamp"))
-    ahead = (F.col("h") + 1).cast("int")
-    moved = F.when(F.col("months") > 0, F.col("last_ds") + F.make_ym_interval(F.lit(0), ahead * F.col("months"))).when(F.col("seconds") > 0, F.timestamp_seconds(F.unix_timestamp("last_ds") + ahead * F.col("seconds")))
-    return rows.join(steps, "unique_id", "left").withColumn("ds", moved).drop("months", "seconds")
+    joined = rows.join(steps, "unique_id", "left")
+    return joined.withColumn("ds", moved(F.col("last_ds"), (F.col("h") + 1).cast("int"), F.col("unit"), F.col("months"), F.col("seconds"))).drop("unit", "months", "seconds")
 
 
 def future_design(state: DataFrame, config: ModelConfig, horizon: int, steps: DataFrame | None = None, times: DataFrame | None = None) -> DataFrame:
@@ -122,11 +125,15 @@ def feature_names(state: DataFrame, config: ModelConfig) -> DataFrame:
     """unique_id, block, pos, name, penalised of every design column."""
     trend = [F.struct(F.lit(n).alias("name"), F.lit(p).alias("penalised")) for n, p in zip(config.trend.names(), config.trend.penalised())]
     plain = lambda name: F.struct(name.alias("name"), F.lit(False).alias("penalised"))
+
+    def level_named(field: str) -> Callable[[Column], Column]:
+        return lambda v: plain(F.concat(F.lit(f"{field}_"), v.cast("string")))
+
     seasonal = [F.array(*(plain(F.lit(n)) for n in bases.fourier_names(config.seasonal.periods)))] if config.seasonal.periods else []
     for c in config.seasonal.calendar:
         levels = F.element_at("calendar_levels", F.lit(c))
         used = F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0)))
-        seasonal.append(F.transform(used, lambda v, c=c: plain(F.concat(F.lit(f"{c}_"), v.cast("string")))))
+        seasonal.append(F.transform(used, level_named(c)))
     generic = [plain(F.lit(n)) for n in config.generic.names()]
     blocks = [("trend", F.array(*trend))]
     blocks += [("seasonal", F.concat(*seasonal))] if seasonal else []

@@ -25,27 +25,20 @@ def autocorrelation(chains: DataFrame, lags: Sequence[int], by: Sequence[str] =
 def effective_size(chains: DataFrame, by: Sequence[str] = ("chain",), most: int = 100) -> DataFrame:
     """by, ess: n / (1 + 2 sum of rho), rho taken in pairs up to the first pair with a negative sum, between 1 and n.
 
-    Lags run to min(n - 1, most) - 1.  A chain gathers in one array, which has as many values as the chain.
+    Lags run to min(n - 1, most) - 1.  A window over a chain's draws makes the products of all lags in one pass; no chain
+    gathers in an array.
     """
-    own = chains.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "value"))), lambda e: e["value"]).alias("x"))
-    n = F.size("x")
-    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / n
-    own = own.select(*by, n.alias("n"), F.transform("x", lambda v: v - mean).alias("d"))
-    var = F.aggregate("d", F.lit(0.0), lambda s, v: s + v * v) / F.col("n")
-    own = own.withColumn("v", var)
-
-    def rho(k):
-        products = F.zip_with(F.slice("d", F.lit(1), F.col("n") - k), F.slice("d", k + 1, F.col("n") - k), lambda a, b: a * b)
-        return F.when(F.col("v") < FLAT, 0.0).otherwise(F.aggregate(products, F.lit(0.0), lambda s, v: s + v) / (F.col("n") - k) / F.col("v"))
-
+    lags = range(1, most)
+    n = chains.groupBy(*by).agg(F.count("*").alias("n"))
     top = F.least(F.col("n") - 1, F.lit(most)) - 1
-    lags = F.when(top >= 2, F.sequence(F.lit(1), F.greatest(top - F.lit(1), F.lit(1)), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    pairs = own.select(*by, "n", F.transform(lags, lambda k: rho(k) + rho(k + 1)).alias("p"))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(True).alias("go"))
-    total = F.aggregate("p", start, lambda a, p: F.struct(F.when(a["go"] & (p >= 0), a["s"] + p).otherwise(a["s"]).alias("s"), (a["go"] & (p >= 0)).alias("go")))["s"]
-    size = F.col("n").cast("double")
+    pairs = autocorrelation(chains, lags, by).groupBy(*by, F.floor((F.col("lag") - 1) / 2).alias("j")).agg(F.sum("rho").alias("p"), F.max("lag").alias("k"))
+    pairs = n.join(pairs.where(F.col("k") == 2 * F.col("j") + 2), list(by), "left").withColumn("p", F.when(F.col("k") <= top, F.col("p")))
+    ordered = Window.partitionBy(*by).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = pairs.withColumn("gone", F.max(F.coalesce(F.col("p") < 0, F.lit(True)).cast("int")).over(ordered))
+    size, total = F.col("n").cast("double"), F.col("total")
+    sums = pairs.groupBy(*by).agg(F.first("n").alias("n"), F.coalesce(F.sum(F.when(F.col("gone") == 0, F.col("p"))), F.lit(0.0)).alias("total"))
     ess = F.when(F.col("n") <= 2, size).otherwise(F.greatest(F.lit(1.0), F.least(size, size / (1.0 + 2.0 * total))))
-    return pairs.select(*by, ess.alias("ess"))
+    return sums.select(*by, ess.alias("ess"))
 
 
 def rhat(chains: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomcast.config import ModelConfig
 from loomcast.functions.bases import dot
-from loomcast.operators.gibbs import run_chain, run_moments_chain, seed_for
+from loomcast.operators.gibbs import Builder, blocks_of, run_chain, run_moments_chain, seed_for
+
 
 def posterior_schema() -> T.StructType:
     doubles, node = T.ArrayType(T.DoubleType()), T.StructType([T.StructField("feat", T.IntegerType()), T.StructField("thresh", T.DoubleType()), T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()), T.StructField("value", T.DoubleType())])
@@ -26,32 +27,64 @@ def posterior_schema() -> T.StructType:
     return T.StructType([T.StructField(n, k) for n, k in kinds])
 
 
-def _guarded(draws: Callable[[], Iterator[dict]], unique_id: str, chain: int) -> list[dict]:
-    """The draws of a chain, or one row with its error: a bad series doesn't end the others."""
+HELD = 64  # draws that a task holds before it hands them on
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow array of numbers, numpy arrays or forests (lists of lists of node tuples)."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    values = [[] if v is None else v for v in values]
+    ends = pa.array(np.cumsum([0, *map(len, values)]), pa.int32())
+    if not pa.types.is_list(kind.value_type):
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.asarray(v, float) for v in values]), kind.value_type), type=kind)
+    trees = [t for v in values for t in v]
+    nodes = np.array([n for t in trees for n in t], float).reshape(-1, 5)
+    fields = list(kind.value_type.value_type)
+    parts = [pa.array(nodes[:, k] if pa.types.is_floating(f.type) else nodes[:, k].astype(np.int32), f.type) for k, f in enumerate(fields)]
+    inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, trees)]), pa.int32()), pa.StructArray.from_arrays(parts, fields=fields), type=kind.value_type)
+    return pa.ListArray.from_arrays(ends, inner, type=kind)
+
+
+def _batches(draws: Callable[[], Iterator[dict]], unique_id: str, chain: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The draws of a chain, HELD at a time; an error becomes a last row, so that a bad series doesn't end the others."""
+
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        rows = [{"unique_id": unique_id, "chain": chain, **r} for r in rows]
+        return pa.RecordBatch.from_arrays([_column([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
+
+    held: list[dict] = []
     try:
-        return [{"unique_id": unique_id, "chain": chain, **d} for d in draws()]
+        for d in draws():
+            held.append(d)
+            if len(held) == HELD:
+                yield batch(held)
+                held = []
     except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError) as e:
-        return [{"unique_id": unique_id, "chain": chain, "draw": -1, "error": f"{type(e).__name__}: {e}"}]
+        held.append({"draw": -1, "error": f"{type(e).__name__}: {e}"})
+    if held:
+        yield batch(held)
 
 
-def posterior(design: DataFrame, config: ModelConfig) -> DataFrame:
+def posterior(design: DataFrame, config: ModelConfig, build: Builder = blocks_of) -> DataFrame:
     """Draws of the whole model: a grouped map over (series, chain), which draws the same however rows are partitioned.
 
-    A failed series is one row with draw -1 and its error.
+    A chain that fails ends with a row with draw -1 and its error.  build makes the blocks of a chain (gibbs.Block); one
+    of one's own can replace the trend, the seasonal or the generic block.
     """
     schema = posterior_schema()
     arrow = to_arrow_schema(schema)
     chains = design.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(config.mcmc.chains - 1)))).select("unique_id", "chain", "t", "z", "x_tr", "x_se", "x_ge")
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unique_id, chain = key[0].as_py(), key[1].as_py()
-        rows = rows.sort_by("t")
+        rows = pa.Table.from_batches(list(batches)).sort_by("t").combine_chunks()
 
         def draws() -> Iterator[dict]:
-            x = [np.array(rows[c].to_pylist(), float).reshape(rows.num_rows, -1) for c in ("x_tr", "x_se", "x_ge")]
-            return run_chain(rows["z"].to_numpy(), *x, config, seed_for(config.mcmc.seed, unique_id, chain))
+            x = [rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) for c in ("x_tr", "x_se", "x_ge")]
+            return run_chain(rows["z"].to_numpy(), *x, config, seed_for(config.mcmc.seed, unique_id, chain), build)
 
-        return pa.Table.from_pylist(_guarded(draws, unique_id, chain), schema=arrow)
+        yield from _batches(draws, unique_id, chain, arrow)
 
     return chains.groupBy("unique_id", "chain").applyInArrow(run, schema)
 
@@ -90,7 +123,7 @@ def moments_posterior(moments: DataFrame, config: ModelConfig) -> DataFrame:
                 gram = gram + np.triu(gram, 1).T
                 rng = seed_for(config.mcmc.seed, r["unique_id"], r["chain"])
                 draws = lambda: run_moments_chain(r["n"], gram, np.array(r["cross"]), r["zz"], penalised, config, rng)  # noqa: B023, E731
-                yield pa.RecordBatch.from_pylist(_guarded(draws, r["unique_id"], r["chain"]), schema=arrow)
+                yield from _batches(draws, r["unique_id"], r["chain"], arrow)
 
     return rows.mapInArrow(run, schema)
 

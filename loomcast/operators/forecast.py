@@ -18,6 +18,7 @@ from loomcast.operators.design import future_covariates
 from loomcast.operators.gibbs import walk_variance
 from loomcast.operators.interpret import COMPONENTS, bands, long_components
 from loomcast.operators.metrics import quantiles, tails
+from loomcast.operators.trees import Forests
 
 
 def _in_order(value: str) -> Column:
@@ -25,11 +26,11 @@ def _in_order(value: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("h", value))), lambda e: e[value])
 
 
-def _routed(nodes: list[dict], x: np.ndarray) -> float:
-    at = nodes[0]
-    while at["feat"] >= 0:
-        at = nodes[at["left"] if x[at["feat"]] <= at["thresh"] else at["right"]]
-    return at["value"]
+def _rows(column: pa.Array, n: int, *shape: int) -> np.ndarray:
+    """An array column (of arrays) of equal lengths as a numpy array with n rows."""
+    while not pa.types.is_floating(column.type):
+        column = column.flatten()
+    return column.to_numpy(zero_copy_only=False).reshape(n, *shape)
 
 
 def simulate(
@@ -81,36 +82,46 @@ def simulate(
     schema = T.StructType([T.StructField("unique_id", T.StringType()), T.StructField("chain", T.IntegerType()), T.StructField("draw", T.IntegerType()), T.StructField("n", T.LongType()), *(T.StructField(c, doubles) for c in ("sample", *COMPONENTS))])
     arrow = to_arrow_schema(schema)
 
-    def path(r: dict) -> dict:
-        rng = np.random.default_rng(np.random.SeedSequence([config.mcmc.seed, zlib.crc32(r["unique_id"].encode()), r["chain"], r["draw"], 1 + call]))
-        mean, sd = r["y_mean"], r["y_std"]
-        trend = np.array(r["trend"])
+    def paths_of(b: pa.RecordBatch) -> pa.RecordBatch:
+        """The paths of a batch of draws, which take each step together."""
+        n = b.num_rows
+        ids = [b.column(c).to_pylist() for c in ("unique_id", "chain", "draw")]
+        rngs = [np.random.default_rng(np.random.SeedSequence([config.mcmc.seed, zlib.crc32(u.encode()), chain, draw, 1 + call])) for u, chain, draw in zip(*ids)]
+        mean, sd = b.column("y_mean").to_numpy()[:, None], b.column("y_std").to_numpy()[:, None]
         if mode == "tvp":
-            step = np.sqrt(walk_variance(r["n"] - r["max_lag"], config.trend.coef_scale, config.trend.smoothing))
-            walk = np.array(r["beta"]) + np.cumsum(step * rng.standard_normal((horizon, len(r["beta"]))), axis=0)
-            trend = (np.array(r["f_tr"]) * walk).sum(1)
-        if r["h_last"] is None:
-            noise = np.full(horizon, np.sqrt(r["sigma2"]))
+            f = _rows(b.column("f_tr"), n, horizon, 2)
+            step = np.sqrt([walk_variance(k - lag, config.trend.coef_scale, config.trend.smoothing) for k, lag in zip(b.column("n").to_pylist(), b.column("max_lag").to_pylist())])
+            walk = np.array([g.standard_normal((horizon, 2)) for g in rngs]) * step[:, None, None]
+            trend = (f * (_rows(b.column("beta"), n, 1, 2) + np.cumsum(walk, axis=1))).sum(2)
         else:
-            h, noise = r["h_last"], np.empty(horizon)
+            trend = _rows(b.column("trend"), n, horizon)
+        if config.error.mode == "sv":
+            h, mu = b.column("h_last").to_numpy(zero_copy_only=False), b.column("sv_mu").to_numpy(zero_copy_only=False)
+            moved, noise = np.array([g.standard_normal(horizon) for g in rngs]), np.empty((n, horizon))
             for k in range(horizon):
-                h = r["sv_mu"] + config.error.sv_phi * (h - r["sv_mu"]) + config.error.sv_sigma_h * rng.standard_normal()
-                noise[k] = np.exp(h / 2.0)
-        noise = noise * rng.standard_normal(horizon)
-        base = trend + np.array(r["seasonal"])
-        past, generic, out = list(r["tail"]), np.zeros(horizon), np.empty(horizon)
+                h = mu + config.error.sv_phi * (h - mu) + config.error.sv_sigma_h * moved[:, k]
+                noise[:, k] = np.exp(h / 2.0)
+        else:
+            noise = np.sqrt(b.column("sigma2").to_numpy(zero_copy_only=False))[:, None]
+        noise = noise * np.array([g.standard_normal(horizon) for g in rngs])
+        seasonal = _rows(b.column("seasonal"), n, horizon)
+        past, generic, out = _rows(b.column("tail"), n, -1), np.zeros((n, horizon)), np.empty((n, horizon))
+        forests = Forests.of(b.column("trees")) if config.has_generic else None
+        covs = _rows(b.column("f_covs"), n, horizon, len(names))
         for k in range(horizon):
-            if r["trees"]:
-                x = [past[-lag] if lag > 0 else np.nan for lag in lags] + r["f_covs"][k]
-                generic[k] = sum(_routed(nodes, x) for nodes in r["trees"])
-            out[k] = mean + sd * (base[k] + generic[k] + noise[k])
-            past.append(out[k])
-        return {**{c: r[c] for c in ("unique_id", "chain", "draw", "n")}, "sample": out, "trend": mean + sd * trend, "seasonal": sd * np.array(r["seasonal"]), "generic": sd * generic}
+            if forests is not None:
+                x = [past[:, -lag] if lag > 0 else np.full(n, np.nan) for lag in lags]
+                generic[:, k] = forests.values(np.column_stack([*x, covs[:, k]]))
+            out[:, k] = mean[:, 0] + sd[:, 0] * (trend[:, k] + seasonal[:, k] + generic[:, k] + noise[:, k])
+            past = np.column_stack([past[:, 1:], out[:, k]])
+        ends = pa.array(np.arange(0, n * horizon + 1, horizon, dtype=np.int32))
+        parts = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (out, mean + sd * trend, sd * seasonal, sd * generic)]
+        return pa.RecordBatch.from_arrays([b.column(c) for c in ("unique_id", "chain", "draw", "n")] + parts, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                yield pa.RecordBatch.from_pylist([path(r) for r in batch.slice(at, 256).to_pylist()], schema=arrow)
+                yield paths_of(batch.slice(at, 256))
 
     paths = ready.mapInArrow(run, schema)
     each = paths.select("unique_id", "chain", "draw", "n", F.posexplode(F.arrays_zip("sample", *COMPONENTS)).alias("h", "v"))

@@ -7,7 +7,9 @@ Everything here works on the standardised target of one series in numpy.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 
@@ -297,21 +299,43 @@ def seed_for(seed: int, unique_id: str, chain: int, call: int = 0) -> np.random.
     return np.random.default_rng(np.random.SeedSequence([seed, zlib.crc32(unique_id.encode()), chain, call]))
 
 
-def run_chain(z: np.ndarray, x_tr: np.ndarray, x_se: np.ndarray, x_ge: np.ndarray, cfg: ModelConfig, rng: np.random.Generator):
-    """Yield a dict for each kept draw: parameters, component paths and flattened trees."""
+class Block(Protocol):
+    """What a part of the model must offer, so that a builder can put one of its own in the place of any here.
+
+    fit is what it adds to the series in sample.  sweep takes the residual without any block's fit changed so far, adds
+    its fit back, draws anew given the noise variances and takes the new fit off again, all in place; warm marks the
+    first sweeps, which may move faster.
+    """
+
+    fit: np.ndarray
+
+    def sweep(self, r: np.ndarray, var: np.ndarray, rng: np.random.Generator, warm: bool) -> None: ...
+
+
+#: A builder: the blocks by the names trend, seasonal and generic, of a configuration and the three designs.
+Builder = Callable[[ModelConfig, np.ndarray, np.ndarray, np.ndarray], dict[str, Block]]
+
+
+def blocks_of(cfg: ModelConfig, x_tr: np.ndarray, x_se: np.ndarray, x_ge: np.ndarray) -> dict[str, Block]:
+    """The blocks of a configuration; a design without columns makes none."""
     t = cfg.trend
-    trend: LinearTrend | DriftTrend | Forest
     if t.mode == "tree":
-        trend = Forest(x_tr, t.tree_prior)
+        blocks: dict[str, Block] = {"trend": Forest(x_tr, t.tree_prior)}
     elif t.mode == "tvp":
-        trend = DriftTrend(x_tr, t.coef_scale, t.smoothing)
+        blocks = {"trend": DriftTrend(x_tr, t.coef_scale, t.smoothing)}
     else:
-        trend = LinearTrend(x_tr, np.array(t.penalised()), t.coef_scale, t.smoothing)
-    blocks: dict[str, LinearTrend | DriftTrend | Forest] = {"trend": trend}
+        blocks = {"trend": LinearTrend(x_tr, np.array(t.penalised()), t.coef_scale, t.smoothing)}
     if x_se.shape[1]:
         blocks["seasonal"] = Forest(x_se, cfg.seasonal.tree_prior)
     if x_ge.shape[1]:
         blocks["generic"] = Forest(x_ge, cfg.generic.prior())
+    return blocks
+
+
+def run_chain(z: np.ndarray, x_tr: np.ndarray, x_se: np.ndarray, x_ge: np.ndarray, cfg: ModelConfig, rng: np.random.Generator, build: Builder = blocks_of):
+    """Yield a dict for each kept draw: parameters, component paths and flattened trees."""
+    blocks = build(cfg, x_tr, x_se, x_ge)
+    trend = blocks["trend"]
     n, r = len(z), z.copy()
     shape, rate = variance_prior(z, np.hstack([x_tr, x_se, x_ge]), cfg.error.nu, cfg.error.q)
     sv = Volatility(cfg.error.sv_phi, cfg.error.sv_sigma_h, cfg.error.sv_mu_prior_var) if cfg.error.mode == "sv" else None
@@ -333,12 +357,12 @@ def run_chain(z: np.ndarray, x_tr: np.ndarray, x_se: np.ndarray, x_ge: np.ndarra
         paths = {k: blocks[k].fit.copy() if k in blocks else np.zeros(n) for k in ("trend", "seasonal", "generic")}
         yield {
             "draw": kept // m.thin,
-            "beta": [] if isinstance(trend, Forest) else trend.beta.tolist(),
+            "beta": np.array(getattr(trend, "beta", ()), float),
             "sigma2": float(var[0]) if sv is None else None,
             "h_last": None if sv is None else float(sv.h[-1]),
             "sv_mu": None if sv is None else float(sv.mu),
-            "sigma2_t": [] if sv is None else var.tolist(),
-            **{k: v.tolist() for k, v in paths.items()},
+            "sigma2_t": np.empty(0) if sv is None else var,
+            **paths,
             **{f"{k}_trees": blocks[k].flat() if isinstance(blocks.get(k), Forest) else [] for k in ("trend", "seasonal", "generic")},
             "gap": float(np.abs(z - sum(paths.values()) - r).max()),
         }
@@ -360,4 +384,4 @@ def run_moments_chain(n: int, gram: np.ndarray, cross: np.ndarray, zz: float, pe
         var = (rate + 0.5 * squares(beta)) / rng.standard_gamma(nu / 2.0 + n / 2.0)
         kept = sweep - m.num_gfr - m.num_burnin
         if kept >= 0 and kept % m.thin == 0:
-            yield {"draw": kept // m.thin, "beta": beta.tolist(), "sigma2": var}
+            yield {"draw": kept // m.thin, "beta": beta, "sigma2": var}

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomcast.functions import bases
 from loomcast.operators.metrics import quantiles, tails
+from loomcast.operators.trees import Forests
 
 DRAW = ("unique_id", "chain", "draw")
 COMPONENTS = ("trend", "seasonal", "generic")
@@ -64,18 +69,39 @@ def split_importance(posterior: DataFrame, names: DataFrame, block: str, level:
     return each.join(used, ["unique_id", "feature"])
 
 
+ROWS = 4096  # training rows that meet all draws of a series at once
+
+
 def partial_dependence(posterior: DataFrame, design: DataFrame, state: DataFrame, block: str, feature: int, grid: Sequence[float], level: float = 0.9) -> DataFrame:
     """unique_id, x, mean, lower, upper: the forest's mean over the training rows with one feature set to each x.
 
-    On the scale of y without its mean.  Means over rows are taken for each draw before draws meet.
+    On the scale of y without its mean.  A task holds a block of about ROWS training rows and walks them through the
+    forests of all draws of their series; sums over blocks give the mean of each draw before draws meet.
     """
     column = {"trend": "x_tr", "seasonal": "x_se", "generic": "x_ge"}[block]
-    points = design.select("unique_id", F.col(column).alias("row"), F.explode(F.array(*(F.lit(float(g)) for g in grid))).alias("x"))
-    points = points.withColumn("row", F.transform("row", lambda v, i: F.when(i == feature, F.col("x")).otherwise(v)))
-    packed = points.groupBy("unique_id", "x").agg(F.collect_list("row").alias("rows"))
-    each = posterior.where(F.size(f"{block}_trees") > 0).select(*DRAW, F.col(f"{block}_trees").alias("trees")).join(packed, "unique_id")
-    total = F.aggregate("rows", F.lit(0.0), lambda s, r: s + bases.forest_value(F.col("trees"), r))
-    means = each.select("unique_id", "chain", "draw", "x", (total / F.size("rows")).alias("m")).join(state.select("unique_id", "y_std"), "unique_id")
+    count = design.groupBy("unique_id").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
+    dealt_by = F.xxhash64("t" if "t" in design.columns else column)
+    rows = design.join(count, "unique_id").select("unique_id", F.pmod(dealt_by, F.col("blocks")).cast("int").alias("part"), F.col(column).alias("row"))
+    draws = posterior.where(F.size(f"{block}_trees") > 0).select(*DRAW, F.col(f"{block}_trees").alias("trees")).join(count, "unique_id")
+    draws = draws.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    points = [float(g) for g in grid]
+
+    def walk(key: tuple, own: pa.Table, drawn: pa.Table) -> pa.Table:
+        out = []
+        if own.num_rows:
+            x = own["row"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1).copy()
+            for part in drawn.to_batches():
+                forests = Forests.of(part.column("trees"))
+                for g in points:
+                    x[:, feature] = g
+                    n = part.num_rows
+                    out.append(pa.RecordBatch.from_arrays([part.column("unique_id"), part.column("chain"), part.column("draw"), pa.array(np.full(n, g)), pa.array(forests.sums(x)), pa.array(np.full(n, len(x), np.int64))], schema=arrow))
+        return pa.Table.from_batches(out, schema=arrow)
+
+    schema = T.StructType([*(posterior.schema[c] for c in DRAW), T.StructField("x", T.DoubleType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
+    arrow = to_arrow_schema(schema)
+    sums = rows.groupBy("unique_id", "part").cogroup(draws.groupBy("unique_id", "part")).applyInArrow(walk, schema)
+    means = sums.groupBy(*DRAW, "x").agg((F.sum("s") / F.sum("n")).alias("m")).join(state.select("unique_id", "y_std"), "unique_id")
     return bands(means.withColumn("value", F.col("m") * F.col("y_std")), ("unique_id", "x"), level=level)
 
 

@@ -41,7 +41,8 @@ def smape(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def naive_scale(train: DataFrame, by: Sequence[str] = (), order: str = "t") -> DataFrame:
-    """The mean absolute change from row to row of the training series."""
+    """The mean absolute change from row to row of the training series.  Without groups train is one series, which one task
+    puts in order; give by for more."""
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)
     return train.withColumn("_d", F.abs(F.col("y") - F.lag("y").over(w))).groupBy(*by).agg(F.greatest(F.coalesce(F.avg("_d"), F.lit(0.0)), F.lit(TINY)).alias("scale"))
 
@@ -85,14 +86,31 @@ def interval_score(bounds: DataFrame, by: Sequence[str] = (), level: float = 0.9
 
 
 def evaluate(samples: DataFrame, train: DataFrame, by: Sequence[str] = (), level: float = 0.9) -> DataFrame:
-    """All scores of each group in one row.  Without groups everything is one."""
+    """All scores of each group in one row.  Without groups everything is one.
+
+    The samples are shuffled once, by group and step; one aggregation makes a row for each step, a second the scores.
+    """
     keys = list(by) or ["_all"]
     if not by:
         samples, train = samples.withColumn("_all", F.lit(0)), train.withColumn("_all", F.lit(0))
-    points, bounds = point(samples, keys), intervals(samples, keys, level)
-    out = rmse(points, keys)
-    for more in (smape(points, keys), mase(points, train, keys), crps(samples, keys), pinball(samples, keys), coverage(bounds, keys), interval_score(bounds, keys, level)):
-        out = out.join(more, keys)
+    w = Window.partitionBy(*keys, "h")
+    ranked = samples.withColumn("_i", F.row_number().over(w.orderBy("sample"))).withColumn("_s", F.count("*").over(w))
+    apart = F.avg(F.abs(F.col("sample") - F.col("actual"))) - F.sum((2.0 * F.col("_i") - F.col("_s") - 1.0) * F.col("sample")) / F.pow(F.count("*").cast("double"), F.lit(2.0))
+    a, m, q = F.col("actual"), F.col("mean"), F.col("q")
+    steps = ranked.groupBy(*keys, "h").agg(F.first("actual").alias("actual"), F.avg("sample").alias("mean"), apart.alias("crps"), quantiles("sample", [*PINBALL, *tails(level)]).alias("q"))
+    lo, hi = q[len(PINBALL)], q[len(PINBALL) + 1]
+    miss = F.when(a < lo, lo - a).when(a > hi, a - hi).otherwise(0.0)
+    loss = F.aggregate(F.zip_with(F.slice(q, 1, len(PINBALL)), F.array(*map(F.lit, PINBALL)), lambda v, p: F.greatest(p * (a - v), (p - 1.0) * (a - v))), F.lit(0.0), lambda s, v: s + v)
+    out = steps.groupBy(*keys).agg(
+        F.sqrt(F.avg(F.pow(a - m, 2))).alias("rmse"),
+        F.avg(200.0 * F.abs(a - m) / F.greatest(F.abs(a) + F.abs(m), F.lit(TINY))).alias("smape"),
+        F.avg(F.abs(a - m)).alias("mae"),
+        F.avg("crps").alias("crps"),
+        F.avg(loss / float(len(PINBALL))).alias("pinball"),
+        F.avg(a.between(lo, hi).cast("double")).alias("coverage"),
+        F.avg(hi - lo + miss * (2.0 / round(1.0 - level, 12))).alias("interval_score"),
+    )
+    out = out.join(naive_scale(train, keys), keys).select(*keys, "rmse", "smape", (F.col("mae") / F.col("scale")).alias("mase"), "crps", "pinball", "coverage", "interval_score")
     return out if by else out.drop("_all")
 
 

@@ -82,6 +82,11 @@ class SeriesModel:
             self._run = artifacts.load(df.sparkSession, path)
         return self
 
+    def release(self) -> None:
+        """Free what fit has kept in Spark's cache; the model's frames are then made anew when used."""
+        self.run.posterior.unpersist()
+        self.run.state.unpersist()
+
     def fit_single(self, df: DataFrame, unique_id: str = "unique_id", **more: object) -> SeriesModel:
         """As fit, but more than one series is an error."""
         return self.fit(sources.single(df, unique_id), unique_id=unique_id, **more)

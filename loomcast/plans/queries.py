@@ -15,6 +15,7 @@ from loomcast.config import CALENDAR_FIELDS, GenericConfig, MCMCConfig, ModelCon
 from loomcast.functions import bases
 from loomcast.operators import design as designs
 from loomcast.operators import diagnostics, fit, forecast, interpret, metrics
+from loomcast.plans import studies
 from loomcast.plans.model import SeriesModel
 from loomcast.sources import series as sources
 from loomcast.sources import synthetic
@@ -58,15 +59,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---- series ---------------------------------------------------------------------------------------------------------
-# Orders end within a month, which is left out as incomplete.
 
-LAST = "2001-08-01"
-MONTHLY = f"""m AS (SELECT 'orders' AS unique_id, date_trunc('month', o_orderdate) AS ds, sum(o_totalprice) AS y, count(*) AS n_orders
-  FROM orders WHERE o_orderdate < TIMESTAMP '{LAST}' GROUP BY ALL),
+MONTHLY = """m AS (SELECT 'orders' AS unique_id, date_trunc('month', o_orderdate) AS ds, sum(o_totalprice) AS y, count(*) AS n_orders
+  FROM orders GROUP BY ALL),
 s AS (SELECT unique_id, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS t, ds, y, n_orders::DOUBLE AS n_orders FROM m)"""
-PANEL = f"""m AS (SELECT n_name AS unique_id, date_trunc('month', o_orderdate) AS ds, sum(o_totalprice) AS y
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE o_orderdate < TIMESTAMP '{LAST}' GROUP BY ALL),
+PANEL = """m AS (SELECT n_name AS unique_id, date_trunc('month', o_orderdate) AS ds, sum(o_totalprice) AS y
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
 s AS (SELECT unique_id, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS t, ds, y FROM m)"""
 HOURLY = """m AS (SELECT 'events' AS unique_id, date_trunc('hour', ts) AS ds, avg(value) AS y FROM events GROUP BY ALL),
 s AS (SELECT unique_id, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS t, ds, y FROM m)"""
@@ -76,13 +74,13 @@ z AS (SELECT s.*, n, y_mean, y_std, t / greatest(n - 1, 1)::DOUBLE AS u, (y - y_
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _read(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(LAST).cast("timestamp"))
+    orders = _read(spark, sf_dir, "orders")
     sums = orders.groupBy(F.date_trunc("month", "o_orderdate").alias("ds")).agg(F.sum("o_totalprice").alias("y"), F.count("*").alias("n_orders"))
     return sources.series(sums.withColumn("unique_id", F.lit("orders")), exog=["n_orders"])
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _read(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(LAST).cast("timestamp")).select("o_custkey", "o_totalprice", "o_orderdate")
+    orders = _read(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
     customers = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nations = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     joined = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -124,21 +122,25 @@ def q_panel_nation_month(spark, sf_dir):
 
 
 _STEP = """p AS (SELECT unique_id, ds, lag(ds) OVER (PARTITION BY unique_id ORDER BY t) AS prev FROM s),
-d AS (SELECT unique_id, (year(ds) * 12 + month(ds)) - (year(prev) * 12 + month(prev)) AS months, epoch(ds) - epoch(prev) AS seconds,
-  day(ds) * 86400 + epoch(ds) % 86400 AS spot FROM p),
-e AS (SELECT unique_id, min(spot) = max(spot) AS even, min(months) AS least FROM d GROUP BY 1),
+d AS (SELECT unique_id, ds, (year(ds) * 12 + month(ds)) - (year(prev) * 12 + month(prev)) AS months, epoch(ds) - epoch(prev) AS seconds,
+  epoch(ds) % 86400 AS clock, day(ds) AS dom, ds::DATE = last_day(ds::DATE) AS last, isodow(ds) AS dow,
+  floor(date_diff('day', DATE '1970-01-05', ds::DATE) / 7) * 5 + least(isodow(ds) - 1, 4) AS work FROM p),
+w AS (SELECT *, work - lag(work) OVER (PARTITION BY unique_id ORDER BY ds) AS step FROM d),
+e AS (SELECT unique_id, min(clock) = max(clock) AND min(dom) = max(dom) AND min(months) > 0 AS even, min(clock) = max(clock) AND bool_and(last) AND min(months) > 0 AS ends,
+  min(clock) = max(clock) AND max(dow) < 6 AND min(step) = 1 AND max(step) = 1 AND max(seconds) > 86400 AS working FROM w GROUP BY 1),
 a AS (SELECT unique_id, arg_min(seconds, (-c, seconds)) AS seconds FROM (SELECT unique_id, seconds, count(*) AS c FROM d WHERE seconds IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
 b AS (SELECT unique_id, arg_min(months, (-c, months)) AS months FROM (SELECT unique_id, months, count(*) AS c FROM d WHERE seconds IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
-x AS (SELECT e.unique_id, CASE WHEN even AND least > 0 THEN months ELSE 0 END AS months, CASE WHEN even AND least > 0 THEN 0 ELSE seconds END AS seconds
-  FROM e JOIN a USING (unique_id) JOIN b USING (unique_id))"""
+u AS (SELECT unique_id, CASE WHEN ends THEN 'month_end' WHEN even THEN 'month' WHEN working THEN 'business_day' ELSE 'second' END AS unit FROM e),
+x AS (SELECT u.unique_id, unit, CASE WHEN unit IN ('month', 'month_end') THEN months ELSE 0 END AS months, CASE WHEN unit = 'second' THEN seconds ELSE 0 END AS seconds
+  FROM u JOIN a USING (unique_id) JOIN b USING (unique_id))"""
 
 
-@query(sql(f"{PANEL}, {_STEP}", "unique_id", "months seconds"))
+@query(sql(f"{PANEL}, {_STEP}", "unique_id unit", "months seconds"))
 def q_frequency_panel(spark, sf_dir):
     return tidy(sources.frequency(panel(spark, sf_dir)))
 
 
-@query(sql(f"{HOURLY}, {_STEP}", "unique_id", "months seconds"))
+@query(sql(f"{HOURLY}, {_STEP}", "unique_id unit", "months seconds"))
 def q_frequency_hourly(spark, sf_dir):
     return tidy(sources.frequency(hourly(spark, sf_dir)))
 
@@ -305,7 +307,15 @@ def q_design_full(spark, sf_dir):
     return tidy(d.select("unique_id", "t", "z", F.col("x_tr")[1].alias("u"), F.col("x_se")[0].alias("s1"), F.col("x_se")[1].alias("c1"), F.col("x_ge")[0].alias("y_lag1")), 4)
 
 
-@query()
+def listed(block: str, names: Sequence[str], penalised: str = "false") -> str:
+    """A SELECT of the features of a block by their position."""
+    values = ", ".join(f"'{n}'" for n in names)
+    return f"SELECT 'orders' AS unique_id, '{block}' AS block, pos, [{values}][pos + 1] AS name, {penalised} AS penalised FROM range({len(names)}) r(pos)"
+
+
+@query(sql(f"""{MONTHLY}, l AS (SELECT lev, row_number() OVER (ORDER BY lev) AS k, count(*) OVER () AS many FROM (SELECT DISTINCT quarter(ds) AS lev FROM s WHERE t >= 2)),
+x AS ({listed("trend", ["trend_1", "trend_t", *(f"trend_spl_{k}" for k in range(1, 12))], "pos >= 2")} UNION ALL {listed("seasonal", ["sin_p12_k1", "cos_p12_k1", "sin_p12_k2", "cos_p12_k2"])}
+UNION ALL SELECT 'orders', 'seasonal', 3 + k, 'quarter_' || lev, false FROM l WHERE k < many UNION ALL {listed("generic", ["y_lag1", "y_lag2", "x_n_orders"])})""", "unique_id block name penalised", "pos"))
 def q_feature_names(spark, sf_dir):
     cfg = config(TrendConfig("spline"), seasons((12, 2), calendar=["quarter"]), (1, 2), ("n_orders",))
     return tidy(designs.feature_names(designs.feature_state(monthly(spark, sf_dir), cfg), cfg))
@@ -519,6 +529,39 @@ def q_response_bands(spark, sf_dir):
     return tidy(interpret.bands(interpret.response(d, shocked), ("unique_id", "h")))
 
 
+# Forecasts of made-up draws without noise: a line, a stump on the last value and one on a covariate, which SQL can follow.
+_STEPS = f"""RECURSIVE {PANEL}, k AS (SELECT unique_id, count(*) AS n, avg(y) FILTER (t >= 1) AS m, coalesce(nullif(stddev_pop(y) FILTER (t >= 1), 0), 1) AS sd, arg_max(y, t) AS last FROM s GROUP BY 1),
+p AS (SELECT unique_id, d, c, n, m, sd, -1 AS h, last AS v, 0e0 AS trend, 0e0 AS generic FROM k, range(3) r(d), range(2) q(c)
+  UNION ALL SELECT unique_id, d, c, n, m, sd, h, m + sd * (line + g) AS v, m + sd * line AS trend, sd * g AS generic
+  FROM (SELECT * EXCLUDE (h), h + 1 AS h, 0.1 + 0.05 * d + 0.2 * (n + h + 1) / (n - 1)::DOUBLE AS line, CASE WHEN v <= m THEN -0.3 ELSE 0.4 END + 0.2 * c AS g FROM p WHERE h < {H - 1})),
+f AS (SELECT * FROM p WHERE h >= 0)"""
+
+
+def steps_ahead(spark: SparkSession, sf_dir: str, shock: float) -> DataFrame:
+    """The samples of simulate() for those draws, with the covariate at shock."""
+    cfg = config(lags=(1,), exog=("shock",))
+    rows = panel(spark, sf_dir).withColumn("x_shock", F.lit(0.0))
+    state = designs.feature_state(rows, cfg)
+    drawn = state.withColumn("draw", F.explode(F.array(*map(F.lit, range(3)))))
+    fixed = drawn.select(
+        "unique_id", F.lit(0).alias("chain"), "draw", F.array(0.1 + 0.05 * F.col("draw"), F.lit(0.2)).alias("beta"), F.lit(0.0).alias("sigma2"),
+        F.array(stump(0, F.col("y_mean"), -0.3, 0.4), stump(1, 0.5, 0.0, 0.2)).alias("generic_trees"), F.lit(None).cast("string").alias("error"),
+    )
+    future = designs.future_design(state, cfg, H)
+    return forecast.simulate(fixed, state, future, rows, cfg, H, future.select("unique_id", "h", F.lit(shock).alias("shock")))
+
+
+@query(sql(f"{_STEPS}, x AS (SELECT unique_id, d AS draw, h, n + h AS t, v AS sample, trend, generic FROM f WHERE c = 0)", "unique_id", "draw h t", "sample trend generic", digits=2))
+def q_forecast_recursion(spark, sf_dir):
+    return tidy(steps_ahead(spark, sf_dir, 0.0).drop("chain", "seasonal"), 2)
+
+
+@query(sql(f"{_STEPS}, d AS (SELECT a.unique_id, a.h, b.v - a.v AS value FROM f a JOIN f b USING (unique_id, d, h) WHERE a.c = 0 AND b.c = 1), x AS (SELECT unique_id, h, {band('value')} FROM d GROUP BY ALL)", "unique_id", "h", "mean lower upper", digits=2))
+def q_response_recursion(spark, sf_dir):
+    """The response to a shock whose noise cancels, along the whole recursion."""
+    return tidy(interpret.bands(interpret.response(steps_ahead(spark, sf_dir, 0.0), steps_ahead(spark, sf_dir, 1.0)), ("unique_id", "h")), 2)
+
+
 _SAMPLES = """a AS (SELECT hour(ts) AS h, avg(value) AS actual FROM events GROUP BY 1),
 s AS (SELECT event_type AS unique_id, hour(ts) AS h, actual, value AS sample FROM events JOIN a ON a.h = hour(ts)),
 p AS (SELECT unique_id, h, any_value(actual) AS actual, avg(sample) AS mean FROM s GROUP BY 1, 2),
@@ -634,43 +677,66 @@ def fit_trend_panel(spark, sf_dir):
     return p.groupBy("unique_id", "chain").agg(F.count("*").alias("draws"), F.avg("sigma2").alias("sigma2"), F.max("error").alias("error"))
 
 
-def small_model(**more: object) -> SeriesModel:
-    return SeriesModel(make_config(**{"trend": "linear", "periods": [(12, 2)], "lags": (1,), "num_gfr": 4, "num_burnin": 20, "num_mcmc": 30, **more}))
+def model(**more: object) -> SeriesModel:
+    """Three blocks, by the schedule of simulation studies: 460 sweeps."""
+    return SeriesModel(make_config(**{"trend": "linear", "periods": [(12, 2)], "lags": (1,), "num_gfr": 10, "num_burnin": 150, "num_mcmc": 300, **more}))
 
 
 @query()
 def fit_panel_full(spark, sf_dir):
     """The largest break of the residual identity and the mean noise of each nation's three-block fit."""
-    model = small_model().fit(panel(spark, sf_dir))
-    return model.run.posterior.groupBy("unique_id", "chain").agg(F.count("*").alias("draws"), F.max("gap").alias("gap"), F.avg("sigma2").alias("sigma2"), F.max("error").alias("error"))
+    fitted = model().fit(panel(spark, sf_dir))
+    return fitted.run.posterior.groupBy("unique_id", "chain").agg(F.count("*").alias("draws"), F.max("gap").alias("gap"), F.avg("sigma2").alias("sigma2"), F.max("error").alias("error"))
 
 
 @query()
 def forecast_panel_full(spark, sf_dir):
-    return small_model().fit(panel(spark, sf_dir)).forecast_wide(6)
+    return model().fit(panel(spark, sf_dir)).forecast_wide(6)
 
 
 @query()
 def decomposition_monthly(spark, sf_dir):
-    return small_model(errors="sv", trend="tvp").fit(monthly(spark, sf_dir)).decomposition()
+    return model(errors="sv", trend="tvp").fit(monthly(spark, sf_dir)).decomposition()
 
 
 @query()
 def girf_monthly(spark, sf_dir):
     rows = monthly(spark, sf_dir)
-    model = small_model(exog=("n_orders",)).fit(rows.withColumnRenamed("x_n_orders", "n_orders"))
+    fitted = model(exog=("n_orders",)).fit(rows.withColumnRenamed("x_n_orders", "n_orders"))
     calm = rows.groupBy("unique_id").agg(F.avg("x_n_orders").alias("n_orders")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    return model.girf(6, calm, calm.withColumn("n_orders", F.col("n_orders") * 1.5))
+    return fitted.girf(6, calm, calm.withColumn("n_orders", F.col("n_orders") * 1.5))
 
 
 @query()
 def importance_panel(spark, sf_dir):
-    return small_model(trend="tree").fit(panel(spark, sf_dir)).split_importance("seasonal")
+    return model(trend="tree").fit(panel(spark, sf_dir)).split_importance("seasonal")
+
+
+_PROCESSES = """g AS (SELECT kind, n, trial, t FROM (VALUES (1, 200), (2, 250), (3, 200), (4, 80), (5, 200), (6, 200)) v(kind, n), range(100) r(trial), range(250) s(t) WHERE t < n),
+x AS (SELECT 'dgp' || kind || '-' || trial AS unique_id, trial, t,
+  CASE kind WHEN 2 THEN 2 + 0.03 * t - 0.00015 * t * t + 0.5 * sin(2 * pi() * t / 80) WHEN 3 THEN CASE WHEN t < n // 2 THEN 1 ELSE 4 END WHEN 4 THEN 0.5 + 0.02 * t ELSE 1 + 0.03 * t END::DOUBLE AS trend,
+  CASE kind WHEN 2 THEN 1.2 * sin(2 * pi() * t / 12) + 0.8 * sin(2 * pi() * t / 7) WHEN 3 THEN 1.2 * sin(2 * pi() * t / 12) WHEN 4 THEN cos(2 * pi() * t / 4) ELSE 1.5 * sin(2 * pi() * t / 12) END AS seasonal,
+  0e0 AS rest FROM g)"""
+
+
+@query(sql(_PROCESSES, "unique_id", "trial t", "trend seasonal rest"))
+def q_synthetic_parts(spark, sf_dir):
+    """The parts of synthetic series that aren't random, and what is left of y without all parts."""
+    rows = synthetic.studies(spark, 100)
+    return tidy(rows.select("unique_id", "trial", "t", "trend", "seasonal", (F.col("y") - F.col("trend") - F.col("seasonal") - F.col("generic")).alias("rest")))
 
 
 @query()
 def synthetic_trials(spark, sf_dir):
-    return synthetic.trials(spark, 3, 4)
+    """A hundred series of each of the six processes."""
+    return synthetic.studies(spark, 100)
+
+
+@query()
+def recovery_study(spark, sf_dir):
+    """Scores and recovery of the components for each process, means over its trials (four here; their number is a
+    parameter)."""
+    return studies.recovery(spark, trials=4)
 
 
 def queries() -> dict[str, Query]:

@@ -61,3 +61,12 @@ def trials(spark: SparkSession, kind: int, count: int, first_seed: int = 0) -> D
                 yield one
 
     return spark.range(count, numPartitions=min(count, max(1, spark.sparkContext.defaultParallelism))).mapInPandas(make, SCHEMA)
+
+
+def studies(spark: SparkSession, count: int, first_seed: int = 0) -> DataFrame:
+    """count series of each process."""
+    out = None
+    for kind in LENGTHS:
+        one = trials(spark, kind, count, first_seed)
+        out = one if out is None else out.union(one)
+    return out

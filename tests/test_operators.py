@@ -2,14 +2,16 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomcast import GenericConfig, MCMCConfig, ModelConfig, SeasonalConfig, SeasonalPeriod, SeriesModel, TrendConfig, make_config
 from loomcast import config as settings
 from loomcast.functions import bases
 from loomcast.operators import design as designs
-from loomcast.operators import diagnostics, fit, gibbs, interpret, metrics
+from loomcast.operators import diagnostics, fit, gibbs, interpret, metrics, trees
 from loomcast.sources import series as sources
 from loomcast.sources import synthetic
 
@@ -97,6 +99,81 @@ def test_frequency_months_and_days(spark):
     assert got == {"m": (1, 0), "d": (0, 86400)}
 
 
+def test_frequency_and_next_times_of_month_ends_quarters_and_business_days(spark):
+    times = {
+        "month_end": pd.date_range("2020-01-31", periods=14, freq="ME"), "quarter": pd.date_range("2019-03-31", periods=6, freq="QE"), "first": pd.date_range("2020-01-15 06:00", periods=5, freq=pd.DateOffset(months=2)),
+        "business": pd.date_range("2024-02-26 09:30", periods=11, freq="B"), "daily": pd.date_range("2024-02-26", periods=5, freq="D"), "hourly": pd.date_range("2024-02-26", periods=30, freq="h"),
+    }
+    rows = pd.concat([pd.DataFrame({"unique_id": k, "ds": v, "y": np.arange(len(v)) + 0.5}) for k, v in times.items()])
+    s = sources.series(spark.createDataFrame(rows))
+    cfg = make_config(trend="linear", lags=())
+    got = {r.unique_id: (r.unit, r.months, r.seconds) for r in sources.frequency(s).collect()}
+    assert got == {"month_end": ("month_end", 1, 0), "quarter": ("month_end", 3, 0), "first": ("month", 2, 0), "business": ("business_day", 0, 0), "daily": ("second", 0, 86400), "hourly": ("second", 0, 3600)}
+    ahead = designs.future_times(designs.feature_state(s, cfg), 12, sources.frequency(s)).select("unique_id", "h", "ds").orderBy("unique_id", "h").toPandas()
+    step = {"month_end": "ME", "quarter": "QE", "first": pd.DateOffset(months=2), "business": "B", "daily": "D", "hourly": "h"}
+    for k, own in ahead.groupby("unique_id"):
+        assert own["ds"].tolist() == pd.date_range(times[k][-1], periods=13, freq=step[k])[1:].tolist(), k
+
+
+def test_forests_walk_as_expressions_do(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 2))
+    z = np.sin(2 * x[:, 0]) + x[:, 1]
+    draws = list(gibbs.run_chain(z, np.c_[np.ones(50), np.arange(50) / 49], np.empty((50, 0)), x, make_config(trend="linear", num_gfr=3, num_burnin=5, num_mcmc=3), rng))
+    column = fit._column([d["generic_trees"] for d in draws], to_arrow_schema(fit.posterior_schema()).field("generic_trees").type)
+    rows = spark.createDataFrame(pa.table({"draw": [d["draw"] for d in draws], "generic_trees": column}))
+    forests = trees.Forests.of(column)
+    want = np.array([d["generic"] for d in draws])
+    assert np.allclose([forests.values(np.tile(r, (3, 1))) for r in x], want.T)
+    assert np.allclose(forests.sums(x), want.sum(1))
+    one = rows.select("draw", bases.forest_value(F.col("generic_trees"), bases.doubles(*map(float, x[7]))).alias("v")).orderBy("draw").collect()
+    assert np.allclose([r.v for r in one], want[:, 7])
+
+
+def test_trend_prior_penalises_second_differences():
+    p = gibbs.trend_precision(np.array([False, False, True, True, True, True]), 10.0, 2.0)
+    d = np.array([[1, -2, 1, 0], [0, 1, -2, 1]])
+    want = np.eye(6) / 100
+    want[2:, 2:] += 2 * d.T @ d
+    assert np.allclose(p, want) and np.allclose(gibbs.trend_precision(np.array([False, True, True]), 10.0, 2.0), np.eye(3) / 100)
+
+
+def test_blocks_share_no_features():
+    with pytest.raises(AssertionError, match="share features"):
+        designs.check_disjoint(ModelConfig(generic=_Renamed((1,))))
+
+
+class _Renamed(GenericConfig):
+    def names(self):
+        return ["trend_t"]
+
+
+class Level:
+    """A block of one's own: a constant, drawn by its closed form."""
+
+    def __init__(self, n):
+        self.fit, self.beta = np.zeros(n), np.zeros(1)
+
+    def sweep(self, r, var, rng, warm):
+        r += self.fit
+        p = (1 / var).sum() + 1.0
+        self.beta = np.array([(r / var).sum() / p + rng.standard_normal() / np.sqrt(p)])
+        self.fit = np.full(len(r), self.beta[0])
+        r -= self.fit
+
+
+def with_level(cfg, x_tr, x_se, x_ge):
+    return gibbs.blocks_of(cfg, x_tr, x_se, x_ge) | {"trend": Level(len(x_tr))}
+
+
+def test_a_block_of_ones_own_and_long_chains_in_batches(spark):
+    cfg = make_config(trend="linear", lags=(), num_gfr=0, num_burnin=5, num_mcmc=150)
+    d, _ = designed(spark, sources.series(frame(spark, np.sin(np.arange(60.0)))), cfg)
+    p = fit.posterior(d, cfg, with_level).toPandas()
+    assert len(p) == 150 and sorted(p["draw"]) == list(range(150)) and p["gap"].max() < 1e-10
+    assert {len(b) for b in p["beta"]} == {1} and abs(p["trend"].map(lambda v: v[0]).mean()) < 0.1
+
+
 def test_tree_value_routes_left_on_equal(spark):
     nodes = "array(named_struct('feat', 0, 'thresh', 1.0D, 'left', 1, 'right', 2, 'value', 0.0D), named_struct('feat', -1, 'thresh', 0.0D, 'left', -1, 'right', -1, 'value', 5.0D), named_struct('feat', -1, 'thresh', 0.0D, 'left', -1, 'right', -1, 'value', 7.0D))"
     got = spark.sql(f"SELECT array(v) AS x, {nodes} AS n FROM VALUES (1.0D), (1.5D) AS t(v)").select(bases.tree_value(F.col("n"), F.col("x")).alias("v")).collect()

@@ -33,7 +33,7 @@ def test_against_sql(name, spark, sf, duck):
     assert rows(ours) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", ["fit_trend_panel", "forecast_panel_full", "girf_monthly", "importance_panel", "q_feature_names"])
+@pytest.mark.parametrize("name", ["fit_trend_panel", "forecast_panel_full", "girf_monthly", "importance_panel", "synthetic_trials"])
 def test_runs(name, spark, sf):
     assert registered.queries()[name](spark, sf).head(1)
 
