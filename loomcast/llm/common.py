@@ -142,8 +142,8 @@ def contracted(edges: DataFrame, tasks: int) -> DataFrame:
     return edges.coalesce(tasks).mapInPandas(contract, "hi long, lo long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges(src, dst), root being the smallest node reachable.
+def components(edges: DataFrame, rounds: int = 60, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """(node, root) for every node of edges(src, dst), root being the smallest node reachable; kept by `keep`.
 
     Edges are first contracted in blocks of about EDGES, one task for each.  If that takes several blocks, large-star and
     small-star passes over the edge list follow; both only group by node and take minima, which Spark combines before the
@@ -159,7 +159,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         one = contracted(e, blocks)
         if blocks == 1 or now == before:
             roots = (one if blocks == 1 else e.groupBy("hi").agg(F.min("lo").alias("lo"))).select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-            return stored(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
+            out = keep(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
+            forget(spark, path)
+            return out
         before = now
         one, first = written(one)
         both = one.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(one.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
@@ -225,3 +227,17 @@ BROADCAST_ROWS = 500_000
 def join_few(big: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """big joined with a stored frame of short rows: by broadcast up to BROADCAST_ROWS rows, else by a shuffle."""
     return big.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, key, how)
+
+
+def join_hot(big: DataFrame, few: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """big joined with few on keys, where few (a stored frame) has one row for each key and in `rows` how many of big have it.
+
+    Keys that hold more than a fourth of an average partition's rows go by broadcast: by that share, they are at most four
+    for each shuffle partition.  The others meet in a shuffle, in which no key is hot.  Null keys match nothing.
+    """
+    parts = 4 * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = few.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) > max(1000, total / parts)
+    frequent = F.broadcast(few.where(hot))
+    cold = big.join(F.broadcast(few.where(hot).select(*keys)), keys, "left_anti").join(few.where(~hot), keys)
+    return big.join(frequent, keys).unionByName(cold)

@@ -10,7 +10,7 @@ not all of them).  In a cluster the sorted shingle arrays are intersected, unles
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.common import Connected, components, forest, join_few, short_batches, slices, stored
+from loomcast.llm.common import Connected, components, forest, join_few, join_hot, scratch, short_batches, slices, stored, whole_key
 from loomcast.llm.words import shingles
 
 TILE = 4096  # classes in a tile, on average
@@ -87,7 +87,7 @@ def sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             n, f1, f2, bits = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bits, pa.binary())], names=["id", "n", "f1", "f2", "bits"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).where("id IS NOT NULL").mapInArrow(run, "id long, n long, f1 long, f2 long, bits binary")
+    return docs.select(whole_key(docs, key).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL").mapInArrow(run, "id long, n long, f1 long, f2 long, bits binary")
 
 
 def arrays(docs: DataFrame, size: int) -> DataFrame:
@@ -101,10 +101,10 @@ def arrays(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in docs.dtypes[1:]) + ", h binary")
 
 
-def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """src, dst that connect whatever the pairs of classes (id, n, bits) not ruled out connect."""
+def candidate_edges(classes: DataFrame, percent: int, put: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """src, dst that connect whatever the pairs of classes (id, n, bits) not ruled out connect.  put stores tables."""
     banded = classes.withColumn("band", band(F.col("n"), percent))
-    counts = stored(banded.groupBy("band").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).withColumn("parts", F.ceil(F.col("c") / TILE).cast("int")))
+    counts = put(banded.groupBy("band").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).withColumn("parts", F.ceil(F.col("c") / TILE).cast("int")))
     bands = counts.collect()  # a few for each doubling of the largest set
     parts = F.lit(1)
     for r in bands:
@@ -117,7 +117,7 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
         maps = np.concatenate([folded(np.frombuffer(b, np.uint8)[None], bits) for b in f["bits"]])
         return pd.DataFrame({"band": [tile[0]], "part": [tile[1]], "ids": [f["id"].to_numpy(np.int64).tobytes()], "n": [f["n"].to_numpy(np.int64).tobytes()], "bits": [maps.tobytes()]})
 
-    tiles = stored(tiled.groupBy("band", "part").applyInPandas(pack, "band int, part int, ids binary, n binary, bits binary"))
+    tiles = put(tiled.groupBy("band", "part").applyInPandas(pack, "band int, part int, ids binary, n binary, bits binary"))
     # The other band of a pair and its number of tiles: as many rows as bands times bands within reach.
     meets = [(a["band"], b["band"], a["parts"], b["parts"]) for a in bands for b in bands if a["band"] <= b["band"] and a["most"] * 100 >= b["least"] * percent]
     if not meets:
@@ -154,7 +154,7 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
                     dst.append(ib[q + j[new]])
         return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)}) if src else pd.DataFrame({"src": [], "dst": []}).astype(np.int64)
 
-    return stored(low.union(high).groupBy("ba", "pa", "bb", "pb").applyInPandas(compare, "src long, dst long"))
+    return put(low.union(high).groupBy("ba", "pa", "bb", "pb").applyInPandas(compare, "src long, dst long"))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -225,54 +225,62 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     sets are equal.  Rows with a null key are left out; an empty table gives an empty one.
     """
     whole = stored(sets(short_batches(docs), key, text, size))
-    some = whole.where("n > 0")
-    named = some.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    known = stored(some.join(named, ["f1", "f2"]).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bits")).alias("bits")))
-    classes = known.where("id = rep").select("id", "n", "bits")
-    clusters = components(candidate_edges(classes, percent)).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    spark = docs.sparkSession
+    with scratch(spark) as put:
+        named = put(whole.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("members")))
+        met = join_hot(whole.where("n > 0"), named, ["f1", "f2"], "members")
+        known = stored(met.select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bits")).alias("bits")))
+        classes = known.where("id = rep").select("id", "n", "bits")
+        roots = stored(class_roots(docs.select(whole_key(docs, key).alias("id"), F.col(text).alias("t")), classes, size, percent, put))
+    joined = known.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("component_id"))
+    return joined.union(whole.where("n = 0").select("id", "n", "id")).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def class_roots(docs: DataFrame, classes: DataFrame, size: int, percent: int, put: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node and root, the smallest class that links reach, of the classes (id, n, bits) that have links; docs (id, t) has
+    their texts.  put stores tables of the way."""
+    clusters = components(candidate_edges(classes, percent, put), keep=put).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     sized = clusters.join(classes.select("id", "n"), "id")
     totals = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
-    placed = stored(sized.join(totals, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select("id", "cluster", "chunks", "chunk", "n"))
+    placed = put(sized.join(totals, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select("id", "cluster", "chunks", "chunk", "n"))
     buckets = max(1, math.ceil((placed.agg(F.sum("n")).first()[0] or 0) / CHUNK))
     dealt = lambda df, *by: df.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
-    named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
 
     def with_arrays(rows: DataFrame) -> DataFrame:
-        return arrays(join_few(named, rows, "id").select("t", "id", "cluster", "chunks", "chunk"), size)
+        return arrays(join_few(docs, rows, "id").select("t", "id", "cluster", "chunks", "chunk"), size)
 
     members = with_arrays(placed)
-    links = stored(resolve(dealt(members.withColumn("label", F.col("id")), "cluster", "chunk"), percent, ["cluster", "chunk"]))
+    links = put(resolve(dealt(members.withColumn("label", F.col("id")), "cluster", "chunk"), percent, ["cluster", "chunk"]))
 
     # Clusters too large for one task: links between their chunks.  First one class for each connected part, which joins
     # groups of near copies at once; then every pair of chunks of the clusters that still have several parts.
-    roots = components(links)
+    roots = components(links, keep=put)
     many = placed.where("chunks > 1")
-    if many.head(1):
-        large = stored(with_arrays(many).select("id", "h"))
-
-        def unsettled() -> DataFrame:
-            """The classes, with their parts, of large clusters that have more than one part."""
-            labelled = many.join(roots.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-            parts = labelled.groupBy("cluster").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cluster")
-            return stored(labelled.join(parts, "cluster"))
-
+    if not many.head(1):
+        return roots
+    large = put(with_arrays(many).select("id", "h"))
+
+    def unsettled() -> DataFrame:
+        """The classes, with their parts, of large clusters that have more than one part."""
+        labelled = many.join(roots.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        parts = labelled.groupBy("cluster").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cluster")
+        return put(labelled.join(parts, "cluster"))
+
+    open_ = unsettled()
+    for attempt in range(3):
+        heads = open_.where("id = label")
+        count = heads.groupBy("cluster").agg(F.ceil(F.sum("n") / (8 * CHUNK)).cast("int").alias("groups"))
+        heads = put(heads.join(count, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(attempt)), F.col("groups")).cast("int")).drop("groups"))
+        more = put(resolve(dealt(join_few(large, heads, "id"), "cluster", "chunk"), percent, ["cluster", "chunk"]))
+        if not more.head(1):
+            break
+        links = links.union(more)
+        roots = components(links, keep=put)
         open_ = unsettled()
-        for attempt in range(3):
-            heads = open_.where("id = label")
-            count = heads.groupBy("cluster").agg(F.ceil(F.sum("n") / (8 * CHUNK)).cast("int").alias("groups"))
-            heads = stored(heads.join(count, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(attempt)), F.col("groups")).cast("int")).drop("groups"))
-            more = stored(resolve(dealt(join_few(large, heads, "id"), "cluster", "chunk"), percent, ["cluster", "chunk"]))
-            if not more.head(1):
-                break
-            links = links.union(more)
-            roots = components(links)
-            open_ = unsettled()
-        if open_.head(1):
-            crossed = join_few(large, open_, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk")
-            crossed = crossed.select("id", "label", "h", "cluster", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), F.col("chunk").alias("side"))
-            last = stored(resolve(dealt(crossed, "cluster", "lo", "hi"), percent, ["cluster", "lo", "hi"], sided=True))
-            if last.head(1):
-                roots = components(links.union(last))
-
-    joined = known.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("component_id"))
-    return joined.union(whole.where("n = 0").select("id", "n", "id")).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    if open_.head(1):
+        crossed = join_few(large, open_, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk")
+        crossed = crossed.select("id", "label", "h", "cluster", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), F.col("chunk").alias("side"))
+        last = put(resolve(dealt(crossed, "cluster", "lo", "hi"), percent, ["cluster", "lo", "hi"], sided=True))
+        if last.head(1):
+            roots = components(links.union(last), keep=put)
+    return roots

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomcast.llm.common import components, forest, scratch, stored, whole_key
+from loomcast.llm.common import components, forest, join_hot, scratch, stored, whole_key
 
 SUB = 1024
 TURNED = 512  # leading components that are turned to principal axes; bounds the moments that a task holds
@@ -177,8 +177,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         sums = stored(found.where("NOT edge").groupBy("id").agg(F.sum("links").alias("links")))
         # A class is named by its smallest id, so the smallest class of a component is its smallest row.
         roots = components(found.where("edge").select(F.col("id").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "id")
-    per_class = classes.join(sums, "id", "left").join(roots, "id", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("extra") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    linked_rows = rows.join(per_class, "v").select("id", "n_links", "component_id")
+    per_class = classes.join(sums, "id", "left").join(roots, "id", "left").select("v", F.col("extra").alias("members"), (F.coalesce("links", F.lit(0)) + F.col("extra") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    linked_rows = join_hot(rows, stored(per_class), ["v"], "members").select("id", "n_links", "component_id")
     alone = every.where(~some).select("id", F.lit(0).cast("long"), F.col("id"))
     return linked_rows.union(alone).select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
