@@ -357,6 +357,9 @@ def test_contract_queries_on_small_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
     three = queries.op3_toxicity(spark, sf).toPandas()
     assert len(three) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in three.itertuples())
+    four = queries.op4_language(spark, sf).toPandas().merge(docs[["doc_id", "lang"]], on="doc_id")
+    held = four[four["held_out"] & (four["lang_pred"] != "und")]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in four.itertuples()) and (held["lang"] == held["lang_pred"]).mean() > 0.95
     ten = queries.op10_bpe(spark, sf).toPandas().set_index("doc_id")
     from tokenizers import Tokenizer
 
@@ -418,6 +421,50 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[4] == kept[3] and corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    """Near copies by all pairs, then repeats among what is left, cut by word numbers."""
+    texts = shuffled_stock(11)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    link = [[bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for b in sets] for a in sets]
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min([root[i], *(root[j] for j in range(len(texts)) if link[i][j])]) for i in range(len(texts))]
+    kept = [k for k in range(len(texts)) if root[k] == k]
+    assert len(kept) < len(texts) - 3
+    docs = documents(spark, texts)
+    left = corpus_pipeline.near_copies_out(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == kept
+    cuts = {}
+    for k, start, stop, *_ in repeats_by_force([texts[k] for k in kept]):
+        cuts.setdefault(kept[k], set()).update(range(start, stop))
+    want = {}
+    for k in kept:
+        words = [w for n, w in enumerate((texts[k] or "").split()) if n not in cuts.get(k, ())]
+        if words or k not in cuts:
+            want[k] = words
+    got = {r.doc_id: r for r in corpus_pipeline.repeats_out(spark, left, "").collect()}
+    assert {k: (r.text or "").split() for k, r in got.items()} == want and len(cuts) > 20
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values())
+
+
+def test_pipeline_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    docs, labels = labelled(spark, 60)
+    names = ("_score", "_toxic", "_lang", "_rejected", "_again", "_number", "_named", "_cut_id", "_cut_spans", "_cut_text", "id", "t", "of", "key")
+    docs = docs.union(documents(spark, [prose(70, 60), prose(71, 60)]).withColumn("doc_id", F.lit(5).cast("long")))
+    docs = docs.select("*", *(F.lit(f"own {c}").alias(c) for c in names))
+    for rows, path in ((docs, tmp_path / "some"), (docs.limit(0), tmp_path / "none")):
+        rows.write.parquet(f"{path}/documents.parquet")
+        labels.where("doc_id IS NOT NULL" if rows is docs else "false").write.parquet(f"{path}/labels.parquet")
+        now = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            new = stage(spark, now, str(path))
+            assert new.columns == docs.columns
+            now = new
+        for r in now.collect():
+            assert all(r[c] == f"own {c}" for c in names)
+        assert (corpus_pipeline.run(spark, str(path)).count() > 0) == (rows is docs)
+
+
 def test_near_copies_of_repeated_rows_and_shared_ids(spark):
     a, b, c, d = (prose(seed, 80, 10**6) for seed in (61, 62, 63, 64))
     rows = [(1, a), (2, b), (2, b), (3, c), (3, a), (4, d), (4, c + " more"), (5, None), (None, a)]
