@@ -166,18 +166,40 @@ class Tree:
 
 
 class Forest:
-    """Sum of trees: each proposes to grow or prune, then draws its leaves, against the residual without it."""
+    """Sum of trees: each proposes to grow or prune, then draws its leaves, against the residual without it.
+
+    Features are held as the numbers of their sorted distinct values, so that a node's cuts are counted, not sorted.
+    """
 
     def __init__(self, x: np.ndarray, prior: TreePrior) -> None:
-        self.x, self.prior = x, prior
+        self.prior = prior
+        self.levels, self.codes = zip(*(np.unique(c, return_inverse=True) for c in x.T))
         self.trees = [Tree(len(x)) for _ in range(prior.num_trees)]
         self.scale = prior.leaf_sd() ** 2
         self.fit = np.zeros(len(x))
 
-    def _evidence(self, w: np.ndarray, wr: np.ndarray, rows: np.ndarray) -> float:
-        a, p, q = 1.0 / self.scale, w[rows].sum(), wr[rows].sum()
+    def _evidence(self, p: float, q: float) -> float:
+        """Of a leaf with these sums of weights and of weighted residuals."""
+        a = 1.0 / self.scale
         return 0.5 * math.log(a / (a + p)) + 0.5 * q * q / (a + p)
 
+    def _gain(self, w: np.ndarray, wr: np.ndarray, left: np.ndarray, right: np.ndarray) -> float:
+        """What the evidence gains by two leaves with these rows in place of one."""
+        pl, ql, pr, qr = w[left].sum(), wr[left].sum(), w[right].sum(), wr[right].sum()
+        return self._evidence(pl, ql) + self._evidence(pr, qr) - self._evidence(pl + pr, ql + qr)
+
+    def _cuts(self, rows: np.ndarray, feature: int) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of these rows, and those after which a cut leaves enough rows on both sides."""
+        own, least = self.codes[feature][rows], max(1, self.prior.min_samples_leaf)
+        if 4 * len(own) < len(self.levels[feature]):
+            found, counts = np.unique(own, return_counts=True)
+        else:
+            counts = np.bincount(own, minlength=len(self.levels[feature]))
+            found = np.flatnonzero(counts)
+            counts = counts[found]
+        below = np.cumsum(counts)
+        return own, found[(below >= least) & (len(own) - below >= least)]
+
     def _split_prob(self, depth: int) -> float:
         return self.prior.alpha * (1.0 + depth) ** -self.prior.beta
 
@@ -187,14 +209,11 @@ class Forest:
         return gain + math.log(here) + 2.0 * math.log1p(-below) - math.log1p(-here) + math.log(0.5 / (1.0 if from_root else 0.5)) + math.log(leaves) - math.log(twigs)
 
     def _grow(self, tree: Tree, w: np.ndarray, wr: np.ndarray, rng: np.random.Generator) -> None:
-        least, node = self.prior.min_samples_leaf, tree.leaves[rng.integers(len(tree.leaves))]
-        if 0 <= self.prior.max_depth < node.depth + 1 or len(node.rows) < 2 * least:
+        node = tree.leaves[rng.integers(len(tree.leaves))]
+        if 0 <= self.prior.max_depth < node.depth + 1 or len(node.rows) < 2 * self.prior.min_samples_leaf:
             return
-        for f in rng.permutation(self.x.shape[1]):
-            own = self.x[node.rows, f]
-            values, counts = np.unique(own, return_counts=True)
-            below = np.cumsum(counts)[:-1]
-            cuts = values[:-1][(below >= least) & (len(own) - below >= least)]
+        for f in rng.permutation(len(self.codes)):
+            own, cuts = self._cuts(node.rows, f)
             if len(cuts):
                 break
         else:
@@ -202,11 +221,11 @@ class Forest:
         cut = cuts[rng.integers(len(cuts))]
         goes = own <= cut
         left, right = node.rows[goes], node.rows[~goes]
-        gain = self._evidence(w, wr, left) + self._evidence(w, wr, right) - self._evidence(w, wr, node.rows)
+        gain = self._gain(w, wr, left, right)
         sibling = None if node.up is None else node.up.right if node.up.left is node else node.up.left
         twigs = len(tree.twigs()) + 1 - (sibling is not None and sibling.feature < 0)
         if math.log(rng.random()) < self._ratio(node, gain, len(tree.leaves) == 1, len(tree.leaves), twigs):
-            node.feature, node.cut = int(f), float(cut)
+            node.feature, node.cut = int(f), float(self.levels[f][cut])
             node.left, node.right = (Node(node.depth + 1, node, rows) for rows in (left, right))
             tree.leaves = [k for k in tree.leaves if k is not node] + [node.left, node.right]
 
@@ -215,7 +234,7 @@ class Forest:
         if not twigs:
             return
         node = twigs[rng.integers(len(twigs))]
-        gain = self._evidence(w, wr, node.left.rows) + self._evidence(w, wr, node.right.rows) - self._evidence(w, wr, node.rows)
+        gain = self._gain(w, wr, node.left.rows, node.right.rows)
         if math.log(rng.random()) < -self._ratio(node, gain, node is tree.root, len(tree.leaves) - 1, len(twigs)):
             gone = {id(node.left), id(node.right)}
             tree.leaves = [k for k in tree.leaves if id(k) not in gone] + [node]

@@ -11,12 +11,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.config import CALENDAR_FIELDS, GenericConfig, MCMCConfig, ModelConfig, SeasonalConfig, SeasonalPeriod, TreePrior, TrendConfig, make_config
+from loomcast.config import CALENDAR_FIELDS, ERROR_MODES, TREND_MODES, GenericConfig, MCMCConfig, ModelConfig, SeasonalConfig, SeasonalPeriod, TreePrior, TrendConfig, make_config
 from loomcast.functions import bases
 from loomcast.operators import design as designs
 from loomcast.operators import diagnostics, fit, forecast, interpret, metrics
 from loomcast.plans import studies
 from loomcast.plans.model import SeriesModel
+from loomcast.sources import artifacts
 from loomcast.sources import series as sources
 from loomcast.sources import synthetic
 
@@ -677,9 +678,53 @@ def fit_trend_panel(spark, sf_dir):
     return p.groupBy("unique_id", "chain").agg(F.count("*").alias("draws"), F.avg("sigma2").alias("sigma2"), F.max("error").alias("error"))
 
 
+#: The schedule of simulation studies, 460 sweeps.
+SCHEDULE = {"num_gfr": 10, "num_burnin": 150, "num_mcmc": 300}
+
+
 def model(**more: object) -> SeriesModel:
-    """Three blocks, by the schedule of simulation studies: 460 sweeps."""
-    return SeriesModel(make_config(**{"trend": "linear", "periods": [(12, 2)], "lags": (1,), "num_gfr": 10, "num_burnin": 150, "num_mcmc": 300, **more}))
+    """Three blocks: a line, a yearly season and the value before."""
+    return SeriesModel(make_config(**{"trend": "linear", "periods": [(12, 2)], "lags": (1,), **SCHEDULE, **more}))
+
+
+# What holds for every fit and forecast, whatever the draws.
+
+
+def sound(run: artifacts.Run) -> DataFrame:
+    """unique_id, chain; draws; whole: whether every draw has a value for each row in all parts; closed: whether target less
+    parts is the residual in every draw; failed: chains with an error."""
+    rows = run.state.select("unique_id", (F.col("n") - F.col("max_lag")).alias("n"))
+    sizes = [F.size(c) == F.col("n") for c in interpret.COMPONENTS]
+    return run.posterior.join(rows, "unique_id").groupBy("unique_id", "chain").agg(F.count("*").alias("draws"), F.bool_and(sizes[0] & sizes[1] & sizes[2]).alias("whole"), (F.max("gap") < 1e-7).alias("closed"), F.count("error").alias("failed"))
+
+
+@query(sql(f"{PANEL}, x AS (SELECT DISTINCT unique_id, 0 AS chain, {SCHEDULE['num_mcmc']} AS draws, true AS whole, true AS closed, 0 AS failed FROM s)", "unique_id whole closed", "chain draws failed"))
+def q_fit_invariants(spark, sf_dir):
+    return tidy(sound(model().fit(panel(spark, sf_dir)).run))
+
+
+_VARIANTS = "e AS (SELECT * FROM (VALUES ('tree'), ('linear'), ('spline'), ('tvp')) a(trend), (VALUES ('homo'), ('sv')) b(errors), range(2) c(chain))"
+
+
+@query(sql(f"{_VARIANTS}, x AS (SELECT trend, errors, 'orders' AS unique_id, chain, 30 AS draws, true AS whole, true AS closed, 0 AS failed FROM e)", "trend errors unique_id whole closed", "chain draws failed"))
+def q_variant_invariants(spark, sf_dir):
+    """Every trend with every kind of noise, two chains of 30 draws each."""
+    rows, out = monthly(spark, sf_dir).withColumnRenamed("x_n_orders", "n_orders"), None
+    for trend in TREND_MODES:
+        for errors in ERROR_MODES:
+            fitted = model(trend=trend, errors=errors, exog=("n_orders",), num_burnin=20, num_mcmc=30, chains=2).fit(rows)
+            one = sound(fitted.run).select(F.lit(trend).alias("trend"), F.lit(errors).alias("errors"), "*")
+            out = one if out is None else out.union(one)
+    return tidy(out)
+
+
+@query(sql(f"{PANEL}, k AS (SELECT unique_id, max(t) AS last, max(ds) AS ds FROM s GROUP BY 1), x AS (SELECT unique_id, h, last + 1 + h AS t, ds + to_months((h + 1)::INT) AS ds, true AS nested FROM k, range(6) r(h))", "unique_id nested", "h t", "", "ds"))
+def q_forecast_order(spark, sf_dir):
+    """The times of forecasts, and whether the narrower band lies within the wider one with the median between."""
+    made = model().fit(panel(spark, sf_dir)).forecast_wide(6, (0, 80, 90))
+    at = lambda name: F.col(f"`model-{name}`")
+    nested = (at("lo-90") <= at("lo-80")) & (at("lo-80") <= at("lo-0")) & (at("hi-0") <= at("hi-80")) & (at("hi-80") <= at("hi-90"))
+    return tidy(made.select("unique_id", "h", "t", "ds", nested.alias("nested")))
 
 
 @query()

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from loomcast.plans import queries as registered
+from loomcast.plans import studies
 
 SQL = registered.oracle_sql()
 
@@ -34,10 +35,17 @@ def test_against_sql(name, spark, sf, duck):
 
 
 @pytest.mark.parametrize("name", ["fit_trend_panel", "forecast_panel_full", "girf_monthly", "importance_panel", "synthetic_trials"])
-def test_runs(name, spark, sf):
+def test_runs(name, spark, sf, monkeypatch):
+    monkeypatch.setattr(registered, "SCHEDULE", {"num_gfr": 2, "num_burnin": 5, "num_mcmc": 10})  # the plans, in short
     assert registered.queries()[name](spark, sf).head(1)
 
 
+def test_recovery_study_has_all_scores(spark):
+    got = studies.recovery(spark, trials=1, schedule=(1, 2, 8)).toPandas()
+    assert sorted(zip(got["process"], got["component"])) == sorted((k, c) for k in range(1, 7) for c in ("forecast", "trend", "seasonal", "generic"))
+    assert got["rmse"].notna().all() and got.loc[got.component == "forecast", "crps"].between(0, 20).all()
+
+
 def test_entry(spark):
     import __spark_entry__
 
