@@ -718,7 +718,10 @@ def q_variant_invariants(spark, sf_dir):
     return tidy(out)
 
 
-@query(sql(f"{PANEL}, k AS (SELECT unique_id, max(t) AS last, max(ds) AS ds FROM s GROUP BY 1), x AS (SELECT unique_id, h, last + 1 + h AS t, ds + to_months((h + 1)::INT) AS ds, true AS nested FROM k, range(6) r(h))", "unique_id nested", "h t", "", "ds"))
+_NEXT = _STEP.replace("x AS (SELECT u.unique_id", "fq AS (SELECT u.unique_id")
+
+
+@query(sql(f"{PANEL}, {_NEXT}, k AS (SELECT unique_id, max(t) AS last, max(ds) AS ds FROM s GROUP BY 1), x AS (SELECT unique_id, h, last + 1 + h AS t, ds + to_months(((h + 1) * months)::INT) AS ds, true AS nested FROM k JOIN fq USING (unique_id), range(6) r(h))", "unique_id nested", "h t", "", "ds"))
 def q_forecast_order(spark, sf_dir):
     """The times of forecasts, and whether the narrower band lies within the wider one with the median between."""
     made = model().fit(panel(spark, sf_dir)).forecast_wide(6, (0, 80, 90))
