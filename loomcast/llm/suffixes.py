@@ -85,36 +85,49 @@ def stretches(doc: np.ndarray, other: np.ndarray, diag: np.ndarray, at: np.ndarr
     return doc[first], other[first], diag[first], at[first], upto[last]
 
 
-# Matches of a document (or of those that have it for a head): arrays by stretch.
-_FIELDS = [("ids", pa.list_(pa.int64())), ("diag", pa.list_(pa.int32())), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))]
-_MATCHES = "struct<ids: array<long>, diag: array<int>, first: array<int>, last: array<int>>"
+#: A stretch of a document: the id of the other, how many words before it has the passages, the words where they begin.
+STRETCH = np.dtype([("id", "<i8"), ("diag", "<i4"), ("first", "<i4"), ("last", "<i4")])
 
 
-def gathered(owner: np.ndarray, *fields: np.ndarray) -> tuple[np.ndarray, pa.StructArray]:
-    """The owners, ascending, and the stretches (ids, diag, first, last) of each as a struct of arrays."""
+def binary(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A binary column whose row k holds values[ends[k] : ends[k + 1]]."""
+    ends = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
+
+
+def unbinary(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many values of `size` bytes each row has, and the bytes of all; nulls have none."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] if ends else np.zeros(1, np.int32)
+    return np.diff(ends) // size, np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8)
+
+
+def gathered(owner: np.ndarray, *fields: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The owners, ascending, and the stretches (id, diag, first, last) of each as bytes."""
     order = np.argsort(owner, kind="stable")
     owners, counts = np.unique(owner, return_counts=True)
-    ends = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, pa.array(x[order], t.value_type)) for x, (_, t) in zip(fields, _FIELDS)]
-    return owners, pa.StructArray.from_arrays(lists, names=[n for n, _ in _FIELDS])
+    packed = np.empty(len(order), STRETCH)
+    for name, x in zip(STRETCH.names, fields):
+        packed[name] = x[order]
+    return owners, binary(np.r_[0, np.cumsum(counts)], packed)
 
 
-def spread(structs: pa.StructArray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The number of the struct that each stretch is from, and the fields of all stretches."""
-    lists = structs.flatten()
-    sizes = pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(structs)), sizes), [x.flatten().to_numpy() for x in lists]
+def spread(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row that each stretch is from, and the fields of all stretches."""
+    sizes, raw = unbinary(column, STRETCH.itemsize)
+    packed = raw.view(STRETCH)
+    return np.repeat(np.arange(len(column)), sizes), [packed[n].astype(np.int64) for n in STRETCH.names]
 
 
 def retained(docs: DataFrame, least: int, window: int, split_up: np.ndarray) -> DataFrame:
-    """The suffixes of docs (id long, t): key, grams (the passages that it anchors), of (its document), at (its word).  Passages
+    """The suffixes of docs (id long, t): key, data (the passages that it anchors), of (its document), at (its word).  Passages
     whose seed is in split_up are suffixes of their own, by the hash of all their words.
 
-    Rows without grams hold what a batch settles by itself: near has the stretches (document ids, from word first to last)
-    of which each passage has its first place within the batch in `of`, diag words before.
+    Rows with at = -1 hold what a batch settles by itself: data has the stretches of other documents whose passages have
+    their first place within the batch in `of`.
     """
     split_up = np.sort(split_up)
-    names = ["key", "grams", "of", "at", "near"]
+    names = ["key", "data", "of", "at"]
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
@@ -142,13 +155,12 @@ def retained(docs: DataFrame, least: int, window: int, split_up: np.ndarray) ->
                 key = np.where(apart, mixed(own), key)
             first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(doc)])
             code = ((own >> np.uint64(20)) << np.uint64(4)) | (anchor - at).astype(np.uint64)
-            raw = code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
-            ends = (np.r_[first, len(doc)] * _BYTES).astype(np.int32)
-            grams = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), grams, pa.array(doc[first]), pa.array(anchor[first], pa.int32()), pa.nulls(len(first), near.type)], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.nulls(len(of), pa.binary()), pa.array(of, pa.int64()), pa.nulls(len(of), pa.int32()), near], names=names)
+            grams = code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES]
+            data = binary(np.r_[first, len(doc)] * _BYTES, grams.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), data, pa.array(doc[first]), pa.array(anchor[first], pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), near, pa.array(of, pa.int64()), pa.array(np.full(len(of), -1), pa.int32())], names=names)
 
-    return docs.select("id", "t").mapInArrow(retain, f"key long, grams binary, of long, at int, near {_MATCHES}")
+    return docs.select("id", "t").mapInArrow(retain, "key long, data binary, of long, at int")
 
 
 SAMPLE = 32  # one in so many documents shows which seeds are frequent
@@ -162,7 +174,7 @@ def frequent_seeds(docs: DataFrame, least: int, window: int) -> np.ndarray:
     """
     most = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
-    counts = retained(some, least, window, np.empty(0, np.uint64)).where("grams IS NOT NULL").groupBy("key").count().where(F.col("count") >= FREQUENT)
+    counts = retained(some, least, window, np.empty(0, np.uint64)).where("at >= 0").groupBy("key").count().where(F.col("count") >= FREQUENT)
     return np.array([r["key"] for r in counts.orderBy(F.desc("count"), "key").limit(most).collect()], np.int64).view(np.uint64)
 
 
@@ -184,13 +196,10 @@ def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
             if len(kept[0]):
                 run |= key == kept[0][0]
             t = t.filter(pa.array(run)).combine_chunks()
-            grams = t.column("grams").combine_chunks()
-            grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
-            ends = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1]
-            raw = np.frombuffer(grams.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, _BYTES)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :_BYTES] = raw
-            code, n = wide.view("<u8").ravel(), np.diff(ends) // _BYTES
+            n, raw = unbinary(t.column("data").combine_chunks(), _BYTES)
+            wide = np.zeros((len(raw) // _BYTES, 8), np.uint8)
+            wide[:, :_BYTES] = raw.reshape(-1, _BYTES)
+            code = wide.view("<u8").ravel()
             new = [np.repeat(key[run], n), code, np.repeat(t.column("of").to_numpy(), n), np.repeat(t.column("at").to_numpy().astype(np.int64), n) - (code & np.uint64(15)).astype(np.int64)]
             old = len(kept[0])
             k, code, doc, at = (np.concatenate(x) for x in zip(kept, new))
@@ -203,10 +212,10 @@ def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
 
         parts, n = [], 0
         for batch in batches:
-            done = batch.column(1).is_null()
+            done = pc.less(batch.column("at"), 0)
             near = batch.filter(done)
-            yield pa.RecordBatch.from_arrays([near.column("of"), pa.array(np.ones(len(near), bool)), near.column("near")], names=["of", "near", "m"])
-            parts.append(batch.select(["key", "grams", "of", "at"]).filter(pc.invert(done)))
+            yield pa.RecordBatch.from_arrays([near.column("of"), pa.array(np.ones(len(near), bool)), near.column("data")], names=["of", "near", "m"])
+            parts.append(batch.filter(pc.invert(done)))
             n += parts[-1].num_rows
             if n >= max(_ROWS, len(kept[0]) // 8):
                 yield settle(parts)
@@ -215,7 +224,7 @@ def matches(docs: DataFrame, least: int, window: int) -> DataFrame:
             yield settle(parts)
 
     every = retained(docs, least, window, frequent_seeds(docs, least, window))
-    return every.repartition("key").sortWithinPartitions("key", "of", "at").mapInArrow(compare, f"of long, near boolean, m {_MATCHES}")
+    return every.repartition("key").sortWithinPartitions("key", "of", "at").mapInArrow(compare, "of long, near boolean, m binary")
 
 
 def laid(ids: np.ndarray, of: np.ndarray, doc: np.ndarray, diag: np.ndarray, first: np.ndarray, last: np.ndarray, known: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -276,12 +285,11 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     a key are one document here; rows with a null key have none; keys must be whole numbers; an empty table gives none.
     """
     named = short_batches(docs).select(whole_key(docs, key).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
-    kind = f"of long, m {_MATCHES}"
+    kind = "of long, m binary"
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packs = batch.column(1).flatten()
-            pack, fields = spread(packs)
+            pack, fields = spread(batch.column(1).flatten())
             row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy())[pack]
             owner, *joined = stretches(row, *fields)
             order = np.lexsort((joined[2], owner))  # by first word, as passages have one head each
