@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 FLAT = 1e-12
 
@@ -22,22 +26,52 @@ def autocorrelation(chains: DataFrame, lags: Sequence[int], by: Sequence[str] =
     return long.select(*by, "lag", rho.alias("rho"))
 
 
+def lagged_products(chains: DataFrame, most: int, by: Sequence[str]) -> DataFrame:
+    """by, lag, s, c: sums and numbers of the products of centred values that lie 1 to `most` draws apart.
+
+    Each chain is sorted by draw and read in batches, of which only the last `most` values are kept for the next.
+    """
+    mean = chains.groupBy(*by).agg(F.avg("value").alias("_m"))
+    rows = chains.join(mean, list(by)).select(*by, F.xxhash64(*by).alias("_g"), "draw", (F.col("value") - F.col("_m")).alias("_d"))
+    schema = T.StructType([*(chains.schema[c] for c in by), T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("c", T.ArrayType(T.LongType()))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, tail = None, np.empty(0)
+        for batch in batches:
+            g, d = batch.column("_g").to_numpy(), batch.column("_d").to_numpy()
+            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]][: len(g)])
+            sums, counts = [], []
+            for start, stop in zip(starts, np.r_[starts[1:], len(g)]):
+                tail = tail if g[start] == chain else tail[:0]
+                x, chain = np.r_[tail, d[start:stop]], g[start]
+                firsts = [max(len(tail), k) for k in range(1, most + 1)]
+                sums.append([float(x[f:] @ x[f - k : len(x) - k]) if f < len(x) else 0.0 for k, f in enumerate(firsts, 1)])
+                counts.append([max(0, len(x) - f) for f in firsts])
+                tail = x[-most:]
+            keys = [batch.column(c).take(pa.array(starts)) for c in by]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(sums, arrow.field("s").type), pa.array(counts, arrow.field("c").type)], schema=arrow)
+
+    parts = rows.repartition(*by).sortWithinPartitions(*by, "draw").mapInArrow(run, schema)
+    each = parts.select(*by, F.posexplode(F.arrays_zip("s", "c")).alias("k", "p"))
+    return each.groupBy(*by, (F.col("k") + 1).alias("lag")).agg(F.sum("p.s").alias("s"), F.sum("p.c").alias("c"))
+
+
 def effective_size(chains: DataFrame, by: Sequence[str] = ("chain",), most: int = 100) -> DataFrame:
     """by, ess: n / (1 + 2 sum of rho), rho taken in pairs up to the first pair with a negative sum, between 1 and n.
 
-    Lags run to min(n - 1, most) - 1.  A window over a chain's draws makes the products of all lags in one pass; no chain
-    gathers in an array.
+    Lags run to min(n - 1, most) - 1.  A chain of any length is read once, in order; no chain gathers in an array.
     """
-    lags = range(1, most)
-    n = chains.groupBy(*by).agg(F.count("*").alias("n"))
+    n = chains.groupBy(*by).agg(F.count("*").alias("n"), F.var_pop("value").alias("v"))
     top = F.least(F.col("n") - 1, F.lit(most)) - 1
-    pairs = autocorrelation(chains, lags, by).groupBy(*by, F.floor((F.col("lag") - 1) / 2).alias("j")).agg(F.sum("rho").alias("p"), F.max("lag").alias("k"))
-    pairs = n.join(pairs.where(F.col("k") == 2 * F.col("j") + 2), list(by), "left").withColumn("p", F.when(F.col("k") <= top, F.col("p")))
+    rho = F.when(F.col("v") < FLAT, 0.0).otherwise(F.col("s") / F.col("c") / F.col("v"))
+    lags = lagged_products(chains, most - 1, by).join(n, list(by)).where(F.col("lag") <= top).select(*by, "lag", rho.alias("rho"))
+    pairs = lags.groupBy(*by, F.floor((F.col("lag") - 1) / 2).alias("j")).agg(F.sum("rho").alias("p"), F.count("*").alias("k")).where("k = 2")
     ordered = Window.partitionBy(*by).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = pairs.withColumn("gone", F.max(F.coalesce(F.col("p") < 0, F.lit(True)).cast("int")).over(ordered))
-    size, total = F.col("n").cast("double"), F.col("total")
-    sums = pairs.groupBy(*by).agg(F.first("n").alias("n"), F.coalesce(F.sum(F.when(F.col("gone") == 0, F.col("p"))), F.lit(0.0)).alias("total"))
-    ess = F.when(F.col("n") <= 2, size).otherwise(F.greatest(F.lit(1.0), F.least(size, size / (1.0 + 2.0 * total))))
+    pairs = pairs.withColumn("gone", F.max((F.col("p") < 0).cast("int")).over(ordered))
+    sums = n.join(pairs.groupBy(*by).agg(F.sum(F.when(F.col("gone") == 0, F.col("p"))).alias("total")), list(by), "left")
+    size = F.col("n").cast("double")
+    ess = F.when(F.col("n") <= 2, size).otherwise(F.greatest(F.lit(1.0), F.least(size, size / (1.0 + 2.0 * F.coalesce("total", F.lit(0.0))))))
     return sums.select(*by, ess.alias("ess"))
 
 

@@ -224,6 +224,11 @@ def test_diagnostics_against_numpy(spark):
                 break
             total += pair
         assert abs(r.ess - min(60, max(1, 60 / (1 + 2 * total)))) < 1e-8
+    sizes = {r.chain: r.ess for r in diagnostics.effective_size(c).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # chains go on over many batches
+    assert {r.chain: r.ess for r in diagnostics.effective_size(c).collect()} == pytest.approx(sizes)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     w, b = x.var(1, ddof=1).mean(), 60 * x.mean(1).var(ddof=1)
     assert abs(diagnostics.rhat(c).first().rhat - np.sqrt((59 / 60 * w + b / 60) / w)) < 1e-10
     with pytest.raises(Exception, match="two chains"):
