@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator to its whole table."""
+"""The queries op1 to op13: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, jaccard, langid, packing, pages, suffixes, toxicity, urls, vectors
+from loomcast.llm import bpe, gracehash, jaccard, langid, packing, pages, suffixes, toxicity, urls, vectors
 from loomcast.llm.common import table
 
 
@@ -91,13 +91,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gracehash.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("keep").alias("keep_id"), "group_size", "kept", F.col("sha256").alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_dedup, op2_near_vectors, op3_toxicity, op4_language, op5_top_k, op6_html_text, op7_url_filters,
-        op8_packing, op9_jaccard_join, op10_bpe,
+        op8_packing, op9_jaccard_join, op10_bpe, op11_exact_dedup,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": urls.ORACLE}
+    return {"op7_url_filters": urls.ORACLE, "op11_exact_dedup": gracehash.ORACLE}
