@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, gracehash, jaccard, langid, negatives, packing, pages, suffixes, toxicity, urls, vectors
+from loomcast.llm import bpe, gracehash, jaccard, langid, negatives, packing, pages, suffixes, toxicity, trie, urls, vectors
 from loomcast.llm.common import table
 
 
@@ -96,6 +96,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("keep").alias("keep_id"), "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -106,10 +110,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_dedup, op2_near_vectors, op3_toxicity, op4_language, op5_top_k, op6_html_text, op7_url_filters,
         op8_packing, op9_jaccard_join, op10_bpe, op11_exact_dedup,
-        op13_hard_negatives,
+        op12_prefix_trie, op13_hard_negatives,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": urls.ORACLE, "op11_exact_dedup": gracehash.ORACLE, "op13_hard_negatives": negatives.ORACLE}
+    return {
+        "op7_url_filters": urls.ORACLE,
+        "op11_exact_dedup": gracehash.ORACLE,
+        "op12_prefix_trie": trie.ORACLE,
+        "op13_hard_negatives": negatives.ORACLE,
+    }
