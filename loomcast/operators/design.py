@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomcast.config import ModelConfig
 from loomcast.functions import bases
+from loomcast.operators.ranges import Ranges
 from loomcast.sources.series import moved
 
 
@@ -82,11 +83,17 @@ def _seasonal(config: ModelConfig) -> Column:
     return bases.centred(raw, F.col("seasonal_means")) if config.has_seasonal and config.seasonal.sum_to_zero else raw
 
 
-def design(series: DataFrame, state: DataFrame, config: ModelConfig) -> DataFrame:
-    """unique_id, t, ds, y, z, x_tr, x_se, x_ge of the training rows after the first max_lag; z is y standardised."""
+def design(series: DataFrame, state: DataFrame, config: ModelConfig, spread: bool = False) -> DataFrame:
+    """unique_id, t, ds, y, z, x_tr, x_se, x_ge of the training rows after the first max_lag; z is y standardised.
+
+    spread takes lags from range partitions with a halo of max_lag rows, so that a series may be of any length.
+    """
     check_disjoint(config)
     w = Window.partitionBy("unique_id").orderBy("t")
-    lags = [F.lag("y", k).over(w) if k > 0 else F.col("y") for k in config.generic.lags]
+    back = sorted({k for k in config.generic.lags if k > 0})
+    if spread and back:
+        series = Ranges(series, ["unique_id"], ["t"]).ranked("_t", {f"_lag{k}": ("y", k) for k in back})
+    lags = [(F.col(f"_lag{k}") if spread else F.lag("y", k).over(w)) if k > 0 else F.col("y") for k in config.generic.lags]
     generic = bases.doubles(*lags, *(F.col(f"x_{c}") for c in config.generic.covariates)) if config.has_generic else F.array().cast("array<double>")
     rows = series.withColumn("x_ge", generic).where(F.col("t") >= config.generic.max_lag)
     joined = rows.join(state, "unique_id")

@@ -11,16 +11,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from loomcast.operators.order_stats import with_facts
+from loomcast.operators.ranges import Ranges
+
 FLAT = 1e-12
 
 
-def autocorrelation(chains: DataFrame, lags: Sequence[int], by: Sequence[str] = ("chain",)) -> DataFrame:
-    """by, lag, rho: mean of products at that distance (over n - lag pairs) by the variance; 0 for short or flat chains."""
+def autocorrelation(chains: DataFrame, lags: Sequence[int], by: Sequence[str] = ("chain",), spread: bool = False) -> DataFrame:
+    """by, lag, rho: mean of products at that distance (over n - lag pairs) by the variance; 0 for short or flat chains.
+
+    Spread, a chain may be of any length: moments come from one aggregation, lags from range partitions with a halo.
+    """
+    if spread:
+        facts = chains.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("_m"), F.var_pop("value").alias("v"))
+        rows = Ranges(chains.select(*by, "draw", "value"), by, ["draw"]).ranked("_t", {f"l{k}": ("value", k) for k in lags})
+        rows = with_facts(rows, facts, by).withColumn("_d", F.col("value") - F.col("_m"))
+        wide = rows.groupBy(*by).agg(F.first("n").alias("n"), F.first("v").alias("v"), *(F.avg(F.col("_d") * (F.col(f"l{k}") - F.col("_m"))).alias(f"m{k}") for k in lags))
+        return _rho(wide, lags, by)
     w = Window.partitionBy(*by)
     ordered = w.orderBy("draw")
     rows = chains.select(*by, "draw", (F.col("value") - F.avg("value").over(w)).alias("d"), F.var_pop("value").over(w).alias("v"))
     aggs = [F.avg(F.col("d") * F.col(f"l{k}")).alias(f"m{k}") for k in lags]
     wide = rows.select("*", *(F.lead("d", k).over(ordered).alias(f"l{k}") for k in lags)).groupBy(*by).agg(F.count("*").alias("n"), F.first("v").alias("v"), *aggs)
+    return _rho(wide, lags, by)
+
+
+def _rho(wide: DataFrame, lags: Sequence[int], by: Sequence[str]) -> DataFrame:
+    """by, lag, rho of rows with n, v and m<lag>, the mean product at that lag."""
     long = wide.select(*by, "n", "v", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"m{k}").alias("m")) for k in lags))).alias("e")).select(*by, "n", "v", "e.*")
     rho = F.when((F.col("n") <= F.col("lag")) | (F.col("v") < FLAT), 0.0).otherwise(F.col("m") / F.col("v"))
     return long.select(*by, "lag", rho.alias("rho"))

@@ -146,8 +146,8 @@ def quantile(samples: DataFrame, prob: float, value: str = "sample") -> DataFram
     return samples.groupBy("unique_id", "h", "t").agg(quantiles(value, [prob])[0].alias("quantile"))
 
 
-def interval(samples: DataFrame, level: float = 0.9, value: str = "sample") -> DataFrame:
-    return bands(samples, ("unique_id", "h", "t"), value, level).drop("mean")
+def interval(samples: DataFrame, level: float = 0.9, value: str = "sample", spread: bool = False) -> DataFrame:
+    return bands(samples, ("unique_id", "h", "t"), value, level, spread).drop("mean")
 
 
 def component_bands(samples: DataFrame, level: float = 0.9) -> DataFrame:

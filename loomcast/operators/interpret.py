@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomcast.functions import bases
+from loomcast.operators import order_stats
 from loomcast.operators.metrics import quantiles, tails
 from loomcast.operators.trees import Forests
 
@@ -19,8 +20,11 @@ DRAW = ("unique_id", "chain", "draw")
 COMPONENTS = ("trend", "seasonal", "generic")
 
 
-def bands(draws: DataFrame, by: Sequence[str], value: str = "value", level: float = 0.9) -> DataFrame:
-    """by, mean, lower and upper over the draws."""
+def bands(draws: DataFrame, by: Sequence[str], value: str = "value", level: float = 0.9, spread: bool = False) -> DataFrame:
+    """by, mean, lower and upper over the draws; spread, groups may be of any size (order_stats)."""
+    if spread:
+        each = order_stats.summary(draws, list(by), value, tails(level), {"mean": F.avg(value)})
+        return each.select(*by, "mean", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
     each = draws.groupBy(*by).agg(F.avg(value).alias("mean"), quantiles(value, tails(level)).alias("q"))
     return each.select(*by, "mean", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 

@@ -1,7 +1,8 @@
 """Forecast scores over long frames, one aggregation each.
 
 `samples` has the group columns, h, actual and sample; all scores are by group.  Means run over h, so that each step
-counts the same.
+counts the same.  With spread=True groups and series may be of any size: ranks and lags come from range partitions in place
+of a buffer or a window for each group.  The scores are the same.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomcast.operators import order_stats
+from loomcast.operators.ranges import Ranges
+
 TINY = 1e-8
 PINBALL = tuple(round(0.05 * k, 2) for k in range(1, 20))
 
@@ -40,11 +44,15 @@ def smape(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return points.groupBy(*by).agg(F.avg(200.0 * F.abs(a - p) / F.greatest(F.abs(a) + F.abs(p), F.lit(TINY))).alias("smape"))
 
 
-def naive_scale(train: DataFrame, by: Sequence[str] = (), order: str = "t") -> DataFrame:
+def naive_scale(train: DataFrame, by: Sequence[str] = (), order: str = "t", spread: bool = False) -> DataFrame:
     """The mean absolute change from row to row of the training series.  Without groups train is one series, which one task
-    puts in order; give by for more."""
+    puts in order; give by for more, or spread it."""
+    scale = F.greatest(F.coalesce(F.avg("_d"), F.lit(0.0)), F.lit(TINY)).alias("scale")
+    if spread:
+        rows = Ranges(train.select(*by, order, "y"), by, [order]).ranked("_t", {"_before": ("y", 1)})
+        return rows.withColumn("_d", F.abs(F.col("y") - F.col("_before"))).groupBy(*by).agg(scale)
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)
-    return train.withColumn("_d", F.abs(F.col("y") - F.lag("y").over(w))).groupBy(*by).agg(F.greatest(F.coalesce(F.avg("_d"), F.lit(0.0)), F.lit(TINY)).alias("scale"))
+    return train.withColumn("_d", F.abs(F.col("y") - F.lag("y").over(w))).groupBy(*by).agg(scale)
 
 
 def mase(points: DataFrame, train: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -54,8 +62,11 @@ def mase(points: DataFrame, train: DataFrame, by: Sequence[str] = ()) -> DataFra
     return joined.select(*by, (F.col("mae") / F.col("scale")).alias("mase"))
 
 
-def crps(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def crps(samples: DataFrame, by: Sequence[str] = (), spread: bool = False) -> DataFrame:
     """Mean over h of mean |x - a| minus half the mean difference between samples, by their order."""
+    if spread:
+        error = F.avg(F.abs(F.col("sample") - F.col("actual"))) - order_stats.apart()
+        return order_stats.summary(samples, [*by, "h"], "sample", more={"c": error}).groupBy(*by).agg(F.avg("c").alias("crps"))
     w = Window.partitionBy(*by, "h")
     ranked = samples.withColumn("_i", F.row_number().over(w.orderBy("sample"))).withColumn("_s", F.count("*").over(w))
     spread = (2.0 * F.col("_i") - F.col("_s") - 1.0) * F.col("sample")
@@ -63,15 +74,22 @@ def crps(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return each.groupBy(*by).agg(F.avg("c").alias("crps"))
 
 
-def pinball(samples: DataFrame, by: Sequence[str] = (), probs: Sequence[float] = PINBALL) -> DataFrame:
-    each = samples.groupBy(*by, "h").agg(F.first("actual").alias("a"), quantiles("sample", probs).alias("q"))
+def stepwise(samples: DataFrame, by: Sequence[str], probs: Sequence[float], spread: bool = False) -> DataFrame:
+    """by, h, actual and q, the quantiles of the samples."""
+    if spread:
+        return order_stats.summary(samples, [*by, "h"], "sample", probs, {"actual": F.max("actual")})
+    return samples.groupBy(*by, "h").agg(F.first("actual").alias("actual"), quantiles("sample", probs).alias("q"))
+
+
+def pinball(samples: DataFrame, by: Sequence[str] = (), probs: Sequence[float] = PINBALL, spread: bool = False) -> DataFrame:
+    each = stepwise(samples, by, probs, spread).withColumnRenamed("actual", "a")
     loss = F.zip_with(F.col("q"), F.array(*map(F.lit, probs)), lambda q, p: F.greatest(p * (F.col("a") - q), (p - 1.0) * (F.col("a") - q)))
     return each.withColumn("l", loss).select(*by, F.explode("l").alias("l")).groupBy(*by).agg(F.avg("l").alias("pinball"))
 
 
-def intervals(samples: DataFrame, by: Sequence[str] = (), level: float = 0.9) -> DataFrame:
+def intervals(samples: DataFrame, by: Sequence[str] = (), level: float = 0.9, spread: bool = False) -> DataFrame:
     """by, h, actual, lower and upper of the central interval."""
-    each = samples.groupBy(*by, "h").agg(F.first("actual").alias("actual"), quantiles("sample", tails(level)).alias("q"))
+    each = stepwise(samples, by, tails(level), spread)
     return each.select(*by, "h", "actual", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 
 
@@ -85,19 +103,25 @@ def interval_score(bounds: DataFrame, by: Sequence[str] = (), level: float = 0.9
     return bounds.groupBy(*by).agg(F.avg(hi - lo + miss * (2.0 / round(1.0 - level, 12))).alias("interval_score"))
 
 
-def evaluate(samples: DataFrame, train: DataFrame, by: Sequence[str] = (), level: float = 0.9) -> DataFrame:
+def evaluate(samples: DataFrame, train: DataFrame, by: Sequence[str] = (), level: float = 0.9, spread: bool = False) -> DataFrame:
     """All scores of each group in one row.  Without groups everything is one.
 
     The samples are shuffled once, by group and step; one aggregation makes a row for each step, a second the scores.
+    Spread, they are sorted over range partitions once, and one aggregation of ranked rows makes the row for each step.
     """
     keys = list(by) or ["_all"]
     if not by:
         samples, train = samples.withColumn("_all", F.lit(0)), train.withColumn("_all", F.lit(0))
-    w = Window.partitionBy(*keys, "h")
-    ranked = samples.withColumn("_i", F.row_number().over(w.orderBy("sample"))).withColumn("_s", F.count("*").over(w))
-    apart = F.avg(F.abs(F.col("sample") - F.col("actual"))) - F.sum((2.0 * F.col("_i") - F.col("_s") - 1.0) * F.col("sample")) / F.pow(F.count("*").cast("double"), F.lit(2.0))
     a, m, q = F.col("actual"), F.col("mean"), F.col("q")
-    steps = ranked.groupBy(*keys, "h").agg(F.first("actual").alias("actual"), F.avg("sample").alias("mean"), apart.alias("crps"), quantiles("sample", [*PINBALL, *tails(level)]).alias("q"))
+    probs, mean = [*PINBALL, *tails(level)], F.avg("sample")
+    away = F.avg(F.abs(F.col("sample") - F.col("actual")))
+    if spread:
+        steps = order_stats.summary(samples, [*keys, "h"], "sample", probs, {"actual": F.max("actual"), "mean": mean, "crps": away - order_stats.apart()})
+    else:
+        w = Window.partitionBy(*keys, "h")
+        ranked = samples.withColumn("_i", F.row_number().over(w.orderBy("sample"))).withColumn("_s", F.count("*").over(w))
+        apart = away - F.sum((2.0 * F.col("_i") - F.col("_s") - 1.0) * F.col("sample")) / F.pow(F.count("*").cast("double"), F.lit(2.0))
+        steps = ranked.groupBy(*keys, "h").agg(F.first("actual").alias("actual"), mean.alias("mean"), apart.alias("crps"), quantiles("sample", probs).alias("q"))
     lo, hi = q[len(PINBALL)], q[len(PINBALL) + 1]
     miss = F.when(a < lo, lo - a).when(a > hi, a - hi).otherwise(0.0)
     loss = F.aggregate(F.zip_with(F.slice(q, 1, len(PINBALL)), F.array(*map(F.lit, PINBALL)), lambda v, p: F.greatest(p * (a - v), (p - 1.0) * (a - v))), F.lit(0.0), lambda s, v: s + v)
@@ -110,7 +134,7 @@ def evaluate(samples: DataFrame, train: DataFrame, by: Sequence[str] = (), level
         F.avg(a.between(lo, hi).cast("double")).alias("coverage"),
         F.avg(hi - lo + miss * (2.0 / round(1.0 - level, 12))).alias("interval_score"),
     )
-    out = out.join(naive_scale(train, keys), keys).select(*keys, "rmse", "smape", (F.col("mae") / F.col("scale")).alias("mase"), "crps", "pinball", "coverage", "interval_score")
+    out = out.join(naive_scale(train, keys, spread=spread), keys).select(*keys, "rmse", "smape", (F.col("mae") / F.col("scale")).alias("mase"), "crps", "pinball", "coverage", "interval_score")
     return out if by else out.drop("_all")
 
 

@@ -1,8 +1,4 @@
-"""The registered queries over the TPC-H-like tables, each over its whole tables, with DuckDB SQL where SQL can say it.
-
-Doubles are rounded on both sides, after aggregation; counts are long; times are text.  A mean of short decimals may lie
-half-way between two rounded values, where the order of a sum decides, so both sides first move it up by NUDGE.
-"""
+"""The registered queries over the TPC-H-like tables, each over its whole tables, with DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -17,48 +13,12 @@ from loomcast.operators import design as designs
 from loomcast.operators import diagnostics, fit, forecast, interpret, metrics
 from loomcast.plans import studies
 from loomcast.plans.model import SeriesModel
+from loomcast.plans.registry import query, sql, tidy
+from loomcast.plans.registry import read as _read
 from loomcast.sources import artifacts
 from loomcast.sources import series as sources
 from loomcast.sources import synthetic
 
-Query = Callable[[SparkSession, str], DataFrame]
-NUDGE = 1e-9
-FOUND: dict[str, tuple[Query, str | None]] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        FOUND[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
-def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, whole numbers long, times as text."""
-
-    def one(name: str, kind: str) -> Column:
-        c = F.col(f"`{name}`")
-        if kind == "double":
-            return (F.round(c + F.lit(NUDGE), digits) + F.lit(0.0)).alias(name)
-        if kind in ("int", "bigint", "smallint", "tinyint"):
-            return c.cast("long").alias(name)
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(name) if kind.startswith("timestamp") else c
-
-    return df.select(*(one(n, k) for n, k in df.dtypes))
-
-
-def sql(inner: str, text: str = "", whole: str = "", real: str = "", time: str = "", digits: int = 6) -> str:
-    """A statement whose last SELECT is `FROM x`: its columns by kind, tidied as in tidy()."""
-    columns = [*text.split(), *(f"CAST({c} AS BIGINT) AS {c}" for c in whole.split()), *(f"round({c} + {NUDGE!r}, {digits}) + 0e0 AS {c}" for c in real.split())]
-    columns += [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in time.split()]
-    return f"WITH {inner} SELECT {', '.join(columns)} FROM x"
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---- series ---------------------------------------------------------------------------------------------------------
 
 MONTHLY = """m AS (SELECT 'orders' AS unique_id, date_trunc('month', o_orderdate) AS ds, sum(o_totalprice) AS y, count(*) AS n_orders
@@ -98,9 +58,9 @@ def config(trend: TrendConfig | None = None, seasonal: SeasonalConfig | None = N
     return ModelConfig(trend or TrendConfig("linear"), seasonal or SeasonalConfig(), GenericConfig(tuple(lags), tuple(exog)))
 
 
-def designed(rows: DataFrame, cfg: ModelConfig) -> tuple[DataFrame, DataFrame]:
+def designed(rows: DataFrame, cfg: ModelConfig, spread: bool = False) -> tuple[DataFrame, DataFrame]:
     state = designs.feature_state(rows, cfg)
-    return designs.design(rows, state, cfg), state
+    return designs.design(rows, state, cfg, spread), state
 
 
 def long(df: DataFrame, column: str, *by: str) -> DataFrame:
@@ -785,11 +745,3 @@ def recovery_study(spark, sf_dir):
     """Scores and recovery of the components for each process, means over its trials (four here; their number is a
     parameter)."""
     return studies.recovery(spark, trials=4)
-
-
-def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in FOUND.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in FOUND.items() if text}

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomcast.operators.ranges import Ranges
+
 
 def _whole(c: Column, what: str, who: Column) -> Column:
     """c as a double; a null or NaN stops the query with the name of its series."""
@@ -22,11 +24,13 @@ def series(
     exog: Sequence[str] = (),
     parse_time: bool = True,
     order: str | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """unique_id, t, ds, y and x_<name> for each covariate; t is the rank of a row in its series, from 0.
 
     Gaps in time are ignored, as t counts rows.  Without an id column everything is one series.  Rows are ordered by
     `order`, or else by time; ties in time by the target.  Null or NaN targets and covariates stop the query when it runs.
+    spread numbers the rows of a series over range partitions, so that it may be of any length; rows are then read at once.
     """
     who = F.lit("series") if unique_id is None else F.coalesce(F.col(unique_id).cast("string"), F.lit(""))
     ds = F.lit(None).cast("timestamp") if time is None else F.to_timestamp(time) if parse_time else F.col(time)
@@ -37,6 +41,8 @@ def series(
         raise ValueError(f"missing covariates: {', '.join(missing)}")
     named = dict.fromkeys(exog)
     flat = df.select(who.alias("unique_id"), by.alias("_by"), ds.alias("ds"), _whole(F.col(target), target, who).alias("y"), *(_whole(F.col(c), c, who).alias(f"x_{c}") for c in named))
+    if spread:
+        return Ranges(flat, ["unique_id"], ["_by", "y"]).ranked("t").select("unique_id", "t", "ds", "y", *(f"x_{c}" for c in named))
     return flat.select("unique_id", (F.row_number().over(window) - 1).alias("t"), "ds", "y", *(f"x_{c}" for c in named))
 
 

@@ -6,10 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from loomcast.plans import queries as registered
-from loomcast.plans import studies
+from loomcast.plans import long_series, registry, studies  # noqa: F401
+from loomcast.plans import queries as series_queries
 
-SQL = registered.oracle_sql()
+SQL = registry.oracle_sql()
 
 
 def rows(frame: pd.DataFrame) -> list[str]:
@@ -29,15 +29,15 @@ def duck(sf):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(name, spark, sf, duck):
-    ours, theirs = registered.queries()[name](spark, sf).toPandas(), duck.execute(SQL[name]).df()
+    ours, theirs = registry.queries()[name](spark, sf).toPandas(), duck.execute(SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
 
 
 @pytest.mark.parametrize("name", ["fit_trend_panel", "forecast_panel_full", "girf_monthly", "importance_panel", "synthetic_trials"])
 def test_runs(name, spark, sf, monkeypatch):
-    monkeypatch.setattr(registered, "SCHEDULE", {"num_gfr": 2, "num_burnin": 5, "num_mcmc": 10})  # the plans, in short
-    assert registered.queries()[name](spark, sf).head(1)
+    monkeypatch.setattr(series_queries, "SCHEDULE", {"num_gfr": 2, "num_burnin": 5, "num_mcmc": 10})  # the plans, in short
+    assert registry.queries()[name](spark, sf).head(1)
 
 
 def test_recovery_study_has_all_scores(spark):
