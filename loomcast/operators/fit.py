@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomcast.config import ModelConfig
+from loomcast.config import ModelConfig, TrendConfig
 from loomcast.functions.bases import dot
-from loomcast.operators.gibbs import Builder, blocks_of, run_chain, run_moments_chain, seed_for
+from loomcast.operators import solve
+from loomcast.operators.gibbs import Builder, blocks_of, run_chain, run_moments_chain, seed_for, trend_precision
 
 
 def posterior_schema() -> T.StructType:
@@ -147,6 +148,35 @@ def least_squares_variance(moments: DataFrame) -> DataFrame:
     return moments.select("unique_id", F.greatest(rest / F.col("n"), F.lit(1e-3)).alias("sigma2"))
 
 
+def posterior_mean(design: DataFrame, trend: TrendConfig, sigma2: float = 1.0, by: Sequence[str] = ("unique_id",), x: str = "x_tr", target: str = "z") -> DataFrame:
+    """by, n and beta: the posterior mean of a conjugate trend's coefficients at a fixed variance, of any width.
+
+    The normal equations come from one aggregation over non-zero entries; the penalised system is solved by a Cholesky
+    factor over arrays.  Nothing leaves the JVM.
+    """
+    if not trend.conjugate:
+        raise ValueError(f"a {trend.mode} trend has no coefficients with a normal prior")
+    width = len(trend.names())
+    prior = trend_precision(np.array(trend.penalised()), trend.coef_scale, trend.smoothing)
+    whole = F.concat(x, F.array(F.col(target), F.lit(1.0)))
+    sums = solve.normal_equations(design, by, whole, width + 2)
+    square = F.transform(F.slice("a", 1, width), lambda r: F.transform(F.slice(r, 1, width), lambda v: v / sigma2))
+    cross = F.transform(F.slice("a", 1, width), lambda r: F.get(r, F.lit(width)) / sigma2)
+    ready = sums.select(*by, F.get(F.get("a", F.lit(width + 1)), F.lit(width + 1)).cast("long").alias("n"), solve.plus(square, solve.matrix(prior)).alias("s"), cross.alias("c"))
+    return ready.withColumn("low", solve.cholesky(F.col("s"))).select(*by, "n", solve.solved(F.col("low"), F.col("c")).alias("beta"))
+
+
+def design_variance(design: DataFrame, width: int, by: Sequence[str] = ("unique_id",)) -> DataFrame:
+    """by, n, rank and sigma2: the variance of what least squares on all columns (x_tr, x_se, x_ge) leaves of z, at least
+    0.001; it places the prior of the noise.  `width` counts the columns of all three; designs may be rank-deficient."""
+    whole = F.concat("x_tr", "x_se", "x_ge", F.array(F.col("z"), F.lit(1.0)))
+    sums = solve.normal_equations(design, by, whole, width + 2)
+    left = sums.select(*by, F.get(F.get("a", F.lit(width + 1)), F.lit(width + 1)).alias("n"), solve.swept(F.col("a"), width).alias("s"))
+    at = lambda j: F.get(F.get("s.a", F.lit(width)), F.lit(j))
+    variance = at(width) / F.col("n") - F.pow(at(width + 1) / F.col("n"), F.lit(2.0))
+    return left.select(*by, F.col("n").cast("long").alias("n"), F.col("s.rank").alias("rank"), F.greatest(variance, F.lit(1e-3)).alias("sigma2"))
+
+
 def trend_paths(posterior: DataFrame, design: DataFrame) -> DataFrame:
     """unique_id, chain, draw, t and trend (standardised) of conjugate draws, by a join and a dot product."""
     draws = posterior.where("error IS NULL").select("unique_id", "chain", "draw", "beta")
