@@ -23,7 +23,7 @@ from loomcast.llm.vectors import blocks, is_finite, rows_held, unpack
 BITS = 10  # of a digit
 SUB = 64  # anchors whose scores a cell holds at once
 ALL = 1 << 62
-COUNTS = "anchor long, other long, bin int, c long"
+COUNTS = "anchor long, other long, bin long, c long"
 PICKED = "anchor long, other long, id long, score long"
 
 
@@ -123,7 +123,7 @@ class Cells:
 def select(cells: Cells, windows: DataFrame, k: int, bits: int, put) -> DataFrame:
     """anchor, other, id, score, rank of the k best rows of each window (anchor, other, same, lo, hi)."""
     levels = math.ceil(bits / BITS)
-    state = put(windows.select("anchor", "other", "same", "lo", "hi", F.lit(-(1 << (levels * BITS - 1))).cast("long").alias("base"), F.lit(k).cast("long").alias("need"), F.lit(False).alias("whole")))
+    state = put(windows.select("anchor", "other", "same", "lo", "hi", F.lit(-(1 << (bits - 1))).cast("long").alias("base"), F.lit(k).cast("long").alias("need"), F.lit(False).alias("whole")))
     for level in range(levels):
         step = 1 << (BITS * (levels - 1 - level))
         counts = cells.met(state.where("NOT whole"), step).groupBy("anchor", "other", "bin").agg(F.sum("c").alias("c"))
@@ -173,8 +173,9 @@ def mine(
         cells = Cells(put(left), put(right), (few, many), width, kind, scale, most)
         open_ = one.where("asks").select(F.col("id").alias("anchor"), F.col("id").alias("other"), F.lit(True).alias("same"), F.lit(-ALL).alias("lo"), F.lit(ALL).alias("hi"))
         near = put(select(cells, open_, positives, bits, put)).select("anchor", F.col("id").alias("other"), F.col("score").alias("positive"))
-        down = lambda x: F.expr(f"(({x}) - pmod({x}, 100L)) div 100L")  # noqa: E731  whole numbers, as doubles aren't exact
-        low, high = -down(f"-positive * {percent[0]}L"), down(f"positive * {percent[1]}L")
+        rest = F.pmod(F.col("positive"), F.lit(100))  # whole numbers, as doubles aren't exact; in parts, as products may not fit
+        hundreds = F.expr("(positive - pmod(positive, 100L)) div 100L")
+        low, high = (hundreds * p + F.floor((rest * p + up) / 100) for p, up in zip(percent, (99, 0)))
         windows = near.select("anchor", "other", F.lit(False).alias("same"), low.alias("lo"), high.alias("hi")).where("lo <= hi")
         best = select(cells, windows, negatives, bits, put).withColumnRenamed("score", "negative")
         out = best.join(near, ["anchor", "other"])
