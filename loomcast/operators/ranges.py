@@ -87,9 +87,9 @@ class Ranges:
         copies = rows.join(F.broadcast(to), "_part").where(F.col("_at") >= F.col("_before") - most)
         return own.unionByName(copies.select(*(F.col("_to").alias("_part") if c == "_part" else F.col(c) for c in rows.columns), F.lit(True).alias("_halo")))
 
-    def ranked(self, rank: str = "t", lags: Mapping[str, tuple[str, int]] | None = None) -> DataFrame:
+    def ranked(self, rank: str = "t", lags: Mapping[str, tuple[str, int]] | None = None, places: bool = False) -> DataFrame:
         """The columns with `rank`, the place of a row in its group from 0, and each of lags: a column so many rows back
-        in the group, null where there is none."""
+        in the group, null where there is none.  With places, _part and _at too."""
         lags = lags or {}
         rows = self.with_halo(self.rows, max((k for _, k in lags.values()), default=0))
         begins = rows.sparkSession.createDataFrame([(p["part"], p["begin"]) for p in self._parts], "_part long, _begin long")
@@ -99,7 +99,7 @@ class Ranges:
         marked = marked.withColumn("_new", F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("_halo"))
         t = F.col("_at") - F.coalesce("_new", "_begin")
         back = [F.when(t >= k, F.col(f"_lag_{name}")).alias(name) for name, (_, k) in lags.items()]
-        return marked.join(F.broadcast(begins), "_part").select(*self.columns, t.alias(rank), *back)
+        return marked.join(F.broadcast(begins), "_part").select(*self.columns, t.alias(rank), *back, *(("_part", "_at") if places else ()))
 
     def running(self, sums: Mapping[str, Column], rank: str = "t") -> DataFrame:
         """The columns, rank, and for each of sums its total over the rows of the group up to this one."""
