@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +55,12 @@ def cut_evidence(rows: DataFrame, by: Sequence[str], features: Sequence[str], sc
     return both.select(*keys, "cut", "n_left", "n_right", gain.alias("gain"))
 
 
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """left joined with the other columns of right on keys, of which nulls match."""
+    named = right.withColumnsRenamed({c: f"_by_{c}" for c in keys})
+    return left.join(named, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in keys)), how).drop(*(f"_by_{c}" for c in keys))
+
+
 def best_cuts(evidence: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, feature, cut, gain: the cut with the largest gain; ties to the first feature, then the smallest cut."""
     order = F.struct(F.round("gain", DIGITS), -F.col("feature"), -F.col("cut"))
@@ -77,12 +85,7 @@ def grow(rows: DataFrame, features: Sequence[str], depth: int, scale2: float, pr
             break
         cuts = best_cuts(cut_evidence(now, keys, features, scale2, least, part), keys)
         cuts = stored(cuts.where(F.round("gain", DIGITS) + (log_prior(level, prior) if prior else 0.0) > 0.0).select(*keys, "feature", "cut"))
-        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in keys]
-        on = same[0]
-        for c in same[1:]:
-            on = on & c
-        chosen = cuts.withColumnsRenamed({c: f"_by_{c}" for c in keys})
-        out.append(nodes.join(chosen, on, "left").select(*keys, F.coalesce("feature", F.lit(-1)).alias("feature"), "cut", "n", "value"))
+        out.append(matched(nodes, cuts, keys, "left").select(*keys, F.coalesce("feature", F.lit(-1)).alias("feature"), "cut", "n", "value"))
         if cuts.first() is None:
             break
         split = with_facts(now, cuts, keys)

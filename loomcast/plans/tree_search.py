@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loomcast.config import TreePrior
 from loomcast.functions import bases
-from loomcast.operators import splits
+from loomcast.operators import moves, splits
+from loomcast.plans.queries import leaf, node
 from loomcast.plans.registry import query, read, sql, tidy
 
 SCALE2 = 0.5
@@ -82,3 +83,51 @@ def q_tree_fit(spark, sf_dir):
     nodes = splits.as_nodes(splits.grow(rows, FEATURES, 2, SCALE2))
     fitted = rows.select("l_returnflag", F.array(*FEATURES).alias("x")).join(F.broadcast(nodes)).select("l_returnflag", bases.tree_value(F.col("nodes"), F.col("x")).alias("fitted"))  # one row
     return tidy(fitted.groupBy("l_returnflag", "fitted").agg(F.count("*").alias("n")))
+
+
+# ---- moves of fixed trees -------------------------------------------------------------------------------------------
+
+MOVES = TreePrior(min_samples_leaf=10)
+#: tree, node: depth, leaves of the tree, twigs after growing there (0 for inner nodes), whether a twig, twigs of the tree.
+_SHAPE = "h AS (SELECT * FROM (VALUES " + ", ".join(map(str, [
+    (0, 1, 1, 3, 0, 1, 1), (0, 2, 2, 3, 1, 0, 1), (0, 3, 2, 3, 1, 0, 1), (0, 4, 1, 3, 2, 0, 1), (1, 0, 0, 1, 1, 0, 0),
+    (2, 1, 1, 4, 2, 0, 1), (2, 3, 2, 4, 2, 0, 1), (2, 4, 2, 4, 0, 1, 1), (2, 5, 3, 4, 1, 0, 1), (2, 6, 3, 4, 1, 0, 1), (3, 0, 0, 2, 0, 1, 1), (3, 1, 1, 2, 1, 0, 1), (3, 2, 1, 2, 1, 0, 1),
+])) + ") h(tree, node, depth, leaves, after, twig, twigs))"
+_PLACED = """o AS (SELECT e.*, 0 AS tree, CASE WHEN l_quantity <= 25 THEN CASE WHEN l_discount <= 0.05 THEN 2 ELSE 3 END ELSE 4 END AS node FROM e
+  UNION ALL SELECT e.*, 1, 0 FROM e
+  UNION ALL SELECT e.*, 2, CASE WHEN l_quantity <= 10 THEN 1 WHEN l_tax <= 0.04 THEN 3 WHEN l_discount <= 0.02 THEN 5 ELSE 6 END FROM e
+  UNION ALL SELECT e.*, 3, CASE WHEN l_quantity <= 25 THEN 1 ELSE 2 END FROM e)"""
+
+
+def fixed_trees(spark: SparkSession) -> DataFrame:
+    """The trees whose moves are rated; the lines they meet are the table's."""
+    trees = [
+        F.array(node(0, 25.0, 1, 4, 0.0), node(1, 0.05, 2, 3, 0.0), leaf(1.0), leaf(2.0), leaf(3.0)),
+        F.array(leaf(0.5)),
+        F.array(node(0, 10.0, 1, 2, 0.0), leaf(1.0), node(2, 0.04, 3, 4, 0.0), leaf(2.0), node(1, 0.02, 5, 6, 0.0), leaf(3.0), leaf(4.0)),
+        F.array(node(0, 25.0, 1, 2, 0.0), leaf(1.0), leaf(2.0)),
+    ]
+    return spark.range(1).select(F.posexplode(F.array(*trees)).alias("tree", "nodes"))
+
+
+def split_prior(depth: str) -> str:
+    a, b = MOVES.alpha, MOVES.beta
+    here, below = f"({a} * power(1 + {depth}, -{b}))", f"({a} * power(2 + {depth}, -{b}))"
+    return f"(ln({here}) + 2 * ln(1 - {below}) - ln(1 - {here}))"
+
+
+_GROWN = cuts_of("o", "tree, node", MOVES.min_samples_leaf, "c")
+
+
+@query(sql(f"{_LINES}, {_PLACED}, {_SHAPE}, {_GROWN}, x AS (SELECT tree, node, feature, cut, gain + {split_prior('depth')} + CASE WHEN leaves = 1 THEN ln(0.5) ELSE 0 END + ln(leaves) - ln(after) AS ratio FROM c JOIN h USING (tree, node))", "", "tree node feature", "cut ratio", digits=4))
+def q_grow_ratios(spark, sf_dir):
+    """The log acceptance of every split of every leaf of four trees, over all lines."""
+    return tidy(moves.grow_ratios(lines(spark, sf_dir), fixed_trees(spark), [], FEATURES, SCALE2, MOVES), 4)
+
+
+@query(sql(f"""{_LINES}, {_PLACED}, {_SHAPE}, g AS (SELECT tree, node, sum(w) AS p, sum(w * r) AS q FROM o GROUP BY ALL),
+t AS (SELECT h.*, a.p AS pl, a.q AS ql, b.p AS pr, b.q AS qr FROM h JOIN g a ON a.tree = h.tree AND a.node = h.node + 1 JOIN g b ON b.tree = h.tree AND b.node = h.node + 2 WHERE twig = 1),
+x AS (SELECT tree, node, -({evidence('pl', 'ql')} + {evidence('pr', 'qr')} - {evidence('(pl + pr)', 'ql + qr')} + {split_prior('depth')} + CASE WHEN node = 0 THEN ln(0.5) ELSE 0 END + ln(leaves - 1) - ln(twigs)) AS ratio FROM t)""", "", "tree node", "ratio", digits=4))
+def q_prune_ratios(spark, sf_dir):
+    """The log acceptance of taking back every twig of four trees, over all lines."""
+    return tidy(moves.prune_ratios(lines(spark, sf_dir), fixed_trees(spark), [], FEATURES, SCALE2, MOVES), 4)
