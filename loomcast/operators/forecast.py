@@ -128,6 +128,49 @@ def simulate(
     return each.select("unique_id", "chain", "draw", "h", (F.col("n") + F.col("h")).cast("int").alias("t"), "v.*")
 
 
+def noise_variance(config: ModelConfig, h: Column) -> Column:
+    """The expected variance of the noise at step h (from 0) of a draw; that of a log-normal AR(1) for volatilities."""
+    e = config.error
+    if e.mode != "sv":
+        return F.col("sigma2")
+    steps = (h + 1).cast("double")
+    spread = F.lit(e.sv_sigma_h**2) * ((1.0 - F.pow(F.lit(e.sv_phi**2), steps)) / (1.0 - e.sv_phi**2) if e.sv_phi**2 < 1.0 else steps)
+    return F.exp(F.col("sv_mu") + F.pow(F.lit(e.sv_phi), steps) * (F.col("h_last") - F.col("sv_mu")) + spread / 2.0)
+
+
+def moments(posterior: DataFrame, state: DataFrame, future: DataFrame, config: ModelConfig, covariates: DataFrame | None = None) -> DataFrame:
+    """unique_id, h, t, mean and variance of the forecast, in closed form, for models whose generic block has no lags.
+
+    Of each draw the parts are known, but for the drift of a walking trend, whose variance grows with the steps, and the
+    noise; over draws, the variance is the mean of theirs and the variance of their means.  It is the variance of one path
+    for each draw, which samples approach.  future is the design to come, covariates their future values.
+    """
+    if config.generic.lags:
+        raise ValueError("lags feed samples back into the forest; such forecasts have no closed form")
+    names = config.generic.covariates
+    h, y_std = F.col("h"), F.col("y_std")
+    rows = future.select("unique_id", "h", "t", "x_tr", "x_se")
+    if names:
+        if covariates is None:
+            raise ValueError(f"missing future covariates: {', '.join(dict.fromkeys(names))}")
+        given = covariates.select("unique_id", "h", bases.doubles(*(F.col(c) for c in names)).alias("covs"))
+        rows = rows.join(given, ["unique_id", "h"], "left").withColumn("covs", F.coalesce("covs", F.raise_error(F.concat(F.lit("missing future covariates of series "), "unique_id")).cast("array<double>")))
+    kept = [c for c in ("beta", "sigma2", "h_last", "sv_mu", "trend_trees", "seasonal_trees", "generic_trees") if c in posterior.columns]
+    drawn = posterior.where("error IS NULL").select("unique_id", *kept).join(rows, "unique_id").join(state.select("unique_id", "n", "max_lag", "y_mean", "y_std"), "unique_id")
+    parts = [bases.forest_value(F.col("trend_trees"), F.col("x_tr")) if config.trend.mode == "tree" else bases.dot(F.col("x_tr"), F.col("beta"))]
+    parts += [bases.forest_value(F.col("seasonal_trees"), F.col("x_se"))] if config.has_seasonal else []
+    parts += [bases.forest_value(F.col("generic_trees"), F.col("covs"))] if names else []
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole + p
+    variance = noise_variance(config, h)
+    if config.trend.mode == "tvp":
+        step = F.greatest(F.lit(config.trend.coef_scale**2 * config.trend.smoothing) / (F.col("n") - F.col("max_lag")), F.lit(1e-6))
+        variance = variance + step * (h + 1) * bases.dot(F.col("x_tr"), F.col("x_tr"))
+    each = drawn.select("unique_id", "h", "t", (F.col("y_mean") + y_std * whole).alias("_m"), (y_std * y_std * variance).alias("_v"))
+    return each.groupBy("unique_id", "h", "t").agg(F.avg("_m").alias("mean"), (F.avg("_v") + F.var_pop("_m")).alias("variance"))
+
+
 def trend_mean(coefficients: DataFrame, state: DataFrame, future: DataFrame) -> DataFrame:
     """unique_id, h, t, mean: the forecast of a line with known coefficients b0, b1, on the scale of y."""
     joined = future.join(coefficients, "unique_id").join(state.select("unique_id", "y_mean", "y_std"), "unique_id")
