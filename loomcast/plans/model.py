@@ -91,12 +91,13 @@ class SeriesModel:
         """As fit, but more than one series is an error."""
         return self.fit(sources.single(df, unique_id), unique_id=unique_id, **more)
 
-    def save(self, path: str) -> None:
-        artifacts.save(self.run, path)
+    def save(self, path: str, mode: str = "errorifexists") -> None:
+        artifacts.save(self.run, path, mode)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> SeriesModel:
-        run = artifacts.load(spark, path)
+    def load(cls, spark: SparkSession, path: str, series: Sequence[str] | None = None) -> SeriesModel:
+        """A saved model, with the runs of some series only if they are given; their files alone are then read."""
+        run = artifacts.load(spark, path, series)
         model = cls(run.config)
         model._run = run
         return model
