@@ -4,6 +4,9 @@ A word's parts lie in one list and the ranks of its adjacent pairs in another.
 the boundary between its two parts is deleted, and the ranks beside it are refreshed; this goes on until no pair has a
 rank.  Words of over SHORT parts keep their ranks in a heap instead, with the same result.  The words of a worker are
 remembered, so a repeated word costs one look-up.
+
+Which code points are letters depends on a library's Unicode tables.  Texts with code points that Python's own table
+doesn't know are cut into words by the tokenizers library itself; the merges are the same.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from loomcast.llm.common import slices
 
@@ -37,10 +41,23 @@ def byte_letters() -> list[str]:
     return [chr(b) for _, b in sorted([(b, b) for b in plain] + [(b, 256 + k) for k, b in enumerate(rest)])]
 
 
+_settled: set[str] = set()
+
+
+def newer(text: str) -> bool:
+    """Whether a text has code points that Python's Unicode table doesn't know.  Those that it knows are remembered."""
+    if text.isascii() or not (seen := set(text) - _settled):
+        return False
+    odd = {c for c in seen if unicodedata.category(c) == "Cn"}
+    _settled.update(seen - odd)
+    return bool(odd)
+
+
 class Codec:
     """Encoder and decoder of a tokenizers file of the BPE kind."""
 
     def __init__(self, path: str) -> None:
+        self._path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -65,7 +82,16 @@ class Codec:
                 self.pairs[self.vocab[a], self.vocab[b]] = (rank, new)
         self._known: dict[str, bytes] = {}
 
+    def _library_words(self, segment: str) -> list[str]:
+        if self._library is None:
+            self._library = Tokenizer.from_file(self._path)
+        if self._library.normalizer is not None:
+            segment = self._library.normalizer.normalize_str(segment)
+        return [segment[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(segment)]
+
     def words(self, segment: str) -> list[str]:
+        if newer(segment):
+            return self._library_words(segment)
         if self.nfc:
             segment = unicodedata.normalize("NFC", segment)
         if self.blanks:
