@@ -23,6 +23,7 @@ from loomcast.llm.common import Connected, components, forest, join_few, join_ho
 from loomcast.llm.words import shingles
 
 TILE = 4096  # classes in a tile, on average
+TILE_BYTES = 32 << 20  # bytes of bitmaps in a tile, on average; at least one class
 ROWS, COLS = 64, 1024  # the part of a pair of tiles that is compared at once: its matrices stay in a core's cache
 CHUNK = 200_000  # shingles of a cluster that one task holds, on average
 BANDS = 4  # bands in which a size grows by 1 / threshold
@@ -104,7 +105,8 @@ def arrays(docs: DataFrame, size: int) -> DataFrame:
 def candidate_edges(classes: DataFrame, percent: int, put: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """src, dst that connect whatever the pairs of classes (id, n, bits) not ruled out connect.  put stores tables."""
     banded = classes.withColumn("band", band(F.col("n"), percent))
-    counts = put(banded.groupBy("band").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).withColumn("parts", F.ceil(F.col("c") / TILE).cast("int")))
+    counts = put(banded.groupBy("band").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum(F.length("bits")).alias("bytes")))
+    counts = counts.withColumn("parts", F.greatest(F.ceil(F.col("c") / TILE), F.least(F.col("c"), F.ceil(F.col("bytes") / TILE_BYTES))).cast("int"))
     bands = counts.collect()  # a few for each doubling of the largest set
     parts = F.lit(1)
     for r in bands:
