@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -77,6 +78,28 @@ def test_jaccard_against_brute_force_with_small_tiles(spark, monkeypatch):
     assert got == {k: find(k) for k in range(len(texts))}
 
 
+def test_jaccard_tiles_are_bounded_by_bytes(spark, monkeypatch):
+    """Long texts make large bitmaps: with a bound of two of them to a tile, all links are found still."""
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 4096)
+    texts = [prose(200 + k // 3, 4000 + k % 3, stock=10**6) for k in range(24)]
+    packed = []
+    plain = jaccard.candidate_edges
+
+    def watched(classes, percent, put):
+        def kept(df):
+            out = put(df)
+            if out.columns == ["band", "part", "ids", "n", "bits"]:
+                packed.extend(out.agg(F.count("*"), F.max(F.length("bits"))).collect())
+            return out
+
+        return plain(classes, percent, kept)
+
+    monkeypatch.setattr(jaccard, "candidate_edges", watched)
+    got = {r.doc_id: r.component_id for r in jaccard.join(documents(spark, texts)).collect()}
+    assert got == {k: k - k % 3 for k in range(24)}
+    assert packed[0][0] > 5 and packed[0][1] <= 6 * 2048
+
+
 def test_jaccard_empty(spark):
     assert jaccard.join(documents(spark, [])).count() == 0
 
@@ -337,6 +360,55 @@ def test_language_learns(spark):
     assert empty.where("lang_pred <> 'und' OR rejected").count() == 0
 
 
+def test_nearest_centroid_by_brute_force(spark, sf):
+    """Weights and decisions of the model against plain loops over the n-grams of whole texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    settings = langid.Settings(dims=1 << 16)  # few n-grams share a dimension
+    model = langid.fit(docs, settings=settings)
+    counts, df, texts = {}, {}, {r.doc_id: r for r in docs.collect()}
+
+    def dimension(gram):
+        h = 0
+        for c, (mix, odd) in zip(gram, ((None, 0x9E3779B1), (0x85EBCA6B, 0xC2B2AE35), (0x27D4EB2F, 0x165667B1))):
+            h = (ord(c) * odd if mix is None else (h ^ ord(c) * mix & 0xFFFFFFFF) * odd) & 0xFFFFFFFF
+        return h >> 16
+
+    for r in texts.values():
+        letters = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in r.text or "").lower()
+        words = " " + re.sub(" +", " ", letters) + " "
+        if any(c.isalpha() for c in letters):
+            own = counts[r.doc_id] = {}
+            for n in (1, 2, 3):
+                for at in range(len(words) - n + 1):
+                    d = dimension(words[at : at + n])
+                    own[d] = own.get(d, 0) + 1
+            if r.lang is not None:
+                for d in own:
+                    df[d] = df.get(d, 0) + 1
+    n = sum(texts[k].lang is not None for k in counts)
+    for d in random.Random(1).sample(sorted(df), 500):
+        assert model.idf[d] == pytest.approx(np.log((1 + n) / (1 + df[d])) + 0.1, rel=1e-5)
+    wrong = 0
+    for r in langid.identify(docs, model).collect():
+        own = counts.get(r.doc_id)
+        if own is None:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        weights = {d: np.log1p(c) * float(model.idf[d]) for d, c in own.items()}
+        length = sum(w * w for w in weights.values()) ** 0.5
+        cosines = [sum(w * float(c[d]) for d, w in weights.items()) / length for c in model.centroids]
+        best = max(cosines)
+        assert r.score == pytest.approx(max(0.0, best), abs=1e-4) and r.lang_pred in {name for name, c in zip(model.names, cosines) if c > best - 1e-4}
+        wrong += r.lang_pred != texts[r.doc_id].lang
+    assert wrong < 0.05 * len(counts)
+
+
+def test_only_the_most_frequent_languages_are_learned(spark):
+    rows = [(k, prose(k, 30), "en" if k % 2 else "de" if k % 4 else f"junk {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.fit(docs, settings=langid.Settings(max_langs=2)).names) == {"de", "en"}
+
+
 def test_language_rejects_foreign_and_junk_texts_of_any_length(spark):
     def text(seed, letters, n):
         r = random.Random(seed)
