@@ -35,6 +35,21 @@ def component_draws(posterior: DataFrame, state: DataFrame) -> DataFrame:
     return rows.join(state.select("unique_id", "max_lag"), "unique_id").select(*DRAW, (F.col("i") + F.col("max_lag")).alias("t"), *(F.coalesce(F.col(f"c.{c}"), F.lit(0.0)).alias(c) for c in COMPONENTS))
 
 
+def residuals(draws: DataFrame, design: DataFrame) -> DataFrame:
+    """unique_id, chain, draw, t and residual: what the parts of a draw leave of the standardised target.
+
+    draws are those of component_draws.  Series and draws meet by (series, row), so that no series gathers in one task.
+    """
+    joined = draws.join(design.select("unique_id", "t", "z"), ["unique_id", "t"])
+    return joined.select(*DRAW, "t", (F.col("z") - F.col("trend") - F.col("seasonal") - F.col("generic")).alias("residual"))
+
+
+def residual_moments(left: DataFrame) -> DataFrame:
+    """unique_id, chain, draw, n, mean, variance (about 0) and largest size of the residuals of each draw."""
+    r = F.col("residual")
+    return left.groupBy(*DRAW).agg(F.count("*").alias("n"), F.avg(r).alias("mean"), F.avg(r * r).alias("variance"), F.max(F.abs(r)).alias("most"))
+
+
 def unscaled(draws: DataFrame, state: DataFrame) -> DataFrame:
     """Component draws on the scale of y, with their sum as fitted; the mean of y goes to the trend."""
     rows = draws.join(state.select("unique_id", "y_mean", "y_std"), "unique_id")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from loomcast.config import ErrorConfig, ModelConfig, TrendConfig
 from loomcast.operators import design as designs
-from loomcast.operators import forecast
-from loomcast.plans.queries import _FUTURE, PANEL, SCALED, H, config, panel, stump
+from loomcast.operators import forecast, interpret
+from loomcast.plans.queries import _FUTURE, PANEL, SCALED, H, config, designed, panel, stump
 from loomcast.plans.registry import query, sql, tidy
 
 DRAWS, PHI, SD = 3, 0.95, 0.15
@@ -49,3 +49,33 @@ def q_forecast_moments_drift(spark, sf_dir):
 def q_forecast_moments_covariate(spark, sf_dir):
     """A line and a forest of one covariate with constant noise."""
     return of(spark, sf_dir, config(exog=("step",)))
+
+
+_PARTS = f"""{PANEL}, {SCALED}, r AS (SELECT unique_id, 0 AS chain, d AS draw, t, z - (0.1 * d + 0.2 * u) - (CASE WHEN t % 12 < 6 THEN 0.3 ELSE -0.3 END) - 0.05 * (t % 5) * d AS residual FROM z, range({DRAWS}) r(d))"""
+
+
+def posterior_of_parts(d: DataFrame) -> DataFrame:
+    """A posterior as a fit makes it (a row for each draw, with the parts as arrays), that SQL can repeat."""
+    rows = d.groupBy("unique_id").agg(F.array_sort(F.collect_list(F.struct("t", F.col("x_tr")[1].alias("u")))).alias("rows"))
+    drawn = rows.withColumn("draw", F.explode(F.array(*map(F.lit, range(DRAWS)))))
+    n = F.col("draw")
+    return drawn.select(
+        "unique_id", F.lit(0).alias("chain"), "draw", F.transform("rows", lambda r: 0.1 * n + 0.2 * r["u"]).alias("trend"),
+        F.transform("rows", lambda r: F.when(r["t"] % 12 < 6, 0.3).otherwise(-0.3)).alias("seasonal"), F.transform("rows", lambda r: 0.05 * (r["t"] % 5) * n).alias("generic"),
+    )
+
+
+def left_over(spark, sf_dir: str) -> DataFrame:
+    d, state = designed(panel(spark, sf_dir), config())
+    return interpret.residuals(interpret.component_draws(posterior_of_parts(d), state), d)
+
+
+@query(sql(f"{_PARTS}, x AS (SELECT * FROM r)", "unique_id", "chain draw t", "residual"))
+def q_residuals(spark, sf_dir):
+    """What the parts of each draw leave of each nation's orders."""
+    return tidy(left_over(spark, sf_dir))
+
+
+@query(sql(f"{_PARTS}, x AS (SELECT unique_id, chain, draw, count(*) AS n, avg(residual) AS mean, avg(residual * residual) AS variance, max(abs(residual)) AS most FROM r GROUP BY ALL)", "unique_id", "chain draw n", "mean variance most"))
+def q_residual_moments(spark, sf_dir):
+    return tidy(interpret.residual_moments(left_over(spark, sf_dir)))

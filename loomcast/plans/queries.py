@@ -11,7 +11,6 @@ from loomcast.config import CALENDAR_FIELDS, ERROR_MODES, TREND_MODES, GenericCo
 from loomcast.functions import bases
 from loomcast.operators import design as designs
 from loomcast.operators import diagnostics, fit, forecast, interpret, metrics
-from loomcast.plans import studies
 from loomcast.plans.model import SeriesModel
 from loomcast.plans.registry import query, sql, tidy
 from loomcast.plans.registry import read as _read
@@ -666,13 +665,13 @@ def q_fit_invariants(spark, sf_dir):
 _VARIANTS = "e AS (SELECT * FROM (VALUES ('tree'), ('linear'), ('spline'), ('tvp')) a(trend), (VALUES ('homo'), ('sv')) b(errors), range(2) c(chain))"
 
 
-@query(sql(f"{_VARIANTS}, x AS (SELECT trend, errors, 'orders' AS unique_id, chain, 30 AS draws, true AS whole, true AS closed, 0 AS failed FROM e)", "trend errors unique_id whole closed", "chain draws failed"))
+@query(sql(f"{_VARIANTS}, x AS (SELECT trend, errors, 'orders' AS unique_id, chain, {SCHEDULE['num_mcmc']} AS draws, true AS whole, true AS closed, 0 AS failed FROM e)", "trend errors unique_id whole closed", "chain draws failed"))
 def q_variant_invariants(spark, sf_dir):
-    """Every trend with every kind of noise, two chains of 30 draws each."""
+    """Every trend with every kind of noise, two chains of the studies' schedule each."""
     rows, out = monthly(spark, sf_dir).withColumnRenamed("x_n_orders", "n_orders"), None
     for trend in TREND_MODES:
         for errors in ERROR_MODES:
-            fitted = model(trend=trend, errors=errors, exog=("n_orders",), num_burnin=20, num_mcmc=30, chains=2).fit(rows)
+            fitted = model(trend=trend, errors=errors, exog=("n_orders",), chains=2).fit(rows)
             one = sound(fitted.run).select(F.lit(trend).alias("trend"), F.lit(errors).alias("errors"), "*")
             out = one if out is None else out.union(one)
     return tidy(out)
@@ -738,10 +737,3 @@ def q_synthetic_parts(spark, sf_dir):
 def synthetic_trials(spark, sf_dir):
     """A hundred series of each of the six processes."""
     return synthetic.studies(spark, 100)
-
-
-@query()
-def recovery_study(spark, sf_dir):
-    """Scores and recovery of the components for each process, means over its trials (four here; their number is a
-    parameter)."""
-    return studies.recovery(spark, trials=4)
