@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from loomcast.sources.shared import stored
 
-#: Rows of a partition, on average.
-PART = 1 << 20
+#: Rows of a partition, on average; and so many are worth one of the session's partitions.
+PART, WORTH = 1 << 20, 4096
 INDEX = (1 << 33) - 1  # monotonically_increasing_id holds the partition above its lower 33 bits
 
 
@@ -33,7 +33,8 @@ class Ranges:
         spark = df.sparkSession
         self.by, self.columns = list(by), df.columns
         numbered = df.withColumn("_tie", F.monotonically_increasing_id())
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / part))
+        rows = df.count()
+        n = max(1, math.ceil(rows / part), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / WORTH)))
         keys = [*by, *order, "_tie"]
         laid = numbered.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie")
         self._laid = stored(laid.withColumn("_id", F.monotonically_increasing_id()))

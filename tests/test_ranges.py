@@ -44,6 +44,10 @@ def test_equal_rows_are_spread_over_partitions(spark):
     assert sorted(r.t for r in ranges.ranked().collect()) == list(range(4000))
 
 
+def test_small_tables_don_t_get_a_partition_for_each_of_the_sessions(spark):
+    assert len(Ranges(spark.range(5000).withColumn("g", F.lit(1)), ["g"], ["id"])._parts) == 2
+
+
 def test_empty_tables_and_clashing_names(spark, rows):
     none = Ranges(rows.limit(0), ["g"], ["o"])
     assert none.ranked().count() == 0 and none.running({"s": F.col("y")}).count() == 0
