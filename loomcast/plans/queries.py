@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.config import CALENDAR_FIELDS, ERROR_MODES, TREND_MODES, GenericConfig, MCMCConfig, ModelConfig, SeasonalConfig, SeasonalPeriod, TreePrior, TrendConfig, make_config
+from loomcast.config import CALENDAR_FIELDS, ERROR_MODES, TREND_MODES, GenericConfig, MCMCConfig, ModelConfig, SeasonalConfig, SeasonalPeriod, TrendConfig, make_config
 from loomcast.functions import bases
 from loomcast.operators import design as designs
 from loomcast.operators import diagnostics, fit, forecast, interpret, metrics

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from loomcast.plans import long_series, registry, studies  # noqa: F401
+from loomcast.plans import closed_forms, forecast_moments, long_series, registry, state_space, stored_runs, studies, tree_search  # noqa: F401
 from loomcast.plans import queries as series_queries
 
 SQL = registry.oracle_sql()
