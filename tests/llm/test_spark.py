@@ -360,6 +360,36 @@ def test_language_learns(spark):
     assert empty.where("lang_pred <> 'und' OR rejected").count() == 0
 
 
+def test_language_learns_from_every_row(spark):
+    """Document frequencies, centroids and limits against plain ones over all rows of a language, of which a sample was taken
+    beyond 1,500."""
+    stock = [("".join(random.Random(f"{lang}{k}").choices(letters, k=3 + k % 5)), lang) for lang, letters in (("xx", "abdeilmno"), ("yy", "ghkpruwyz")) for k in range(60)]
+    rows = [(k, " ".join(random.Random(k).choices([w for w, x in stock if x == lang], k=2 + k % 40)), lang) for k in range(3600) for lang in ("xx" if k % 12 else "yy",)]
+    docs = spark.createDataFrame(rows + [(None, None, "xx"), (9999, "12 !", "yy"), (9998, "abba", None)], "doc_id long, text string, lang string").repartition(7)
+    s = langid.Settings(dims=1024)
+    model = langid.fit(docs, settings=s)
+    counts = np.array([langid.gram_counts(t, s.dims) for _, t, _ in rows])
+    assert model.idf == pytest.approx(np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 0.1, rel=1e-6)
+    v, langs, whole = langid.vectors(counts, model.idf), np.array([r[2] for r in rows]), []
+    for lang in ("xx", "yy"):
+        x = v[langs == lang]
+        c = [x.mean(0)]
+        for _ in range(s.clusters - 1):
+            c.append(x[np.round((x @ np.array(c).T).max(1).astype(float), 6).argmin()])
+        for _ in range(s.passes):
+            own = (x @ np.array(c).T).argmax(1)
+            c = [x[own == k].sum(0) if (own == k).any() else c[k] for k in range(len(c))]
+            c = [r / np.linalg.norm(r) for r in c]
+        whole += c
+    assert model.names == ["xx"] * 4 + ["yy"] * 4 and model.centroids == pytest.approx(np.array(whole), abs=1e-4)
+    cos = v @ model.centroids.T
+    named, far = np.array(model.names)[cos.argmax(1)], 1.0 - cos.max(1)
+    bands = np.array([langid.band(np.count_nonzero(c), s.few) for c in counts])
+    for k in set(bands):
+        own = far[(named == "xx") & (bands == k)]
+        assert len(own) >= s.enough and model.reach[0, k] == pytest.approx(max(np.quantile(own, s.quantile) * s.slack, s.near if k else s.floor), abs=1e-5)
+
+
 def test_nearest_centroid_by_brute_force(spark, sf):
     """Weights and decisions of the model against plain loops over the n-grams of whole texts."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
