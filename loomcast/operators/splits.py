@@ -20,6 +20,7 @@ from loomcast.operators.order_stats import with_facts
 from loomcast.operators.ranges import PART, Ranges
 from loomcast.sources.shared import stored
 
+LAZY = 4  # levels after which rows are stored with their nodes; between, each pass walks them down from there
 DIGITS = 6  # evidence is compared up to so many digits, as the order of a sum decides what follows
 
 
@@ -42,12 +43,28 @@ def cut_evidence(rows: DataFrame, by: Sequence[str], features: Sequence[str], sc
     Rows go left where the feature is at most the cut; the largest value is no cut.  Null features are on neither side:
     they make no cut, and as large values they would go right, so rows with one count there.
     """
-    keys = [*by, "feature"]
+    values = value_sums(rows, by, features)
+    return evidence_of(values, node_sums(values, by), by, scale2, least, part)
+
+
+def value_sums(rows: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """by, feature, cut, w, wr, c: sums over the rows of each value, the null one too, in the one pass that rows are read.
+
+    The table is stored: what follows reads a row for each value, however often."""
     pairs = F.array(*(F.struct(F.lit(k).alias("feature"), F.col(f).cast("double").alias("cut")) for k, f in enumerate(features)))
     each = rows.select(*by, "w", (F.col("w") * F.col("r")).alias("wr"), F.explode(pairs).alias("e")).select(*by, "e.*", "w", "wr")
-    values = each.where("cut IS NOT NULL").groupBy(*keys, "cut").agg(F.sum("w").alias("w"), F.sum("wr").alias("wr"), F.count("*").cast("double").alias("c"))
-    totals = rows.groupBy(*by).agg(F.sum("w").alias("_p"), F.sum(F.col("w") * F.col("r")).alias("_q"), F.count("*").alias("_n"))
-    left = Ranges(values, keys, ["cut"], part).running({"p": F.col("w"), "q": F.col("wr"), "n": F.col("c")}, "_rank")
+    return stored(each.groupBy(*by, "feature", "cut").agg(F.sum("w").alias("w"), F.sum("wr").alias("wr"), F.count("*").cast("double").alias("c")))
+
+
+def node_sums(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, _p, _q, _n: the sums and the number of all rows; each row has one value of the first feature."""
+    return values.where("feature = 0").groupBy(*by).agg(F.sum("w").alias("_p"), F.sum("wr").alias("_q"), F.round(F.sum("c")).cast("long").alias("_n"))
+
+
+def evidence_of(values: DataFrame, totals: DataFrame, by: Sequence[str], scale2: float, least: int, part: int = PART) -> DataFrame:
+    """What cut_evidence returns, from the sums of its rows by value and of all of them."""
+    keys = [*by, "feature"]
+    left = Ranges(values.where("cut IS NOT NULL"), keys, ["cut"], part).running({"p": F.col("w"), "q": F.col("wr"), "n": F.col("c")}, "_rank")
     sides = with_facts(left, totals, by)
     n_left = F.round("n").cast("long")
     both = sides.select(*keys, "cut", n_left.alias("n_left"), (F.col("_n") - n_left).alias("n_right"), "p", "q", "_p", "_q").where((F.col("n_left") >= least) & (F.col("n_right") >= max(1, least)))
@@ -78,20 +95,25 @@ def grow(rows: DataFrame, features: Sequence[str], depth: int, scale2: float, pr
     least = prior.min_samples_leaf if prior else 1
     keys, out = [*by, "node"], []
     now = stored(rows.select(*by, *(F.col(f).cast("double").alias(f) for f in features), F.col("w").cast("double").alias("w"), F.col("r").cast("double").alias("r"), F.lit(0).cast("long").alias("node")))
+    mean = F.col("_q") / (1.0 / scale2 + F.col("_p"))
     for level in range(depth + 1):
-        nodes = now.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum(F.col("w") * F.col("r")) / (1.0 / scale2 + F.sum("w"))).alias("value"))
         if level == depth:
-            out.append(nodes.select(*keys, F.lit(-1).alias("feature"), F.lit(None).cast("double").alias("cut"), "n", "value"))
+            last = now.groupBy(*keys).agg(F.sum("w").alias("_p"), F.sum(F.col("w") * F.col("r")).alias("_q"), F.count("*").alias("_n"))
+            out.append(last.select(*keys, F.lit(-1).alias("feature"), F.lit(None).cast("double").alias("cut"), F.col("_n").alias("n"), mean.alias("value")))
             break
-        cuts = best_cuts(cut_evidence(now, keys, features, scale2, least, part), keys)
+        values = value_sums(now, keys, features)
+        nodes = stored(node_sums(values, keys))
+        cuts = best_cuts(evidence_of(values, nodes, keys, scale2, least, part), keys)
         cuts = stored(cuts.where(F.round("gain", DIGITS) + (log_prior(level, prior) if prior else 0.0) > 0.0).select(*keys, "feature", "cut"))
-        out.append(matched(nodes, cuts, keys, "left").select(*keys, F.coalesce("feature", F.lit(-1)).alias("feature"), "cut", "n", "value"))
+        out.append(matched(nodes, cuts, keys, "left").select(*keys, F.coalesce("feature", F.lit(-1)).alias("feature"), "cut", F.col("_n").alias("n"), mean.alias("value")))
         if cuts.first() is None:
             break
         split = with_facts(now, cuts, keys)
         value = F.element_at(F.array(*features), F.col("feature") + 1)
         right = F.when(value <= F.col("cut"), 1).otherwise(2)
-        now = stored(split.withColumn("node", 2 * F.col("node") + right).select(now.columns))
+        now = split.withColumn("node", 2 * F.col("node") + right).select(now.columns)
+        if level % LAZY == LAZY - 1:
+            now = stored(now)
     whole = out[0]
     for one in out[1:]:
         whole = whole.unionByName(one)

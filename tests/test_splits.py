@@ -79,3 +79,19 @@ def test_empty_table(data):
     none = data[0].limit(0)
     assert splits.cut_evidence(none, ["g"], ["a"], SCALE2).count() == 0
     assert splits.grow(none, ["a"], 2, SCALE2, by=["g"]).count() == 0
+
+
+def test_rows_are_read_once_for_cuts_and_stored_once_for_a_tree(spark, data, monkeypatch):
+    seen, tables = spark.sparkContext.accumulator(0), []
+
+    def tick(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = data[0].mapInArrow(tick, data[0].schema)
+    assert splits.cut_evidence(rows, ["g"], ["a", "b"], SCALE2).count() and seen.value == 401
+    kept = splits.stored
+    monkeypatch.setattr(splits, "stored", lambda df: tables.append(df.columns) or kept(df))
+    assert splits.grow(rows, ["a", "b", "c"], 3, SCALE2, by=["g"]).count() > 15
+    assert seen.value == 802 and sum("r" in columns for columns in tables) == 1
