@@ -19,6 +19,9 @@ from loomcast.operators.solve import indices
 from loomcast.operators.splits import cut_evidence, log_evidence, matched
 
 
+KNOWN = 256  # nodes of all trees together that are walked as conditions
+
+
 def leaf_of(nodes: Column, x: Column) -> Column:
     """The number of the leaf that x reaches."""
 
@@ -76,11 +79,26 @@ def log_ratio(gain: Column, depth: Column, from_root: Column, leaves: Column, tw
     return gain + prior_gain(depth, prior) + F.when(from_root, math.log(0.5)).otherwise(0.0) + F.log(leaves) - F.log(twigs)
 
 
+def fixed_leaf(nodes: Sequence, x: Sequence[Column], at: int = 0) -> Column:
+    """leaf_of as nested conditions, for a tree that the driver knows: Spark compiles them."""
+    n = nodes[at]
+    if n["feat"] < 0:
+        return F.lit(at)
+    return F.when(x[n["feat"]] <= F.lit(n["thresh"]), fixed_leaf(nodes, x, n["left"])).otherwise(fixed_leaf(nodes, x, n["right"]))
+
+
 def placed(rows: DataFrame, trees: DataFrame, by: Sequence[str], tree: str, features: Sequence[str]) -> DataFrame:
     """by, tree, node (the leaf), the features, w and r: every row of a group under every tree of that group."""
-    x = F.array(*(F.col(f).cast("double") for f in features))
-    joined = rows.join(trees.select(*by, tree, "nodes"), list(by)) if by else rows.join(F.broadcast(trees.select(tree, "nodes")))
-    return joined.select(*by, tree, leaf_of(F.col("nodes"), x).alias("node"), *features, "w", "r")
+    x = [F.col(f).cast("double") for f in features]
+    if by:
+        joined = rows.join(trees.select(*by, tree, "nodes"), list(by))
+        return joined.select(*by, tree, leaf_of(F.col("nodes"), F.array(*x)).alias("node"), *features, "w", "r")
+    few = trees.select(tree, "nodes").limit(KNOWN + 1).collect()
+    if not few or len(few) > KNOWN or sum(len(t["nodes"]) for t in few) > KNOWN:
+        joined = rows.join(F.broadcast(trees.select(tree, "nodes")))
+        return joined.select(tree, leaf_of(F.col("nodes"), F.array(*x)).alias("node"), *features, "w", "r")
+    each = F.array(*(F.struct(F.lit(t[tree]).cast(trees.schema[tree].dataType).alias(tree), fixed_leaf(t["nodes"], x).alias("node")) for t in few))
+    return rows.select(F.explode(each).alias("_e"), *features, "w", "r").select(F.col(f"_e.{tree}").alias(tree), "_e.node", *features, "w", "r")
 
 
 def grow_ratios(rows: DataFrame, trees: DataFrame, by: Sequence[str], features: Sequence[str], scale2: float, prior: TreePrior, tree: str = "tree", part: int = PART) -> DataFrame:

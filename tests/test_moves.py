@@ -94,3 +94,24 @@ def test_depth_limit_and_empty_tables(grown):
     assert moves.grow_ratios(rows.where("g = 1"), trees, ["g"], ["a"], 0.5, limited).count() == 0
     assert moves.prune_ratios(rows.limit(0), trees, ["g"], ["a", "b"], 0.5, PRIOR).count() == moves.structure(trees, ["g", "tree"]).where("twig").count()  # twigs with empty leaves
     assert moves.grow_ratios(rows, trees.limit(0), ["g"], ["a"], 0.5, PRIOR).count() == 0
+
+
+def test_rows_are_placed_once(spark, grown, monkeypatch):
+    """Few trees are walked as conditions, in one pass over the rows; more by arrays, with the same ratios, nulls too."""
+    rows, trees, _ = grown
+    rows = rows.select("a", F.when(F.col("b") < 1.5, F.col("b")).alias("b"), "w", "r")
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    found = []
+    for known in (moves.KNOWN, 0):
+        monkeypatch.setattr(moves, "KNOWN", known)
+        before = seen.value
+        got = moves.grow_ratios(rows.mapInArrow(tick, rows.schema), trees.where("g = 1").drop("g"), [], ["a", "b"], 0.7, PRIOR).collect()
+        assert seen.value - before == 300
+        found.append({(r.tree, r.node, r.feature, r.cut): r.ratio for r in got})
+    assert len(found[0]) > 20 and found[0] == pytest.approx(found[1])
