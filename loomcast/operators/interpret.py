@@ -88,21 +88,23 @@ def split_importance(posterior: DataFrame, names: DataFrame, block: str, level:
     return each.join(used, ["unique_id", "feature"])
 
 
-ROWS = 4096  # training rows that meet all draws of a series at once
+ROWS, DRAWS = 4096, 4096  # training rows and draws of a series that meet at once
 
 
 def partial_dependence(posterior: DataFrame, design: DataFrame, state: DataFrame, block: str, feature: int, grid: Sequence[float], level: float = 0.9) -> DataFrame:
     """unique_id, x, mean, lower, upper: the forest's mean over the training rows with one feature set to each x.
 
-    On the scale of y without its mean.  A task holds a block of about ROWS training rows and walks them through the
-    forests of all draws of their series; sums over blocks give the mean of each draw before draws meet.
+    On the scale of y without its mean.  A task holds a block of about ROWS training rows and one of about DRAWS draws of
+    their series, whose forests they walk; sums over blocks of rows give the mean of each draw before draws meet.
     """
     column = {"trend": "x_tr", "seasonal": "x_se", "generic": "x_ge"}[block]
-    count = design.groupBy("unique_id").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
+    grown = posterior.where(F.size(f"{block}_trees") > 0).select(*DRAW, F.col(f"{block}_trees").alias("trees"))
+    blocks = lambda df, most, name: df.groupBy("unique_id").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    count = blocks(design, ROWS, "blocks").join(blocks(grown, DRAWS, "groups"), "unique_id")
     dealt_by = F.xxhash64("t" if "t" in design.columns else column)
-    rows = design.join(count, "unique_id").select("unique_id", F.pmod(dealt_by, F.col("blocks")).cast("int").alias("part"), F.col(column).alias("row"))
-    draws = posterior.where(F.size(f"{block}_trees") > 0).select(*DRAW, F.col(f"{block}_trees").alias("trees")).join(count, "unique_id")
-    draws = draws.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = design.join(count, "unique_id").select("unique_id", F.pmod(dealt_by, F.col("blocks")).cast("int").alias("part"), every("groups").alias("of"), F.col(column).alias("row"))
+    draws = grown.join(count, "unique_id").withColumn("of", F.pmod(F.xxhash64("chain", "draw"), F.col("groups")).cast("int")).withColumn("part", every("blocks")).drop("blocks", "groups")
     points = [float(g) for g in grid]
 
     def walk(key: tuple, own: pa.Table, drawn: pa.Table) -> pa.Table:
@@ -119,7 +121,7 @@ def partial_dependence(posterior: DataFrame, design: DataFrame, state: DataFrame
 
     schema = T.StructType([*(posterior.schema[c] for c in DRAW), T.StructField("x", T.DoubleType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
     arrow = to_arrow_schema(schema)
-    sums = rows.groupBy("unique_id", "part").cogroup(draws.groupBy("unique_id", "part")).applyInArrow(walk, schema)
+    sums = rows.groupBy("unique_id", "part", "of").cogroup(draws.groupBy("unique_id", "part", "of")).applyInArrow(walk, schema)
     means = sums.groupBy(*DRAW, "x").agg((F.sum("s") / F.sum("n")).alias("m")).join(state.select("unique_id", "y_std"), "unique_id")
     return bands(means.withColumn("value", F.col("m") * F.col("y_std")), ("unique_id", "x"), level=level)
 

@@ -346,3 +346,28 @@ def test_bands_are_linear_quantiles(spark):
     d = spark.createDataFrame([(0, float(v)) for v in x], "k int, value double")
     got = interpret.bands(d, ["k"]).first()
     assert abs(got["lower"] - np.quantile(x, 0.05)) < 1e-12 and abs(got["upper"] - np.quantile(x, 0.95)) < 1e-12
+
+
+def test_partial_dependence_walks_draws_in_blocks(spark, monkeypatch):
+    """No task holds all draws of a series; the means are those of plain loops."""
+    from loomcast.operators.trees import Forests
+
+    class Few:
+        @staticmethod
+        def of(column):
+            assert len(column) <= 200
+            return Forests.of(column)
+
+    monkeypatch.setattr(interpret, "Forests", Few)
+    monkeypatch.setattr(interpret, "DRAWS", 100, raising=False)
+    monkeypatch.setattr(interpret, "ROWS", 20)
+    node = "struct<feat:int,thresh:double,left:int,right:int,value:double>"
+    trees = lambda d: [[(d % 2, d / 400, 1, 2, 0.0), (-1, 0.0, -1, -1, -1.0), (-1, 0.0, -1, -1, float(d))]]
+    posterior = spark.createDataFrame([("s", 0, d, trees(d)) for d in range(400)], f"unique_id string, chain int, draw long, generic_trees array<array<{node}>>")
+    b = [k / 50 for k in range(50)]
+    design = spark.createDataFrame([("s", k, [0.5, x]) for k, x in enumerate(b)], "unique_id string, t long, x_ge array<double>")
+    state = spark.createDataFrame([("s", 3.0)], "unique_id string, y_std double")
+    got = interpret.partial_dependence(posterior, design, state, "generic", 0, [0.25, 0.75]).orderBy("x").collect()
+    for r, g in zip(got, (0.25, 0.75)):
+        want = [3.0 * np.mean([-1.0 if (x if d % 2 else g) <= d / 400 else d for x in b]) for d in range(400)]
+        assert r.x == g and (r["mean"], r.lower, r.upper) == pytest.approx((np.mean(want), np.quantile(want, 0.05), np.quantile(want, 0.95)))
