@@ -1,6 +1,8 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, then exact sorted-array intersection.
 
-Equal shingle sets are one class, which its smallest document stands for.  Classes lie in bands by set size; only bands
+Equal shingle sets are one class, which its smallest document stands for.  A class that links shares that share of its own
+shingles with another class, so one that has too few shingles in common with all others together is left out: shingles
+meet once, by their hashes, which is linear in the texts.  The other classes lie in bands by set size; only bands
 whose sizes can reach the threshold meet, tile by tile.  A class has a bitmap: each shingle flips one bit.  Two bitmaps
 differ in no more bits than the sets differ in shingles, so the bit count bounds the overlap from above, and most pairs
 end there.  What is left groups the classes into small clusters (a tile yields the pairs that hold a cluster together,
@@ -16,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,10 @@ TILE_BYTES = 32 << 20  # bytes of bitmaps in a tile, on average; at least one cl
 ROWS, COLS = 64, 1024  # the part of a pair of tiles that is compared at once: its matrices stay in a core's cache
 CHUNK = 200_000  # shingles of a cluster that one task holds, on average
 BANDS = 4  # bands in which a size grows by 1 / threshold
+BLOCK = 2_000_000  # shingles of the rows that are hashed at once
+BLOCK_ROWS = 1 << 16  # rows of a block at most: places in it are two bytes
+BUCKETS = 2048  # buckets of hashes, by their top bits: a power of two
+MEET = 125_000  # shingles that meet in one call, on average; at least a bucket
 
 
 def width(n: int) -> int:
@@ -76,19 +83,132 @@ def close(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, percent:
 
 
 def sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """id, n, two fingerprint halves and the bitmap of each whole text's shingle set."""
+    """A row for each whole text and rows for their shingles, in one pass; the others' columns are null.
+
+    id, n, f1, f2 and bits: the key, size, two fingerprint halves and bitmap of the text's shingle set; block and place:
+    where the row lies; shared: how many of its shingles another set of the block has too; late: how many of the others lie
+    in the upper half of the buckets.  Of equal sets in a block only one with the smallest key has counts and shingles.
+
+    block, bucket: a block's hashes with these top bits, by their next 32 bits and ascending.  once and places: those that
+    one set has, and its place; often: those of several sets.
+    """
+
+    def rows_of(kept: list[tuple[int, np.ndarray]], block: int) -> Iterator[pa.RecordBatch]:
+        prints = [xxhash.xxh3_128_intdigest(h.tobytes()) for _, h in kept]
+        first: dict[int, int] = {}
+        for k, f in enumerate(prints):
+            if len(kept[k][1]) and (f not in first or kept[k][0] < kept[first[f]][0]):
+                first[f] = k
+        once, places, often, shared = split_block([h for _, h in kept], list(first.values()))
+        maps = [bitmap(h, width(len(h))).tobytes() if len(h) else None for _, h in kept]
+        count = len(kept)
+        yield of(
+            count,
+            id=[i for i, _ in kept], n=[len(h) for _, h in kept], f1=[(f >> 64) - (1 << 63) for f in prints], f2=[(f & ((1 << 64) - 1)) - (1 << 63) for f in prints],
+            bits=maps, block=[block] * count, place=range(count), shared=shared, late=np.bincount(places[np.searchsorted(once, np.uint64(1 << 63)) :], minlength=count),
+        )
+        edges = np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(64 - shift)
+        a, b = (np.concatenate([[0], np.searchsorted(h, edges), [len(h)]]) for h in (once, often))
+        full = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
+        once, often = ((h >> np.uint64(32 - shift)).astype(np.uint32) for h in (once, often))
+        cut = lambda h, at: [h[at[k] : at[k + 1]].tobytes() for k in full]
+        yield of(len(full), block=[block] * len(full), bucket=full, once=cut(once, a), places=cut(places, a), often=cut(often, b))
+
+    def of(count: int, **columns: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in form], schema=form)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, kept, held = TaskContext.get().partitionId() << 32, [], 0
         for batch in slices(batches, 1):
-            rows = []
-            for t in batch.column(1).to_pylist():
-                h = shingles(t, size)
-                f = xxhash.xxh3_128_intdigest(h.tobytes())
-                rows.append((len(h), (f >> 64) - (1 << 63), (f & ((1 << 64) - 1)) - (1 << 63), bitmap(h, width(len(h))).tobytes() if len(h) else None))
-            n, f1, f2, bits = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bits, pa.binary())], names=["id", "n", "f1", "f2", "bits"])
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                kept.append((i, shingles(t, size)))
+                held += len(kept[-1][1])
+                if held >= BLOCK or len(kept) == BLOCK_ROWS:
+                    yield from rows_of(kept, block)
+                    block, kept, held = block + 1, [], 0
+        if kept:
+            yield from rows_of(kept, block)
+
+    shift = BUCKETS.bit_length() - 1
+    form = pa.schema([(c, pa.binary()) if c in ("bits", "once", "places", "often") else (c, pa.int32() if c in ("place", "shared", "late", "bucket") else pa.int64()) for c in ("id", "n", "f1", "f2", "bits", "block", "place", "shared", "late", "bucket", "once", "places", "often")])
+    named = "id long, n long, f1 long, f2 long, bits binary, block long, place int, shared int, late int, bucket int, once binary, places binary, often binary"
+    return docs.select(whole_key(docs, key).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL").mapInArrow(run, named)
+
+
+def split_block(sets_: list[np.ndarray], used: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes that one of the used sets has, its number, the hashes of several, and how many of those each set has."""
+    h = np.concatenate([sets_[k] for k in used]) if used else np.zeros(0, np.uint64)
+    at = np.repeat(np.array(used, np.uint16), [len(sets_[k]) for k in used])
+    order = np.argsort(h, kind="stable")
+    h, at = h[order], at[order]
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    alone = first & np.append(first[1:], True)[: len(h)]
+    return h[alone], at[alone], h[first & ~alone], np.bincount(at[~alone], minlength=len(sets_))
+
+
+def sharing(classes: DataFrame, whole: DataFrame, percent: int, put: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id, n and bits of the classes (id, n, bits, block, place, shared, late) that share enough shingles to link.
+
+    whole holds their shingles, as `sets` makes them.  100 i >= p u for an intersection i and a union u, so 100 i >= p n.
+    Hashes meet by the 32 bits after the bucket's, which can only count too many as shared.  First the lower half of the
+    buckets meets; classes that the upper half can't save have no part in it, as none that links is among them.  put stores
+    tables.
+    """
 
-    return docs.select(whole_key(docs, key).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL").mapInArrow(run, "id long, n long, f1 long, f2 long, bits binary")
+    def mark(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(BLOCK_ROWS, np.uint8)
+        on[f["place"].to_numpy()] = 1
+        return pd.DataFrame({"block": [key[0]], "stand": [np.packbits(on[: f["place"].max() + 1]).tobytes()]})
+
+    def standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without the rows that stand for no class."""
+        last, on = None, None
+        for batch in batches:
+            once, places = [], []
+            for block, h, at, stand in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 5))):
+                if block != last:
+                    last, on = block, np.zeros(BLOCK_ROWS, bool)
+                    bits = np.unpackbits(np.frombuffer(stand, np.uint8))
+                    on[: len(bits)] = bits[:BLOCK_ROWS]
+                at = np.frombuffer(at, np.uint16)
+                keep = on[at]
+                once.append(np.frombuffer(h, np.uint32)[keep].tobytes())
+                places.append(at[keep].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(once, pa.binary()), pa.array(places, pa.binary()), batch.column(4)], names=["block", "bucket", "once", "places", "often"])
+
+    def meet(_: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        found: dict[int, list[bytes]] = {}
+        for _, g in f.groupby("bucket", sort=False):
+            once, often = (np.frombuffer(b"".join(g[c]), np.uint32) for c in ("once", "often"))
+            h = np.sort(np.concatenate([once, often]), kind="stable")
+            again = h[1:][h[1:] == h[:-1]]
+            if len(again):
+                at = np.searchsorted(again, once)
+                at[at == len(again)] = 0
+                hit, start = again[at] == once, 0
+                for block, places in zip(g["block"], g["places"]):
+                    places = np.frombuffer(places, np.uint16)
+                    found.setdefault(block, []).append(places[hit[start : start + len(places)]].tobytes())
+                    start += len(places)
+        return pd.DataFrame({"block": pd.Series(list(found), dtype=np.int64), "places": [b"".join(p) for p in found.values()]})
+
+    def add(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        more = np.bincount(np.frombuffer(b"".join(f["places"]), np.uint16))
+        place = np.flatnonzero(more)
+        return pd.DataFrame({"block": key[0], "place": place, "more": more[place]})
+
+    left = classes.withColumn("sure", F.col("shared").cast("long"))
+    for start, stop, open_ in ((0, BUCKETS // 2, F.col("late")), (BUCKETS // 2, BUCKETS, F.lit(0))):
+        stand = put(left.groupBy("block").applyInPandas(mark, "block long, stand binary"))  # a bit for each document
+        calls = min(stop - start, max(1, -(-(left.agg(F.sum("n")).first()[0] or 0) // (2 * MEET))))
+        dealt = whole.where((F.col("bucket") >= start) & (F.col("bucket") < stop)).select("block", "bucket", "once", "places", "often").join(F.broadcast(stand), "block")
+        dealt = dealt.mapInArrow(standing, "block long, bucket int, once binary, places binary, often binary")
+        met = dealt.groupBy(F.floor(F.col("bucket") % (stop - start) * calls / (stop - start))).applyInPandas(meet, "block long, places binary")
+        more = met.groupBy("block").applyInPandas(add, "block long, place int, more long")
+        counted = left.join(more, ["block", "place"], "left").withColumn("sure", F.col("sure") + F.coalesce("more", F.lit(0))).drop("more")
+        left = put(counted.where(100 * (F.col("sure") + open_) >= percent * F.col("n")))
+    return left.select("id", "n", "bits")
 
 
 def arrays(docs: DataFrame, size: int) -> DataFrame:
@@ -226,16 +346,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     texts and those without words have no shingle and link with nothing.  Rows that share a key are one document if their
     sets are equal.  Rows with a null key are left out; an empty table gives an empty one.
     """
-    whole = stored(sets(short_batches(docs), key, text, size))
     spark = docs.sparkSession
     with scratch(spark) as put:
-        named = put(whole.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("members")))
-        met = join_hot(whole.where("n > 0"), named, ["f1", "f2"], "members")
-        known = stored(met.select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bits")).alias("bits")))
-        classes = known.where("id = rep").select("id", "n", "bits")
+        whole = put(sets(short_batches(docs), key, text, size))
+        some = whole.where("n > 0").select("id", "n", "f1", "f2", "bits", "block", "place", "shared", "late")
+        named = put(some.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("members")))
+        met = join_hot(some, named, ["f1", "f2"], "members").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bits")).alias("bits"), "block", "place", "shared", "late")
+        empty = whole.where("n = 0").select("id", "n", F.col("id").alias("rep"), "bits", "block", "place", "shared", "late")
+        known = stored(met.union(empty))
+        classes = sharing(known.where("n > 0 AND id = rep"), whole, percent, put)
         roots = stored(class_roots(docs.select(whole_key(docs, key).alias("id"), F.col(text).alias("t")), classes, size, percent, put))
-    joined = known.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("component_id"))
-    return joined.union(whole.where("n = 0").select("id", "n", "id")).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    joined = known.where("n > 0").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("component_id"))
+    return joined.union(known.where("n = 0").select("id", "n", "id")).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def class_roots(docs: DataFrame, classes: DataFrame, size: int, percent: int, put: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,6 +101,43 @@ def test_jaccard_tiles_are_bounded_by_bytes(spark, monkeypatch):
     assert packed[0][0] > 5 and packed[0][1] <= 6 * 2048
 
 
+def test_jaccard_leaves_texts_that_share_little_out_of_the_tiles(spark, monkeypatch):
+    """Whatever the blocks and buckets, only classes that share enough shingles are compared pair by pair; no link is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK", 700)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(jaccard, "BUCKETS", 8)
+    monkeypatch.setattr(jaccard, "MEET", 400)
+    r = random.Random(8)
+    line = prose(900, 20)
+    texts = [prose(300 + k, r.randrange(30, 90), stock=10**6) + " " + line for k in range(90)]
+    texts += texts[:30] + [t.upper() for t in texts[10:20]]
+    for words in (t.split() for t in texts[40:60]):
+        for _ in range(r.randrange(1, 4)):
+            words[r.randrange(len(words))] = f"e{r.randrange(10**6)}"  # about the threshold: up to 15 shingles of 46 to 106 change
+            texts.append(" ".join(words))
+    texts += ["one", "one two", "one", "a b c d e", "a b c d e f", "a b c d e f g", "", None]
+    r.shuffle(texts)
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    different = {frozenset(s) for s in sets if s}
+    often = {x for x, k in Counter(x for s in different for x in s).items() if k > 1}
+    met = []
+    plain = jaccard.candidate_edges
+    monkeypatch.setattr(jaccard, "candidate_edges", lambda classes, percent, put: met.extend(x.id for x in classes.collect()) or plain(classes, percent, put))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(documents(spark, texts).repartition(5)).collect()}
+    assert got == {k: (len(sets[k]), root[k]) for k in range(len(texts))}
+    linked = {root[k] for k in range(len(texts)) if len({frozenset(sets[j]) for j in range(len(texts)) if root[j] == root[k]}) > 1}
+    assert len(linked) > 10 and linked <= {root[k] for k in met}
+    assert len(met) == len(set(met)) < len(different) / 2
+    assert all(100 * len(sets[k] & often) >= 75 * len(sets[k]) for k in met)
+
+
 def test_jaccard_empty(spark):
     assert jaccard.join(documents(spark, [])).count() == 0
 
